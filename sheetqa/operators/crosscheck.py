@@ -125,13 +125,12 @@ def cross_check(
         for m in MODELS
     ]
     own = _conclusion(F.lit("Heuristic"), F.col("kb_text"), F.col("kb_confidence"))
-    found = [
-        F.when(
-            F.col(m).isNotNull(),
-            let(theme(F.col(m)), lambda t, m=m: conflicts(F.col("kb_theme"), t, m)),
-        ).otherwise(F.expr("cast(array() as array<string>)"))
-        for m in MODELS
-    ]
+
+    def conflicts_of(model: str) -> Column:
+        return let(theme(F.col(model)), lambda t: conflicts(F.col("kb_theme"), t, model))
+
+    none = F.expr("cast(array() as array<string>)")
+    found = [F.when(F.col(m).isNotNull(), conflicts_of(m)).otherwise(none) for m in MODELS]
     n = F.size("conflicts")
     review = F.concat(
         F.lit("检测到 "),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clinical import parse_conditions, severity
-from ..functions.library import TEMPLATES, Template, templates_table
+from ..functions.library import TEMPLATES, Indicator, Template, templates_table
 from ..functions.text import WS, let
 from ..schema import doc_keys
 
@@ -121,16 +121,17 @@ def template_match(
     the text already. ``strict_operators`` asks for a condition with the agreeing operator
     instead.
     """
+
+    def agreeing(item: Indicator) -> Column:
+        return F.exists(
+            conditions,
+            lambda c: any_contained(F.lower(c["indicator"]), item.aliases)
+            & (F.lit(True) if item.op is None else c["operator"] == item.op),
+        )
+
     hit = F.lit(True)
     for item in template.indicators:
-        if strict_operators:
-            hit = hit & F.exists(
-                conditions,
-                lambda c, item=item: any_contained(F.lower(c["indicator"]), item.aliases)
-                & (F.lit(True) if item.op is None else c["operator"] == item.op),
-            )
-        else:
-            hit = hit & any_contained(text, item.aliases)
+        hit = hit & (agreeing(item) if strict_operators else any_contained(text, item.aliases))
     return hit & any_contained(text, template.keywords) if template.keywords else hit
 
 
