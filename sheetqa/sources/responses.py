@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import js_trim
+from ..functions.text import has_text, js_trim
 
 RECORDS = "array<map<string,string>>"
 # Full-width marks that stand for JSON structure, and quotes that open a string.
@@ -18,39 +21,50 @@ def strip_fences(c: Column) -> Column:
     return F.regexp_replace(c, "(?i)```json|```", "")
 
 
-def _repair(text: str) -> str:
-    """Map full-width marks outside strings, then cut out the first top-level array.
+def repairer() -> Callable[[str], str]:
+    """A function that maps full-width marks outside strings and cuts out the first array.
 
-    A quote inside a string is content unless it is the ASCII one.
+    A quote inside a string is content unless it is the ASCII one. The function holds all it
+    needs, so executors can run it without having this package.
     """
-    chars, inside, escaped = list(text.strip()), False, False
-    depth, start, end = 0, -1, -1
-    for i, char in enumerate(chars):
-        if inside:
-            if escaped:
-                escaped = False
-            elif char == "\\":
-                escaped = True
-            elif char == '"':
-                inside = False
-            continue
-        if char == '"' or char in OPENING_QUOTES:
-            chars[i], inside = '"', True
-            continue
-        chars[i] = char.translate(STRUCTURE)
-        if chars[i] == "[":
-            start = i if depth == 0 else start
-            depth += 1
-        elif chars[i] == "]":
-            depth -= 1
-            if depth == 0 and start >= 0 and end < 0:
-                end = i + 1
-    return "".join(chars[start:end] if end > 0 else chars)
-
-
-@F.pandas_udf("string")
-def _repair_json(texts: pd.Series) -> pd.Series:
-    return texts.map(_repair, na_action="ignore")
+    structure, opening = dict(STRUCTURE), set(OPENING_QUOTES)
+
+    def repair(text: str) -> str:
+        chars, inside, escaped = list(text.strip()), False, False
+        depth, start, end = 0, -1, -1
+        for i, char in enumerate(chars):
+            if inside:
+                if escaped:
+                    escaped = False
+                elif char == "\\":
+                    escaped = True
+                elif char == '"':
+                    inside = False
+                continue
+            if char == '"' or char in opening:
+                chars[i], inside = '"', True
+                continue
+            chars[i] = char.translate(structure)
+            if chars[i] == "[":
+                start = i if depth == 0 else start
+                depth += 1
+            elif chars[i] == "]":
+                depth -= 1
+                if depth == 0 and start >= 0:
+                    end = i + 1
+                    break
+        return "".join(chars[start:end] if end > 0 else chars)
+
+    return repair
+
+
+def _repair_json(c: Column) -> Column:
+    repair = repairer()
+
+    def repair_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(repair, na_action="ignore")
+
+    return F.pandas_udf(repair_batch, T.StringType())(c)
 
 
 def _records(text: Column) -> Column:
@@ -59,11 +73,10 @@ def _records(text: Column) -> Column:
     listed = F.when(t.startswith("["), t).when(
         t.startswith("{"), F.get_json_object(t, "$.records")
     )
-    # A repeated parse is spared by checking the shape first; broken JSON parses to NULL.
     return F.when(listed.startswith("["), F.from_json(listed, RECORDS, {"mode": "PERMISSIVE"}))
 
 
-def _well_formed(text: Column) -> Column:
+def _array_length(text: Column) -> Column:
     """``json_array_length`` is NULL for anything that is not one whole JSON array."""
     t = js_trim(text)
     listed = F.when(t.startswith("["), t).otherwise(F.get_json_object(t, "$.records"))
@@ -73,27 +86,27 @@ def _well_formed(text: Column) -> Column:
 def parse_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     """Add ``records`` (array of maps) and ``error`` to answers.
 
-    Most answers are plain JSON and never leave the JVM. Only those that fail go through the
-    repair, in Arrow batches, and are parsed once more.
+    Most answers are plain JSON. Only the text of those that fail is handed to the repair, in
+    Arrow batches, and parsed once more; the others pass it as NULL. One scan does it all.
     """
-    plain = strip_fences(F.col(text))
-    staged = responses.withColumn("_plain", plain).withColumn("_n", _well_formed(F.col("_plain")))
-    good = staged.filter(F.col("_n").isNotNull())
-    bad = staged.filter(F.col("_n").isNull())
-    bad = bad.withColumn("_plain", _repair_json("_plain")).withColumn(
-        "_n", _well_formed(F.col("_plain"))
+    staged = responses.withColumn("_plain", strip_fences(F.col(text)))
+    staged = staged.withColumn("_n", _array_length(F.col("_plain")))
+    broken = F.when(F.col("_n").isNull(), F.col("_plain"))
+    staged = staged.withColumn("_fixed", _repair_json(broken))
+    staged = staged.withColumn("_plain", F.coalesce("_fixed", "_plain")).withColumn(
+        "_n", F.coalesce("_n", _array_length(F.col("_fixed")))
     )
-    empty = ~F.coalesce(F.col("_plain").rlike(r"\S"), F.lit(False))
+    parsed = F.col("_n").isNotNull()
+    blank = ~F.coalesce(has_text(F.col("_plain")), F.lit(False))
     error = (
-        F.when(F.col("_n").isNotNull(), "")
-        .when(empty, "API returned empty response.")
+        F.when(parsed, "")
+        .when(blank, "API returned empty response.")
         .otherwise("Failed to parse model JSON")
     )
     return (
-        good.unionByName(bad)
-        .withColumn("records", F.when(F.col("_n").isNotNull(), _records(F.col("_plain"))))
+        staged.withColumn("records", F.when(parsed, _records(F.col("_plain"))))
         .withColumn("error", error)
-        .drop("_plain", "_n")
+        .drop("_plain", "_n", "_fixed")
     )
 
 
