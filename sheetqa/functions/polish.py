@@ -8,25 +8,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .glossary import GLOSSARY, GlossaryEntry, enforce_glossary
-from .text import B_END, B_START, WS, WS_INLINE, let, utf16_length
+from .text import B_END, B_START, WORD, WS, WS_INLINE, is_ascii, let, utf16_length
 
 # White space inside a line: a carriage return counts unless it belongs to a line break.
-_S = rf"(?:[{WS_INLINE}]|\r(?!\n))"
-_NO_SPACE_AFTER = rf"(?!{_S}|[\"')\]}}])"
-
-# The nine spacing rewrites, in order. Every rewrite works line by line; the
-# patterns never reach across a line break, so one pass over the whole text is the same.
-SPACING_STEPS = [
-    (rf"{B_START}([eE]){_S}*\.{_S}*g{_S}*\.", "$1.g."),
-    (rf"{_S}+([,.;:!?])", "$1"),
-    (rf"([,.;!?]){_NO_SPACE_AFTER}", "$1 "),
-    (rf":(?!//){_NO_SPACE_AFTER}", ": "),
-    (r"([.!?])([A-Z])", "$1 $2"),
-    (r"([a-z])([A-Z][a-z])", "$1 $2"),
-    (r"([0-9])([A-Za-z])", "$1 $2"),
-    (r"([A-Za-z])([0-9])", "$1 $2"),
-    (r"(?<=[^\n ]) {2,}", " "),
-]
+_ANY_SPACE = rf"(?:[{WS_INLINE}]|\r(?!\n))"
+_ASCII_SPACE = r"[\t\x0B\f ]"
+# White space beyond ASCII, and the carriage return.
+RARE_SPACE = r"[\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def spacing_steps(space: str) -> list[tuple[str, str]]:
+    """The nine spacing rewrites, in order.
+
+    Every rewrite works line by line; the patterns never reach across a line break, so one
+    pass over the whole text is the same.
+    """
+    not_closed = rf"(?!{space}|[\"')\]}}])"
+    return [
+        (rf"([eE])(?<![{WORD}][eE]){space}*\.{space}*g{space}*\.", "$1.g."),
+        (rf"{space}+([,.;:!?])", "$1"),
+        (rf"([,.;!?]){not_closed}", "$1 "),
+        (rf":(?!//){not_closed}", ": "),
+        (r"([.!?])([A-Z])", "$1 $2"),
+        (r"([a-z])([A-Z][a-z])", "$1 $2"),
+        (r"([0-9])([A-Za-z])", "$1 $2"),
+        (r"([A-Za-z])([0-9])", "$1 $2"),
+        (r"(?<=[^\n ]) {2,}", " "),
+    ]
+
 
 LONG_FORM_LENGTH = 60
 
@@ -68,7 +77,13 @@ def fix_spacing(c: Column) -> Column:
     Contract quirks: a closing ``.`` gains a space (``Done.`` -> ``Done. ``), decimals are
     split (``3.5`` -> ``3. 5``) and ``e.g.,`` ends as ``e. g. ,``.
     """
-    return F.when(c.rlike("[A-Za-z]"), _chain(c, SPACING_STEPS)).otherwise(c)
+    rare = F.when(is_ascii(c), c.contains("\r")).otherwise(c.rlike(RARE_SPACE))
+    return (
+        F.when(~c.rlike("[A-Za-z]"), c)
+        .when(rare, _chain(c, spacing_steps(_ANY_SPACE)))
+        # With ASCII spaces only, the patterns need just a few characters to test.
+        .otherwise(_chain(c, spacing_steps(_ASCII_SPACE)))
+    )
 
 
 def long_form_status(c: Column) -> Column:

@@ -6,21 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .script import has_cjk, is_locked
-from .text import B_END, B_START, WS
+from .text import B_END, B_START, WORD, WS
 
 # The four spacing faults and the placeholder form.
 PLACEHOLDER = r"__(?:TKN|ID|FMT)_[0-9]+__"
-BROKEN_EG = rf"(?i){B_START}e[{WS}]*\.[{WS}]*g[{WS}]*\."
-SPACE_RUN = " {2,}"
-SPACE_BEFORE_PUNCT = rf"[{WS}][,.;:!?]"
+# A pattern starts with its rarest character and looks back, which spares most positions.
+BROKEN_EG = rf"[eE](?<![{WORD}][eE])[{WS}]*\.[{WS}]*[gG][{WS}]*\."
+SPACE_RUN = "  "
+SPACE_BEFORE_PUNCT = rf"[,.;:!?](?<=[{WS}][,.;:!?])"
 SPLIT_CODE = (
-    rf"{B_START}[A-Za-z][{WS}]+[0-9]{{1,3}}{B_END}|{B_START}[0-9]{{1,3}}[{WS}]+[A-Za-z]{B_END}"
+    rf"[A-Za-z](?<![{WORD}][A-Za-z])[{WS}]+[0-9]{{1,3}}{B_END}"
+    rf"|{B_START}[0-9]{{1,3}}[{WS}]+[A-Za-z]{B_END}"
 )
 
 
 def spacing_issue(c: Column) -> Column:
     """Broken or correct ``e.g.``, a run of spaces, space before punctuation, ``T 4``."""
-    return c.rlike(SPACE_RUN) | c.rlike(SPACE_BEFORE_PUNCT) | c.rlike(BROKEN_EG) | c.rlike(SPLIT_CODE)
+    return (
+        c.contains(SPACE_RUN)
+        | c.rlike(SPACE_BEFORE_PUNCT)
+        | c.rlike(BROKEN_EG)
+        | (c.rlike("[0-9]") & c.rlike(SPLIT_CODE))
+    )
 
 
 def placeholder_leak(c: Column) -> Column:

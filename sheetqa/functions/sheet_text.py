@@ -20,6 +20,8 @@ ENGLISH_STEPS = [
     (rf"{_U}\be\s*\.\s*g\s*\.\s*,", "e.g.,"),
     (rf"{_U}\be\s*\.\s*g\s*\.\b", "e.g."),
 ]
+# Every pattern above needs one of these.
+ENGLISH_WORDS = rf"{_U}abnormalities|metabolic|granulocytes|g\s*\."
 _KIND = "(?:abnormal|atypical|unclassified|immature|degenerated|reactive|early)"
 _CELLS = (
     r"(?:granulocytes?|white\s+blood\s+cells?|wbc(?:s)?|monocytes?|nucleated\s+cells?"
@@ -39,19 +41,20 @@ def cleanup_punct(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("。；"), F.lit("；")), F.lit("；；"), F.lit("；"))
 
 
-def cleanup_english(c: Column) -> Column:
-    """Five phrase fixes and two ``e.g.`` fixes."""
-    for pattern, replacement in ENGLISH_STEPS:
+def _chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
         c = F.regexp_replace(c, pattern, replacement)
     return c
 
 
+def cleanup_english(c: Column) -> Column:
+    """Five phrase fixes and two ``e.g.`` fixes; most cells hold none of their words."""
+    return F.when(c.rlike(ENGLISH_WORDS), _chain(c, ENGLISH_STEPS)).otherwise(c)
+
+
 def fix_qualifier(c: Column) -> Column:
     """``ALY# (atypical granulocytes)`` and its variants -> atypical lymphocytes."""
-    fixed = c
-    for pattern, replacement in QUALIFIER_STEPS:
-        fixed = F.regexp_replace(fixed, pattern, replacement)
-    return F.when(F.upper(c).contains("ALY"), fixed).otherwise(c)
+    return F.when(c.rlike(f"{_U}aly"), _chain(c, QUALIFIER_STEPS)).otherwise(c)
 
 
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:

@@ -50,6 +50,11 @@ def has_text(c: Column) -> Column:
     return c.rlike(f"[^{WS}]")
 
 
+def is_ascii(c: Column) -> Column:
+    """Byte count against character count: no regex, no decoding."""
+    return F.octet_length(c) == F.length(c)
+
+
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     return F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
