@@ -50,12 +50,14 @@ def parse_conditions(c: Column) -> Column:
     """
 
     def condition(segment: Column) -> Column:
-        symbol = F.regexp_extract(segment, CONDITION, 2)
-        return F.struct(
-            F.regexp_extract(segment, CONDITION, 1).alias("indicator"),
-            normalise_op(symbol).alias("operator"),
-            F.coalesce(F.nullif(symbol, F.lit("")), F.lit("status")).alias("value"),
-        )
+        def with_symbol(symbol: Column) -> Column:
+            return F.struct(
+                F.regexp_extract(segment, CONDITION, 1).alias("indicator"),
+                normalise_op(symbol).alias("operator"),
+                F.coalesce(F.nullif(symbol, F.lit("")), F.lit("status")).alias("value"),
+            )
+
+        return let(F.regexp_extract(segment, CONDITION, 2), with_symbol)
 
     segments = F.transform(F.split(F.coalesce(c, F.lit("")), CONDITION_SEPARATOR), js_trim)
     return F.transform(F.filter(segments, lambda s: s.rlike(CONDITION)), condition)

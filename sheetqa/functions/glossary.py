@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import literal_table
 from .script import CJK
 from .text import B_END, B_START, let, replace_each
 
@@ -109,10 +110,9 @@ GLOSSARY = [_entry(line) for line in GLOSSARY_LINES.strip().splitlines()]
 
 def glossary_table(spark: SparkSession, glossary: Sequence[GlossaryEntry] = GLOSSARY) -> DataFrame:
     """The glossary as a dimension table ``(ord, keywords, preferred, variants)``."""
-    rows = [(i, list(e.keywords), e.preferred, list(e.variants)) for i, e in enumerate(glossary)]
-    return spark.createDataFrame(
-        rows, "ord int, keywords array<string>, preferred string, variants array<string>"
-    )
+    rows = [{"ord": i, **entry._asdict()} for i, entry in enumerate(glossary)]
+    schema = "ord:int,keywords:array<string>,preferred:string,variants:array<string>"
+    return literal_table(spark, rows, schema)
 
 
 def glossary_prompt(glossary: Sequence[GlossaryEntry] = GLOSSARY) -> Column:
@@ -155,17 +155,22 @@ def enforce_glossary(
     ]
     owners = _variants(glossary)
 
-    def rewrite(fired: Column) -> Column:
+    def rewrite(fired: Column, low: Column) -> Column:
         def any_fired(numbers: list[tuple[str, int]]) -> Column:
             hit = F.get(fired, numbers[0][1])
             for _, number in numbers[1:]:
                 hit = hit | F.get(fired, number)
             return hit
 
-        longest_first = sorted(owners.values(), key=lambda own: -len(own[0][0]))
+        longest_first = sorted(owners.items(), key=lambda item: -len(item[1][0][0]))
+        # A variant that is nowhere in the text cannot match: leaving it out keeps the
+        # pattern short, and most texts need none.
         pattern = F.concat_ws(
             "|",
-            *[F.when(any_fired(own), F.lit(_variant_pattern(own[0][0]))) for own in longest_first],
+            *[
+                F.when(any_fired(own) & low.contains(key), F.lit(_variant_pattern(own[0][0])))
+                for key, own in longest_first
+            ],
         )
         entries = []
         for key, own in owners.items():
@@ -176,12 +181,16 @@ def enforce_glossary(
             )
             entries += [F.lit(key), wording]
         wordings = F.create_map(*entries)
-        return let(
-            F.concat(F.lit("(?i)"), pattern),
-            lambda p: replace_each(
-                c, p, lambda m, _: F.coalesce(F.try_element_at(wordings, F.lower(m)), m)
-            ),
-        )
+
+        def replaced(p: Column) -> Column:
+            found = replace_each(
+                c,
+                F.concat(F.lit("(?i)"), p),
+                lambda m, _: F.coalesce(F.try_element_at(wordings, F.lower(m)), m),
+            )
+            return F.when(p == "", c).otherwise(found)
+
+        return let(pattern, replaced)
 
     active = original.isNotNull() & c.isNotNull()
     if all(re.search(CJK, k) for e in glossary for k in e.keywords):
@@ -189,5 +198,10 @@ def enforce_glossary(
         active = active & original.rlike(CJK)
     return F.when(
         active,
-        let(F.array(*fires), lambda f: F.when(F.array_contains(f, True), rewrite(f)).otherwise(c)),
+        let(
+            F.array(*fires),
+            lambda f: F.when(
+                F.array_contains(f, True), let(F.lower(c), lambda low: rewrite(f, low))
+            ).otherwise(c),
+        ),
     ).otherwise(c)

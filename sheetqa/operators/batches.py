@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.glossary import GLOSSARY, GlossaryEntry, glossary_prompt
@@ -63,6 +63,7 @@ def _payloads(records: DataFrame) -> DataFrame:
     return records.groupBy(*doc_keys(records), "batch_id").agg(
         F.count(F.lit(1)).alias("n_records"),
         F.min("row_idx").alias("first_row"),
+        F.transform(ordered, lambda x: x["row_idx"]).alias("rows"),
         F.concat(
             F.lit("["),
             F.array_join(F.transform(ordered, lambda x: x["record"]), ","),
@@ -78,24 +79,24 @@ def place_rows(cells: DataFrame, size: int, align: bool) -> DataFrame:
     cut over the given rows only, counted in order.
     """
     if align:
-        placed = cells.withColumn("batch_id", F.floor(F.col("row_idx") / size))
+        placed = cells.withColumn("batch_id", F.expr(f"row_idx div {int(size)}"))
         # Both groupings below have the batch among their keys: one shuffle serves the two.
         placed = placed.repartition(*doc_keys(cells), "batch_id")
-        records = row_records(placed, [*doc_keys(cells), "batch_id"])
-        return records.withColumn("seq", (F.col("row_idx") % size).cast("int"))
+        batch = [*doc_keys(cells), "batch_id"]
+        position = F.row_number().over(Window.partitionBy(*batch).orderBy("row_idx"))
+        return row_records(placed, batch).withColumn("seq", position - 1)
     numbered = ranked(row_records(cells), doc_keys(cells))
-    position = F.col("rank") - 1
     return (
-        numbered.withColumn("batch_id", F.floor(position / size))
-        .withColumn("seq", (position % size).cast("int"))
+        numbered.withColumn("batch_id", F.expr(f"(rank - 1) div {int(size)}"))
+        .withColumn("seq", ((F.col("rank") - 1) % size).cast("int"))
         .drop("rank")
     )
 
 
 def make_request_batches(cells: DataFrame, size: int, align: bool) -> DataFrame:
-    """``(batch_id, n_records, first_row, payload)``; the payload is a JSON array of records.
+    """``(batch_id, n_records, first_row, rows, payload)``; the payload is a JSON array of records.
 
-    ``cells`` hold the cells to send with their ``sanitized`` text.
+    ``rows`` lists the row indices in payload order. ``cells`` hold the cells to send with their ``sanitized`` text.
     """
     return _payloads(place_rows(cells, size, align))
 
@@ -109,10 +110,12 @@ def request_prompts(
     )
 
 
-def validate_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+def validate_responses(
+    requests: DataFrame, responses: DataFrame, by: Sequence[str] = ("batch_id",)
+) -> DataFrame:
     """Check parsed answers against their requests.
 
-    ``requests(batch_id, n_records)``, ``responses(batch_id, records, error)`` with
+    ``requests(by…, n_records)``, ``responses(by…, records, error)`` with
     ``records`` an array of maps (NULL for an item that is no object). A batch fails when it
     has no answer, when the counts differ or when an item is no object.
     """
@@ -122,7 +125,7 @@ def validate_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
         F.greatest(got, F.lit(0)).cast("int"),
         F.col("n_records").cast("int"),
     )
-    joined = requests.select("batch_id", "n_records").join(responses, "batch_id", "left")
+    joined = requests.select(*by, "n_records").join(responses, list(by), "left")
     error = (
         F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error"))
         .when(F.col("records").isNull() | (got != F.col("n_records")), counts)
@@ -249,3 +252,28 @@ def pending_requests(
     todo = cells.join(pending_rows.select(*keys).distinct(), keys, "left_semi")
     return make_request_batches(sanitize_cells(todo, lang, mode), size, align=True)
 
+
+def answer_cells(batches: DataFrame, checked: DataFrame) -> DataFrame:
+    """Answers of the batches that passed, as ``(keys, col_key, answer)``.
+
+    ``batches`` as made by ``make_request_batches``, ``checked`` by ``validate_responses``.
+    The n-th record of an answer belongs to the n-th row of its batch.
+    """
+    keys = [*doc_keys(batches), "batch_id"]
+    good = checked.filter("ok").select(*keys, "records")
+    pairs = batches.select(*keys, "rows").join(good, keys)
+    pairs = pairs.select(
+        *doc_keys(batches), F.explode(F.arrays_zip("rows", "records")).alias("p")
+    )
+    return pairs.select(
+        *doc_keys(batches),
+        F.col("p.rows").alias("row_idx"),
+        F.explode("p.records").alias("col_key", "answer"),
+    )
+
+
+def row_outcome(batches: DataFrame, checked: DataFrame) -> DataFrame:
+    """``(row keys, ok)`` for every row that was sent; rows that are not ok are write-failed."""
+    keys = [*doc_keys(batches), "batch_id"]
+    both = batches.select(*keys, "rows").join(checked.select(*keys, "ok"), keys)
+    return both.select(*doc_keys(batches), F.explode("rows").alias("row_idx"), "ok")

@@ -105,17 +105,13 @@ def merge_translations(
 
 
 def row_status(
-    merged: DataFrame,
-    lang: str,
-    mode: str = "full",
-    answered: DataFrame | None = None,
-    failed: DataFrame | None = None,
+    merged: DataFrame, lang: str, mode: str = "full", outcome: DataFrame | None = None
 ) -> DataFrame:
     """Per row: ``done``, ``missing`` (still untranslated), ``write_failed``.
 
-    An answered row is done when nothing in it is untranslated. A row without an answer is
-    done only in selective mode, when it needed none. ``answered`` NULL means all rows but
-    the failed ones.
+    ``outcome(row keys, ok)`` says of each row that was sent whether its batch succeeded; NULL
+    means every row was answered. An answered row is done when nothing in it is
+    untranslated; one that was not sent is done only in selective mode, when it needed nothing.
     """
     keys = row_keys(merged)
     rows = merged.groupBy(*keys).agg(
@@ -124,18 +120,14 @@ def row_status(
         ).alias("missing"),
         F.bool_or(needs_translation(merged, "original", lang)).alias("_needs"),
     )
-    for name, table in (("_answered", answered), ("write_failed", failed)):
-        if table is not None:
-            mark = table.select(*keys).distinct().withColumn(name, F.lit(True))
-            rows = rows.join(mark, keys, "left")
-            rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-    if failed is None:
-        rows = rows.withColumn("write_failed", F.lit(False))
-    if answered is None:
-        rows = rows.withColumn("_answered", ~F.col("write_failed"))
+    if outcome is None:
+        rows = rows.withColumn("ok", F.lit(True))
+    else:
+        rows = rows.join(outcome.select(*keys, "ok"), keys, "left")
     unsent = ~F.col("_needs") if mode == "selective" else F.lit(False)
-    done = F.when(F.col("_answered"), ~F.col("missing")).otherwise(unsent)
-    return rows.withColumn("done", done).select(*keys, "done", "missing", "write_failed")
+    done = F.when(F.col("ok"), ~F.col("missing")).when(~F.col("ok"), False).otherwise(unsent)
+    failed = F.coalesce(~F.col("ok"), F.lit(False))
+    return rows.select(*keys, done.alias("done"), "missing", failed.alias("write_failed"))
 
 
 def retry_source(cells: DataFrame) -> Column:

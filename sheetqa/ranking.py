@@ -1,10 +1,10 @@
 """Row numbers inside groups of any size.
 
 ``row_number() over (partition by doc order by row_idx)`` puts one document into one task.
-Here a group is cut into blocks of the ordering integer; a block holds at most ``BLOCK`` rows
-because the integer is unique inside its group. Numbers inside a block come from a small
-window; what lies before a block comes from prefix sums over the blocks' counts, taken on two
-levels so that those windows stay small too.
+Here a group is cut into blocks of the ordering integer; a block holds at most ``2 ** bits``
+rows because the integer is unique inside its group. Numbers inside a block come from a small
+window; what lies before a block comes from a running sum over the blocks' counts, which are
+tens of thousands of times fewer than the rows.
 """
 
 from __future__ import annotations
@@ -14,38 +14,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 14
-
-
-def _before(counts: DataFrame, by: Sequence[str], order: str, n: str, out: str) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(out, F.coalesce(F.sum(n).over(window), F.lit(0)))
+BLOCK_BITS = 16
 
 
 def ranked(
-    df: DataFrame, groups: Sequence[str], idx: str = "row_idx", out: str = "rank", block: int = BLOCK
+    df: DataFrame,
+    groups: Sequence[str],
+    idx: str = "row_idx",
+    out: str = "rank",
+    bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add ``out`` = 1, 2, … by ``idx`` inside each group; ``idx`` is unique in its group.
 
-    Keys are not NULL (as everywhere in the canonical tables). One shuffle of the rows, on (group, block); the joins reuse it or move only block counts.
+    Keys are not NULL (as everywhere in the canonical tables). ``df`` is read twice, the
+    first time for its keys only; its rows are shuffled once, on (group, block), and the
+    join with the blocks' starts reuses that partitioning or broadcasts the starts.
     """
-    groups = list(groups)
-    rows = df.withColumn("_block", F.floor(F.col(idx) / block)).withColumn(
-        "_super", F.floor(F.col("_block") / block)
-    )
-    keys = [*groups, "_super", "_block"]
+    keys = [*groups, "_block"]
+    rows = df.withColumn("_block", F.shiftright(F.col(idx), bits))
     blocks = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    supers = blocks.groupBy(*groups, "_super").agg(F.sum("_n").alias("_n"))
-    supers = _before(supers, groups, "_super", "_n", "_before_super").drop("_n")
-    blocks = _before(blocks, [*groups, "_super"], "_block", "_n", "_before_block").drop("_n")
-    starts = blocks.join(supers, [*groups, "_super"]).select(
-        *keys, (F.col("_before_super") + F.col("_before_block")).alias("_start")
+    earlier = (
+        Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = blocks.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    numbered = rows.withColumn(
+        "_in_block", F.row_number().over(Window.partitionBy(*keys).orderBy(idx))
     )
-    inside = Window.partitionBy(*keys).orderBy(idx)
-    numbered = rows.withColumn("_in_block", F.row_number().over(inside))
     return (
         numbered.join(starts, keys, "left")
         .withColumn(out, F.col("_start") + F.col("_in_block"))
         .select(*df.columns, out)
     )
-

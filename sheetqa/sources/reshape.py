@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,12 +67,21 @@ def to_rows(
     value: str = "translated",
     types: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Long cells back to wide rows. ``key_list`` spares Spark a scan to find the headers."""
+    """Long cells back to wide rows with the columns of ``key_list``.
+
+    A row's cells meet in one map, bounded by the sheet's width: one shuffle, where a pivot
+    takes two. Headers are unique in a sheet (``header_keys``), so a key never repeats.
+    """
     keys = row_keys(cells)
-    wide = cells.groupBy(*keys).pivot("col_key", list(key_list)).agg(F.first(value))
-    if types:
-        wide = wide.withColumns({n: F.col(f"`{n}`").try_cast(t) for n, t in types.items()})
-    return wide
+    rows = cells.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("col_key", value))).alias("_cells")
+    )
+
+    def column(name: str) -> Column:
+        cell = F.try_element_at("_cells", F.lit(name))
+        return (cell.try_cast(types[name]) if types and name in types else cell).alias(name)
+
+    return rows.select(*keys, *[column(name) for name in key_list])
 
 
 def write_back(

@@ -64,20 +64,24 @@ def join_string_lines(
     a line break gets one more: its last, empty line already stands for that break.
     """
     by = by or []
-    # A file's last line decides on the closing break: a maximum, combined before the shuffle.
-    last = lines.groupBy(*by).agg(F.max(F.struct("line_no", "line")).alias("_last"))
+    part = F.expr(f"line_no div {int(lines_per_part)}")
     parts = (
-        lines.withColumn("part_no", F.floor(F.col("line_no") / lines_per_part))
+        lines.withColumn("part_no", part)
         .groupBy(*by, "part_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("line_no", F.col(line).alias("text")))).alias("_lines"),
             F.first("line_break").alias("_break"),
         )
-        .withColumn("_one", F.lit(1))
     )
-    ends = parts.join(last.withColumn("_one", F.lit(1)), [*by, "_one"])
+    # A file's last line decides on the closing break: a maximum, combined before the shuffle.
+    # Keyed by part it meets one part each, however many parts one file has.
+    last = lines.groupBy(*by).agg(F.max(F.struct("line_no", "line")).alias("_last"))
+    ends = last.select("*", "_last.*").select(
+        *by, part.alias("part_no"), (F.col("line") == "").alias("_ends_empty")
+    )
     texts = F.transform("_lines", lambda x: x["text"])
     body = F.call_function("array_join", texts, F.col("_break"))
-    at_end = F.element_at("_lines", -1)["line_no"] == F.col("_last.line_no")
-    tail = F.when(~at_end | (F.col("_last.line") == ""), F.col("_break")).otherwise("")
-    return ends.select(*by, "part_no", F.concat(body, tail).alias("text"))
+    tail = F.when(F.coalesce("_ends_empty", F.lit(True)), F.col("_break")).otherwise("")
+    return parts.join(ends, [*by, "part_no"], "left").select(
+        *by, "part_no", F.concat(body, tail).alias("text")
+    )

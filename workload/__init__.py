@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import catalog
 
-MODULES = ("cells_queries", "text_queries", "loop_queries", "rule_queries")
+MODULES = ("cells_queries", "text_queries", "loop_queries", "rule_queries", "plan_queries")
 
 
 def load():

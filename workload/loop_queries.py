@@ -50,7 +50,7 @@ def sheet_request_batches(spark, sf):
     todo = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(
         F.floor(F.col("o_orderkey") / 4).alias("row_idx")
     )
-    return B.pending_requests(_grouped(spark, sf), todo, EN)
+    return B.pending_requests(_grouped(spark, sf), todo, EN).drop("rows")
 
 
 @query(
@@ -59,7 +59,7 @@ def sheet_request_batches(spark, sf):
 )
 def retry_request_batches(spark, sf):
     cells = B.sanitize_cells(_grouped(spark, sf), EN)
-    return B.make_request_batches(cells, B.RETRY_BATCH, align=False)
+    return B.make_request_batches(cells, B.RETRY_BATCH, align=False).drop("rows")
 
 
 @query(
@@ -90,6 +90,15 @@ def request_prompts(spark, sf):
     return prompts.select("batch_id", F.md5("prompt").alias("digest"))
 
 
+@query(
+    f"""with {_SENT} select row_idx // 5 as batch_id, row_idx, cast(row_number() over (partition by row_idx // 5 order by row_idx) - 1 as int) as seq,
+    md5(record) as digest from rec"""
+)
+def placed_rows(spark, sf):
+    placed = B.place_rows(B.sanitize_cells(_grouped(spark, sf), EN), B.SHEET_BATCH, align=True)
+    return placed.select("batch_id", "row_idx", "seq", F.md5("record").alias("digest"))
+
+
 _KIND = "(select o_orderkey as batch_id, o_orderkey % 7 as kind, o_custkey from orders) k"
 
 
@@ -231,12 +240,10 @@ def row_status(spark, sf):
     """Rows of partly shipped orders count as write-failed."""
     cells = derive(spark, sf, CELLS).drop("translated")
     merged = MG.merge_translations(cells, _keyed_answers(spark, sf), EN)
-    failed = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("row_idx"))
-    return MG.row_status(merged, EN, failed=failed)
-
-
-_RETRIED = f"""k as (select * from a where o_orderstatus = 'O'),
-  r as (select row_idx, col_key, translated as current, answer from k)"""
+    outcome = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_idx"), (F.col("o_orderstatus") != "P").alias("ok")
+    )
+    return MG.row_status(merged, EN, outcome=outcome)
 
 
 @query(
