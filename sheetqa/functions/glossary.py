@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..store import literal_table
 from .script import CJK
-from .text import B_END, B_START, let, replace_each
+from .text import B_END, B_START, is_ascii, let, replace_each
 
 
 class GlossaryEntry(NamedTuple):
@@ -126,17 +127,24 @@ def _variant_pattern(variant: str) -> str:
     return f"{B_START}{escaped}{B_END}" if wordlike else escaped
 
 
-def _variants(glossary: Sequence[GlossaryEntry]) -> dict[str, list[tuple[str, int]]]:
-    """Lower-cased variant -> (spelling, entry number) of every entry that owns it."""
-    owners: dict[str, list[tuple[str, int]]] = {}
-    for number, entry in enumerate(glossary):
-        seen = set()
-        for variant in (*entry.keywords, *entry.variants, entry.preferred):
-            key = variant.lower()
-            if variant and key not in seen:
-                seen.add(key)
-                owners.setdefault(key, []).append((variant, number))
-    return owners
+def _entries(glossary: Sequence[GlossaryEntry]) -> Column:
+    """The glossary as one array literal; ``neg`` sorts longer variants first."""
+    rows = []
+    for entry in glossary:
+        spellings: dict[str, str] = {}
+        for variant in filter(None, (*entry.keywords, *entry.variants, entry.preferred)):
+            spellings.setdefault(variant.lower(), variant)
+        variants = [
+            {"neg": -len(v), "low": low, "pattern": _variant_pattern(v)}
+            for low, v in spellings.items()
+        ]
+        keywords = [k for k in entry.keywords if k]
+        rows.append({"keywords": keywords, "preferred": entry.preferred, "variants": variants})
+    return F.from_json(
+        F.lit(json.dumps(rows, ensure_ascii=False)),
+        "array<struct<keywords:array<string>,preferred:string,"
+        "variants:array<struct<neg:int,low:string,pattern:string>>>>",
+    )
 
 
 def enforce_glossary(
@@ -145,63 +153,44 @@ def enforce_glossary(
     """Normalise term variants in ``c`` for every entry whose keyword is in ``original``.
 
     The keywords, variants and preferred wording of the entries that fire form one
-    alternation, longest first; each match becomes its entry's preferred wording. The
-    pattern depends on the row, so it is built as a Column. ``c`` is used several times:
-    pass a plain column or one bound with ``let``.
+    alternation, longest first; each match becomes the wording of the first firing entry that
+    has it. The pattern depends on the row, so it is built as a Column. ``c`` is used
+    several times: pass a plain column or one bound with ``let``.
     """
-    fires = [
-        F.coalesce(*[F.when(original.contains(k), True) for k in e.keywords if k], F.lit(False))
-        for e in glossary
-    ]
-    owners = _variants(glossary)
-
-    def rewrite(fired: Column, low: Column) -> Column:
-        def any_fired(numbers: list[tuple[str, int]]) -> Column:
-            hit = F.get(fired, numbers[0][1])
-            for _, number in numbers[1:]:
-                hit = hit | F.get(fired, number)
-            return hit
-
-        longest_first = sorted(owners.items(), key=lambda item: -len(item[1][0][0]))
+
+    def rewrite(fired: Column) -> Column:
+        variants = F.flatten(F.transform(fired, lambda e: e["variants"]))
         # A variant that is nowhere in the text cannot match: leaving it out keeps the
         # pattern short, and most texts need none.
-        pattern = F.concat_ws(
-            "|",
-            *[
-                F.when(any_fired(own) & low.contains(key), F.lit(_variant_pattern(own[0][0])))
-                for key, own in longest_first
-            ],
+        present = let(
+            F.lower(c), lambda low: F.filter(variants, lambda v: low.contains(v["low"]))
         )
-        entries = []
-        for key, own in owners.items():
-            # The first firing owner of a shared variant decides.
-            wording = F.coalesce(
-                *[F.when(F.get(fired, n), F.lit(glossary[n].preferred)) for _, n in own[:-1]],
-                F.lit(glossary[own[-1][1]].preferred),
-            )
-            entries += [F.lit(key), wording]
-        wordings = F.create_map(*entries)
-
-        def replaced(p: Column) -> Column:
-            found = replace_each(
-                c,
-                F.concat(F.lit("(?i)"), p),
-                lambda m, _: F.coalesce(F.try_element_at(wordings, F.lower(m)), m),
+
+        def wording(match: Column) -> Column:
+            def first(low: Column) -> Column:
+                owns = F.filter(
+                    fired, lambda e: F.exists(e["variants"], lambda v: v["low"] == low)
+                )
+                return F.get(owns, 0)["preferred"]
+
+            return F.coalesce(let(F.lower(match), first), match)
+
+        def replaced(found: Column) -> Column:
+            patterns = F.transform(F.array_sort(found), lambda v: v["pattern"])
+            return let(
+                F.concat(F.lit("(?i)"), F.array_join(patterns, "|")),
+                lambda p: replace_each(c, p, lambda m, _: wording(m)),
             )
-            return F.when(p == "", c).otherwise(found)
 
-        return let(pattern, replaced)
+        return let(present, lambda v: F.when(F.size(v) == 0, c).otherwise(replaced(v)))
 
     active = original.isNotNull() & c.isNotNull()
     if all(re.search(CJK, k) for e in glossary for k in e.keywords):
         # Every keyword has a CJK letter: other originals cannot fire an entry.
-        active = active & original.rlike(CJK)
+        active = active & ~is_ascii(original) & original.rlike(CJK)
+    fired = F.filter(
+        _entries(glossary), lambda e: F.exists(e["keywords"], lambda k: original.contains(k))
+    )
     return F.when(
-        active,
-        let(
-            F.array(*fires),
-            lambda f: F.when(
-                F.array_contains(f, True), let(F.lower(c), lambda low: rewrite(f, low))
-            ).otherwise(c),
-        ),
+        active, let(fired, lambda f: F.when(F.size(f) == 0, c).otherwise(rewrite(f)))
     ).otherwise(c)
