@@ -172,8 +172,10 @@ def change_audit(
         for i, c in enumerate(watched)
     ]
     joined = left.join(right, keys, "full_outer")
+    # The cast gives the array its type also when no column is watched.
+    kind = "array<struct<col_key:string,original:string,translated:string>>"
     differing = F.filter(
-        F.array(*cells),
+        F.array(*cells).cast(kind),
         lambda x: ~js_trim(x["original"]).eqNullSafe(js_trim(x["translated"])),
     )
     return joined.select(*keys, F.explode(differing).alias("c")).select(*keys, "c.*")
