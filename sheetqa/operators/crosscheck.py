@@ -151,3 +151,8 @@ def cross_check(
             "conflicts",
         )
     )
+
+
+def first_findings(findings: DataFrame, n: int = 5) -> DataFrame:
+    """The first findings in rule order, as a report shows them."""
+    return findings.orderBy("row_idx").limit(n)

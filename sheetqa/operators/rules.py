@@ -199,6 +199,11 @@ def missing_combinations(
     )
 
 
+def first_gaps(missing: DataFrame, n: int = 5) -> DataFrame:
+    """The first gaps in library order, as a report shows them."""
+    return missing.orderBy("ord").limit(n)
+
+
 def rule_check_summary(
     rules: DataFrame, templates: Sequence[Template] = TEMPLATES, strict_operators: bool = False
 ) -> DataFrame:

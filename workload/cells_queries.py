@@ -102,7 +102,7 @@ def parse_string_lines(spark, sf):
 @query(
     f"""with s as (select doc_id, case when contains(text, chr(10)) then text else concat(text, chr(10)) end as text from documents),
     l as (select doc_id, unnest(string_split(text, chr(10))) as line from s)
-    select doc_id, count(*) as n_lines, sum(length(line)) as n_chars,
+    select doc_id, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars,
       count(*) filter ({D.like('line', D.CJK)}) as n_send from l group by doc_id"""
 )
 def split_string_lines(spark, sf):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,12 +93,12 @@ RESPONSES = """
 select cast(floor(o_orderkey / 5) as bigint) as batch_id,
        o_orderkey % 5 as seq,
        o_orderkey as row_idx,
-       e.engine, e.priority,
-       case when floor(o_orderkey / 5) % 6 = 0 or (floor(o_orderkey / 5) + e.priority) % 3 = 0
+       engine, priority,
+       case when floor(o_orderkey / 5) % 6 = 0 or (floor(o_orderkey / 5) + priority) % 3 = 0
             then 'failed to parse model json' else '' end as error,
-       concat('answer ', o_orderkey, ' by ', e.engine) as answer
-from orders cross join (select 'openrouter' as engine, 1 as priority
-                        union all select 'deepseek', 2 union all select 'gemini', 3) e
+       concat('answer ', o_orderkey, ' by ', engine) as answer
+from (select o_orderkey, engine, case engine when 'openrouter' then 1 when 'deepseek' then 2 else 3 end as priority
+      from (select o_orderkey, explode(array('openrouter', 'deepseek', 'gemini')) as engine from orders) n) e
 """
 
 # Status wording inside sentences and short cells.
@@ -189,7 +190,7 @@ from orders
 
 # Translated resource contents per language.
 LANG_LINES = """
-select l.lang, o_orderkey as line_no,
+select lang, o_orderkey as line_no,
        case o_orderkey % 6
          when 0 then '共三条'
          when 1 then 'el aumento de la glucosa con leve'
@@ -197,8 +198,8 @@ select l.lang, o_orderkey as line_no,
          when 3 then 'the mild increase , seen in  cells'
          when 4 then 'Хорошо'
          else 'die Zunahme und der Abnahme mit T 4' end as content
-from orders cross join (select 'English' as lang union all select 'Spanish' union all select 'French'
-  union all select 'German' union all select 'Italian' union all select 'Russian' union all select 'Portuguese') l
+from (select o_orderkey, explode(array('English', 'Spanish', 'French', 'German', 'Italian', 'Russian', 'Portuguese')) as lang
+      from orders) l
 """
 
 
@@ -222,4 +223,4 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """The same text for DuckDB."""
-    return sql.replace("`", '"')
+    return re.sub(r"explode\(array\((.*?)\)\)", r"unnest([\1])", sql.replace("`", '"'))

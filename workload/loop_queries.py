@@ -64,7 +64,7 @@ def retry_request_batches(spark, sf):
 
 @query(
     """with num as (select doc_id, text, row_number() over (order by doc_id) - 1 as k from documents)
-    select k // 20 as batch_id, count(*) as n_records, min(doc_id) as first_row, sum(length(text)) as n_chars
+    select k // 20 as batch_id, count(*) as n_records, min(doc_id) as first_row, cast(sum(length(text)) as bigint) as n_chars
     from num group by 1"""
 )
 def unit_request_batches(spark, sf):
@@ -105,14 +105,19 @@ _KIND = "(select o_orderkey as batch_id, o_orderkey % 7 as kind, o_custkey from
 @query(
     f"""select batch_id, kind not in (4, 6) as ok, 0 as seq, concat('a', o_custkey) as content from {_KIND} where kind not in (4, 6)
     union all select batch_id, true, 1, case kind when 1 then 'b，c' when 5 then '[b]' else 'b' end from {_KIND} where kind not in (4, 6)
-    union all select batch_id, false, null, null from {_KIND} where kind in (4, 6)"""
+    union all select batch_id, false, -1, '' from {_KIND} where kind in (4, 6)"""
 )
 def parse_responses(spark, sf):
     parsed = RS.parse_responses(derive(spark, sf, RAW_OUTPUTS))
     rows = parsed.select(
         "batch_id", (F.col("error") == "").alias("ok"), F.posexplode_outer("records").alias("seq", "r")
     )
-    return rows.select("batch_id", "ok", "seq", F.col("r")["content"].alias("content"))
+    return rows.select(
+        "batch_id",
+        "ok",
+        F.coalesce("seq", F.lit(-1)).alias("seq"),
+        F.coalesce(F.col("r")["content"], F.lit("")).alias("content"),
+    )
 
 
 @query(
@@ -164,10 +169,11 @@ def _memory(spark, sf):
 
 @query(
     f"""with r as ({_REQUESTS} from orders), k as (select distinct lang, payload from r where model = 'gemini')
-    select id, case when model = 'gemini' then concat(lang, payload) end as result, coalesce(model = 'gemini', false) as hit from r"""
+    select id, case when model = 'gemini' then concat(lang, payload) else '' end as result, coalesce(model = 'gemini', false) as hit from r"""
 )
 def memory_lookup(spark, sf):
-    return B.memory_lookup(_requests(spark, sf), _memory(spark, sf)).select("id", "result", "hit")
+    found = B.memory_lookup(_requests(spark, sf), _memory(spark, sf))
+    return found.select("id", F.coalesce("result", F.lit("")).alias("result"), "hit")
 
 
 @query(f"with r as ({_REQUESTS} from orders) select id from r where model is distinct from 'gemini'")
@@ -177,14 +183,14 @@ def memory_misses(spark, sf):
 
 @query(
     f"""with r as ({RESPONSES_SQL}), ok as (select batch_id, row_idx, min(priority) as p from r where error = '' group by all)
-    select d.row_idx, r.engine, r.answer as text, ok.p is null as write_failed
+    select d.row_idx, coalesce(r.engine, '') as engine, coalesce(r.answer, '') as text, ok.p is null as write_failed
     from (select distinct row_idx from r) d left join ok using (row_idx) left join r on r.row_idx = d.row_idx and r.priority = ok.p"""
 )
 def pick_engine(spark, sf):
     responses = derive(spark, sf, RESPONSES).select(
         "row_idx", "engine", (F.col("error") == "").alias("ok"), F.col("answer").alias("text")
     )
-    return B.pick_engine(responses, ["row_idx"])
+    return B.pick_engine(responses, ["row_idx"]).fillna("", ["engine", "text"])
 
 
 @query(
