@@ -20,8 +20,9 @@ ENGLISH_STEPS = [
     (rf"{_U}\be\s*\.\s*g\s*\.\s*,", "e.g.,"),
     (rf"{_U}\be\s*\.\s*g\s*\.\b", "e.g."),
 ]
-# Every pattern above needs one of these.
+# Every pattern above needs one of these, and one of these two letters.
 ENGLISH_WORDS = rf"{_U}abnormalities|metabolic|granulocytes|g\s*\."
+ENGLISH_LETTERS = "[gGmM]"
 _KIND = "(?:abnormal|atypical|unclassified|immature|degenerated|reactive|early)"
 _CELLS = (
     r"(?:granulocytes?|white\s+blood\s+cells?|wbc(?:s)?|monocytes?|nucleated\s+cells?"
@@ -49,12 +50,13 @@ def _chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
 
 def cleanup_english(c: Column) -> Column:
     """Five phrase fixes and two ``e.g.`` fixes; most cells hold none of their words."""
-    return F.when(c.rlike(ENGLISH_WORDS), _chain(c, ENGLISH_STEPS)).otherwise(c)
+    relevant = c.rlike(ENGLISH_LETTERS) & c.rlike(ENGLISH_WORDS)
+    return F.when(relevant, _chain(c, ENGLISH_STEPS)).otherwise(c)
 
 
 def fix_qualifier(c: Column) -> Column:
     """``ALY# (atypical granulocytes)`` and its variants -> atypical lymphocytes."""
-    return F.when(c.rlike(f"{_U}aly"), _chain(c, QUALIFIER_STEPS)).otherwise(c)
+    return F.when(c.rlike("[aA][lL][yY]"), _chain(c, QUALIFIER_STEPS)).otherwise(c)
 
 
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
