@@ -16,7 +16,8 @@ from ..functions.clinical import (
 )
 from ..functions.library import TEMPLATES, Template
 from ..functions.text import has_text, js_trim, let
-from .rules import active, any_contained, rule_text
+from ..schema import doc_keys
+from .rules import active, any_contained, rule_keys, rule_text
 
 # Answering models in report order, confidences and wording.
 MODELS = ["OpenRouter", "Deepseek"]
@@ -75,8 +76,7 @@ def kb_conclusion(rules: DataFrame, templates: Sequence[Template] = TEMPLATES) -
 def prompt_rows(rules: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """What each rule's question to a model contains."""
     return kb_conclusion(rules, templates).select(
-        "rule_id",
-        "row_idx",
+        *rule_keys(rules),
         prompt_text(F.col("description"), F.col("explanation"), F.col("kb_template")).alias(
             "prompt"
         ),
@@ -84,13 +84,14 @@ def prompt_rows(rules: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
 
 
 def answers_by_rule(answers: DataFrame) -> DataFrame:
-    """One row per rule with a column per model from ``answers(rule_id, model, text)``.
+    """One row per rule with a column per model from ``answers([doc keys,] rule_id, model, text)``.
 
     Blank answers are ignored. A maximum per model combines before the shuffle, so a rule with
     very many answer rows does not become one large group.
     """
     text = js_trim(F.col("text"))
-    return answers.filter(has_text(F.col("text"))).groupBy("rule_id").agg(
+    keys = [*doc_keys(answers), "rule_id"]
+    return answers.filter(has_text(F.col("text"))).groupBy(*keys).agg(
         *[F.max(F.when(F.col("model") == m, text)).alias(m) for m in MODELS]
     )
 
@@ -118,7 +119,8 @@ def cross_check(
         for m in MODELS:
             checked = checked.withColumn(m, F.lit(None).cast("string"))
     else:
-        checked = checked.join(answers_by_rule(answers), "rule_id", "left")
+        keys = [*doc_keys(answers), "rule_id"]
+        checked = checked.join(answers_by_rule(answers), keys, "left")
 
     said = [
         F.when(F.col(m).isNotNull(), _conclusion(F.lit(m), F.col(m), confidence(F.col(m))))
@@ -143,8 +145,7 @@ def cross_check(
         checked.withColumn("conclusions", F.array_compact(F.array(own, *said)))
         .withColumn("conflicts", F.flatten(F.array(*found)))
         .select(
-            "rule_id",
-            "row_idx",
+            *rule_keys(rules),
             aggregate_summary(F.col("conclusions")).alias("summary"),
             F.when(n > 0, review).otherwise(F.col("kb_recommendation")).alias("recommendation"),
             "conclusions",

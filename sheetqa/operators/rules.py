@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clinical import parse_conditions, severity
-from ..functions.library import TEMPLATES, Indicator, Template, templates_table
+from ..functions.library import TEMPLATES, Indicator, Template
 from ..functions.text import WS, let
 from ..schema import doc_keys
 
@@ -81,11 +81,16 @@ def extract_rules(wide: DataFrame, sheet: str | None = None) -> DataFrame:
     )
 
 
+def rule_keys(rules: DataFrame) -> list[str]:
+    return [*doc_keys(rules), "rule_id", "row_idx"]
+
+
 def rule_conditions(rules: DataFrame) -> DataFrame:
     """One row per condition, ``pos`` from 0."""
-    return rules.select(
-        "rule_id", "row_idx", F.posexplode("conditions").alias("pos", "c")
-    ).select("rule_id", "row_idx", "pos", "c.indicator", "c.operator", "c.value")
+    keys = rule_keys(rules)
+    return rules.select(*keys, F.posexplode("conditions").alias("pos", "c")).select(
+        *keys, "pos", "c.indicator", "c.operator", "c.value"
+    )
 
 
 def active(templates: Sequence[Template]) -> list[Template]:
@@ -157,45 +162,56 @@ def template_matches(
 
     The library is a Python constant, so it is compiled into the scan: no join at all.
     """
-    flags = rules.select("rule_id", "row_idx", _match_flags(rules, templates, strict_operators).alias("m"))
+    keys = rule_keys(rules)
+    flags = rules.select(*keys, _match_flags(rules, templates, strict_operators).alias("m"))
     ids = [
         F.when(F.col(f"m.t{i}"), F.lit(t.template_id)) for i, t in enumerate(active(templates))
     ]
-    return flags.select(
-        "rule_id", "row_idx", F.explode(F.array_compact(F.array(*ids))).alias("template_id")
-    )
+    return flags.select(*keys, F.explode(F.array_compact(F.array(*ids))).alias("template_id"))
 
 
-def missing_combinations(
-    rules: DataFrame, templates: Sequence[Template] = TEMPLATES, strict_operators: bool = False
+def _coverage(
+    rules: DataFrame, templates: Sequence[Template], strict_operators: bool, by: Sequence[str]
 ) -> DataFrame:
-    """Active templates covered by no rule.
+    """Per group: ``n_rules`` and ``c0``, ``c1`` … saying which active template is covered.
 
-    One aggregate over one scan: a flag per template, combined on the map side; only the one
-    resulting row is compared with the library.
+    One aggregate over one scan; the flags combine before the shuffle, so a group may hold any
+    share of the rules.
     """
-    live = active(templates)
-    covered = rules.select(_match_flags(rules, templates, strict_operators).alias("m")).agg(
-        F.array(
-            *[
-                F.when(F.coalesce(F.bool_or(f"m.t{i}"), F.lit(False)), F.lit(t.template_id))
-                for i, t in enumerate(live)
-            ]
-        ).alias("ids")
+    flags = rules.select(*by, _match_flags(rules, templates, strict_operators).alias("m"))
+    return flags.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rules"),
+        *[
+            F.coalesce(F.bool_or(f"m.t{i}"), F.lit(False)).alias(f"c{i}")
+            for i in range(len(active(templates)))
+        ],
     )
-    found = covered.select(F.explode(F.array_compact("ids")).alias("template_id"))
-    library = templates_table(rules.sparkSession, templates).filter(
-        ~F.col("status").eqNullSafe("discarded")
-    )
-    return library.join(found, "template_id", "left_anti").select(
-        "ord",
-        F.concat(F.lit("missing-"), F.col("template_id")).alias("missing_id"),
-        "template_id",
-        F.col("title").alias("indicator"),
-        F.col("summary").alias("suggestion"),
-        "severity",
-        F.lit("suggested").alias("status"),
-        F.coalesce("evidence", F.expr("cast(array() as array<string>)")).alias("basis"),
+
+
+def missing_combinations(
+    rules: DataFrame,
+    templates: Sequence[Template] = TEMPLATES,
+    strict_operators: bool = False,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Active templates covered by no rule, over all rules or per ``by`` group."""
+    gaps = []
+    for i, t in enumerate(active(templates)):
+        evidence = F.lit(list(t.evidence)).cast("array<string>")
+        gap = F.struct(
+            F.lit(templates.index(t)).alias("ord"),
+            F.lit(f"missing-{t.template_id}").alias("missing_id"),
+            F.lit(t.template_id).alias("template_id"),
+            F.lit(t.title).alias("indicator"),
+            F.lit(t.summary).alias("suggestion"),
+            F.lit(t.severity).alias("severity"),
+            F.lit("suggested").alias("status"),
+            evidence.alias("basis"),
+        )
+        gaps.append(F.when(~F.col(f"c{i}"), gap))
+    covered = _coverage(rules, templates, strict_operators, by)
+    return covered.select(*by, F.explode(F.array_compact(F.array(*gaps))).alias("g")).select(
+        *by, "g.*"
     )
 
 
@@ -205,17 +221,15 @@ def first_gaps(missing: DataFrame, n: int = 5) -> DataFrame:
 
 
 def rule_check_summary(
-    rules: DataFrame, templates: Sequence[Template] = TEMPLATES, strict_operators: bool = False
+    rules: DataFrame,
+    templates: Sequence[Template] = TEMPLATES,
+    strict_operators: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: number of rules and of coverage gaps, from a single pass over the rules."""
-    live = active(templates)
-    hits = [
-        F.coalesce(F.bool_or(f"m.t{i}"), F.lit(False)).cast("bigint") for i in range(len(live))
-    ]
-    covered = hits[0] if hits else F.lit(0)
-    for hit in hits[1:]:
-        covered = covered + hit
-    flags = rules.select(_match_flags(rules, templates, strict_operators).alias("m"))
-    return flags.agg(
-        F.count(F.lit(1)).alias("n_rules"), (F.lit(len(live)) - covered).alias("n_gaps")
+    """Number of rules and of coverage gaps, one row or one per ``by`` group."""
+    gaps = F.lit(0).cast("bigint")
+    for i in range(len(active(templates))):
+        gaps = gaps + (~F.col(f"c{i}")).cast("bigint")
+    return _coverage(rules, templates, strict_operators, by).select(
+        *by, "n_rules", gaps.alias("n_gaps")
     )

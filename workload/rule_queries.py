@@ -147,6 +147,21 @@ def missing_without_discarded(spark, sf):
     return R.missing_combinations(_rules(spark, sf), _DISCARDED).select(*_COLUMNS)
 
 
+@query(
+    f"""with r as (select 'all' as doc_id, * from ({RULES_SQL}) a union all select concat('d', row_idx % 3), * from ({RULES_SQL}) b),
+    {_matches('select concat(doc_id, chr(9), rule_id) as rule_id, row_idx, description, explanation, doc_id from r')},
+    got as (select distinct split_part(rule_id, chr(9), 1) as doc_id, ord from hit),
+    need_all as (select doc_id, ord, template_id from (select distinct doc_id from r) d cross join tp)
+    select doc_id, ord, template_id from need_all anti join got using (doc_id, ord)"""
+)
+def missing_by_document(spark, sf):
+    """One document holds half of the rules."""
+    rules = _rules(spark, sf)
+    third = F.concat(F.lit("d"), (F.col("row_idx") % 3).cast("string"))
+    both = rules.withColumn("doc_id", F.lit("all")).unionByName(rules.withColumn("doc_id", third))
+    return R.missing_combinations(both, by=["doc_id"]).select("doc_id", "ord", "template_id")
+
+
 @query(
     f"""with {_matches(RULES_SQL)} select (select count(*) from tx) as n_rules,
     (select count(*) from tp) - count(distinct ord) as n_gaps from hit"""
