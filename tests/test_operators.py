@@ -19,6 +19,7 @@ from sheetqa.sources import history as H
 from sheetqa.sources import progress as PR
 from sheetqa.sources import reshape as RS
 from sheetqa.sources import responses as RP
+from sheetqa.sources import sheets as SH
 from sheetqa.sources import string_resources as SR
 from sheetqa.sources import xml_text as XT
 from sheetqa.store import scratch_path
@@ -57,6 +58,19 @@ def test_header_keys(spark):
     assert keys == ["WBC", "WBC_1", "WBC_2", "__EMPTY", "__EMPTY_1"]
 
 
+def test_parse_sheet(spark):
+    raw = spark.createDataFrame(
+        [(2, 1, "WBC", "string"), (2, 2, "WBC", "string"), (2, 3, "0", "number"), (3, 1, "unit", "string"), (5, 2, "7", "number")],
+        "sheet_row bigint, col_idx int, value string, value_type string",
+    )
+    got = rows(SH.parse_sheet(raw.withColumn("doc_id", F.lit("f"))).select("row_idx", "col_key", "value", "value_type"))
+    assert [g[:3] for g in got] == [
+        (0, "WBC", "unit"), (0, "WBC_1", ""), (0, "__EMPTY", ""), (1, "WBC", ""), (1, "WBC_1", ""), (1, "__EMPTY", ""),
+        (2, "WBC", ""), (2, "WBC_1", "7"), (2, "__EMPTY", ""),
+    ]
+    assert got[7][3] == "number"
+
+
 def test_cells_and_back(spark):
     df = spark.createDataFrame(
         [("f", 0, "x", 1, True), ("f", 1, None, 2, False)], "doc_id string, row_idx bigint, a string, `b.c` bigint, ok boolean"

@@ -8,6 +8,7 @@ from sheetqa.functions import language as L
 from sheetqa.functions import script as S
 from sheetqa.operators import classify as C
 from sheetqa.sources import reshape as R
+from sheetqa.sources import sheets as SH
 from sheetqa.sources import string_resources as SR
 from sheetqa.sources import xml_text as X
 
@@ -29,6 +30,31 @@ def header_keys(spark, sf):
     return R.header_keys(derive(spark, sf, HEADERS)).select("doc_id", "col_idx", "col_key")
 
 
+_RAW_VALUE = "min(case when l_quantity > 40 then '' when l_quantity > 20 then 'WBC' else concat('c', l_linenumber) end)"
+_RAW = f"""select l_returnflag as doc_id, l_orderkey as sheet_row, l_linenumber - 1 as col_idx, {_RAW_VALUE} as value
+  from lineitem group by 1, 2, 3"""
+
+
+@query(
+    f"""with raw as ({_RAW}), lay as (select doc_id, min(sheet_row) as h, max(sheet_row) as z, min(col_idx) as a, max(col_idx) as b from raw group by doc_id),
+    cols as (select doc_id, h, z, unnest(generate_series(a, b)) as col_idx from lay),
+    hd as (select cols.*, case when coalesce(value, '') = '' then '__EMPTY' else value end as base from cols left join raw on raw.doc_id = cols.doc_id and sheet_row = h and raw.col_idx = cols.col_idx),
+    ks as (select *, row_number() over (partition by doc_id, base order by col_idx) - 1 as seen from hd),
+    grid as (select doc_id, h, col_idx, case when seen = 0 then base else concat(base, '_', seen) end as col_key, unnest(generate_series(h + 1, z)) as sheet_row from ks)
+    select grid.doc_id, grid.sheet_row - h - 1 as row_idx, grid.col_idx, col_key, coalesce(value, '') as value
+    from grid left join raw using (doc_id, sheet_row, col_idx)"""
+)
+def parse_sheet(spark, sf):
+    """Order lines as sparse cells: a sheet per return flag, a row per order."""
+    lines = table(spark, sf, "lineitem")
+    raw = lines.groupBy(
+        F.col("l_returnflag").alias("doc_id"),
+        F.col("l_orderkey").alias("sheet_row"),
+        (F.col("l_linenumber") - 1).alias("col_idx"),
+    ).agg(F.expr(_RAW_VALUE).alias("value"))
+    return SH.parse_sheet(raw).drop("value_type")
+
+
 _WIDE = ["id", "wbc", "n", "flag", "note"]
 _UNPIVOT = " union all ".join(
     f"select row_idx, {i} as col_idx, '{c}' as col_key, coalesce(cast({c} as varchar), '') as value, "
