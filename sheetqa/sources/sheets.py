@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import doc_keys
+from ..store import written
 from .reshape import header_keys
 
 BLOCK = 1 << 16
@@ -46,17 +47,21 @@ def parse_sheet(raw: DataFrame) -> DataFrame:
     header list travels with it, which spares a join on the sheet.
     """
     keys = doc_keys(raw)
-    layout = sheet_layout(raw)
+    # Both are tiny next to the cells and used more than once: keep them, scan the cells less.
+    layout = written(sheet_layout(raw), "layout")
+    headers = written(sheet_headers(raw, layout), "headers")
     # A sheet's columns are bounded by the format's width.
-    named = sheet_headers(raw, layout).groupBy(*keys).agg(
+    named = headers.groupBy(*keys).agg(
         F.collect_list(F.struct("col_idx", "col_key")).alias("_headers")
     )
+    # A fixed number: by their size alone, AQE would merge the few block rows into one task.
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.expr(f"explode(sequence((header_row + 1) div {BLOCK}, last_row div {BLOCK}))")
     blocks = (
         layout.filter("last_row > header_row")
         .join(named, keys)
         .select(*keys, "header_row", "last_row", "_headers", block.alias("_block"))
-        .repartition(*keys, "_block")
+        .repartition(tasks, *keys, "_block")
     )
     first = F.greatest(F.col("header_row") + 1, F.col("_block") * BLOCK)
     last = F.least(F.col("last_row"), (F.col("_block") + 1) * BLOCK - 1)

@@ -11,6 +11,7 @@ from sheetqa.sources import reshape as R
 from sheetqa.sources import sheets as SH
 from sheetqa.sources import string_resources as SR
 from sheetqa.sources import xml_text as X
+from sheetqa.store import written
 
 from . import duck as D
 from .catalog import query
@@ -52,7 +53,8 @@ def parse_sheet(spark, sf):
         F.col("l_orderkey").alias("sheet_row"),
         (F.col("l_linenumber") - 1).alias("col_idx"),
     ).agg(F.expr(_RAW_VALUE).alias("value"))
-    return SH.parse_sheet(raw).drop("value_type")
+    # Stored once, as a reader leaves it.
+    return SH.parse_sheet(written(raw, "raw-cells")).drop("value_type")
 
 
 _WIDE = ["id", "wbc", "n", "flag", "note"]
