@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, mixing, sentencepiece_bpe, simhash
-from .common import documents
+from . import (
+    hash_tree,
+    mixing,
+    ngram_ratio,
+    personal_data,
+    positive_unlabelled,
+    revisits,
+    sentencepiece_bpe,
+    simhash,
+    spotsigs,
+    subword_toxicity,
+)
+from .common import documents, labels
 
 SHARDS = 40
 
@@ -20,11 +31,41 @@ def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with likenesses."""
+    return spotsigs.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op3_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return mixing.mix_documents(documents(spark, sf_dir)).drop("source")
 
 
+def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, from trusted and unlabelled texts."""
+    return positive_unlabelled.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op5_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the quality rules, and which documents are kept."""
+    return ngram_ratio.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document."""
+    return subword_toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each not-modified revisit of the given pages stands for."""
+    return revisits.revisited_pages(spark, sf_dir)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document: counts, digest and spans."""
+    return personal_data.figures(documents(spark, sf_dir))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -77,9 +118,18 @@ from placed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_hash_tree": op1_hash_tree,
-    "op3_water_filling": op3_water_filling,
-    "op9_simhash_pivots": op9_simhash_pivots,
-    "op10_sentencepiece": op10_sentencepiece,
+    f.__name__: f
+    for f in (
+        op1_hash_tree,
+        op2_spotsigs,
+        op3_water_filling,
+        op4_positive_unlabelled,
+        op5_ngram_ratio,
+        op6_subword_toxicity,
+        op7_revisits,
+        op8_personal_data,
+        op9_simhash_pivots,
+        op10_sentencepiece,
+    )
 }
-ORACLES: dict[str, str] = {"op3_water_filling": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_water_filling": OP3_SQL, "op7_revisits": revisits.SQL}
