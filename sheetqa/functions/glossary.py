@@ -21,92 +21,101 @@ class GlossaryEntry(NamedTuple):
     variants: tuple[str, ...] = ()
 
 
-def _entry(line: str) -> GlossaryEntry:
-    keywords, preferred, *variants = line.split(" | ")
-    split = variants[0].split("; ") if variants else []
-    return GlossaryEntry(tuple(keywords.split("、")), preferred, tuple(split))
-
-
-# Source keywords | preferred wording | variants to normalise.
-GLOSSARY_LINES = """
-全自动血液分析仪、自动血液分析仪 | Automated Hematology Analyzer
-血液分析系统、血液分析仪器 | Hematology System
-体外诊断设备、体外诊断仪器 | In Vitro Diagnostic (IVD) Device
-光学单元 | Optical Unit
-光电模组 | Photoelectric Module
-显微镜头相机模组、显微相机模组 | Microscopic Camera Module
-载物台移动模块 | Stage Movement Module
-自动加样模块 | Automated Sampling Module
-移液器组件 | Pipettor Assembly
-计数板、计数室 | Counting Chamber
-朗伯-比尔定律、比尔朗伯定律 | Beer-Lambert Law
-柱塞泵 | Plunger Pump
-电磁兼容性 | Electromagnetic Compatibility (EMC)
-血常规检测、血常规 | Complete Blood Count (CBC)
-白细胞 | White Blood Cell (WBC)
-异常淋巴细胞、异形淋巴细胞、非典型淋巴细胞 | Atypical Lymphocytes (ALY#) | Atypical granulocytes; Immature granulocytes; Atypical granulocytes (ALY#); Immature granulocytes (ALY#); granulocytes (ALY#)
-红细胞 | Red Blood Cell (RBC)
-网织红细胞 | Reticulocytes | Reticulocyte; reticulocytes; reticulocyte
-网织红细胞比率、网织红细胞比例、网织红细胞率 | Reticulocyte Percentage | Reticulocyte Ratio; Reticulocyte percent; Reticulocyte percentage
-网织红细胞计数 | Reticulocyte Count | Reticulocyte count
-影红细胞 | Ghost Cells | Ghost cells; Ghost RBCs; Ghost red blood cells
-球形红细胞增多症 | Spherocytosis | spherocytosis
-球形红细胞 | Spherocytes | Spherocyte; spherocytes; spherocyte
-血小板 | Platelet (PLT)
-血红蛋白 | Hemoglobin (HGB)
-血红蛋白浓度 | Hemoglobin Concentration | Hemoglobin concentration
-血红蛋白含量 | Hemoglobin Content | Hemoglobin content
-平均红细胞血红蛋白含量 | Mean Corpuscular Hemoglobin (MCH) | Mean Corpuscular Hemoglobin; MCH
-平均红细胞血红蛋白浓度 | Mean Corpuscular Hemoglobin Concentration (MCHC) | Mean Corpuscular Hemoglobin Concentration; MCHC
-平均红细胞体积 | Mean Corpuscular Volume (MCV)
-红细胞压积 | Hematocrit (HCT) | Hematocrit; HCT
-红细胞生成素、促红细胞生成素 | Erythropoietin (EPO) | Erythropoietin; EPO
-血液浓缩 | Hemoconcentration | hemoconcentration
-溶血 | Hemolysis | hemolysis
-血管内溶血 | Intravascular Hemolysis | intravascular hemolysis
-血管外溶血 | Extravascular Hemolysis | extravascular hemolysis
-混合性溶血 | Mixed Hemolysis | mixed hemolysis
-溶血性贫血 | Hemolytic Anemia | hemolytic anemia
-自身免疫性溶血性贫血 | Autoimmune Hemolytic Anemia | autoimmune hemolytic anemia
-免疫介导性溶血性贫血 | Immune-Mediated Hemolytic Anemia (IMHA) | Immune-mediated hemolytic anemia; IMHA
-巨幼红细胞性贫血 | Megaloblastic Anemia | megaloblastic anemia
-大细胞性贫血 | Macrocytic Anemia | macrocytic anemia
-大红细胞增多症 | Macrocytosis | macrocytosis
-小细胞性贫血 | Microcytic Anemia | microcytic anemia
-小细胞低色素性贫血 | Microcytic Hypochromic Anemia | microcytic hypochromic anemia
-缺铁性贫血 | Iron Deficiency Anemia | iron deficiency anemia
-慢性失血性贫血 | Chronic Hemorrhagic Anemia | chronic hemorrhagic anemia
-急性失血性贫血 | Acute Hemorrhagic Anemia | acute hemorrhagic anemia
-营养性贫血 | Nutritional Anemia | nutritional anemia
-再生障碍性贫血 | Aplastic Anemia | aplastic anemia
-遗传性球形红细胞增多症 | Hereditary Spherocytosis | hereditary spherocytosis
-骨髓增生异常综合征 | Myelodysplastic Syndrome (MDS) | myelodysplastic syndrome; MDS
-真性红细胞增多症 | Polycythemia Vera | polycythemia vera
-直方图 | Histogram
-抗凝剂 | Anticoagulant (EDTA)
-静脉血 | Venous Blood
-末梢血 | Capillary Blood
-有形成分 | Formed Elements
-生物危害、潜在传染物 | Biohazard
-耗材 | Consumables
-试剂盒 | Reagent Kit
-批次号 | Lot Number
-校准系数、校准 | Calibration Factor
-质控品、质控 | Quality Control (QC)
-靶值 | Target Value
-标准差 | Standard Deviation (SD)
-变异系数 | Coefficient of Variation (CV)
-LJ质控图 | Levey-Jennings Chart
-LIS连接 | LIS Connection
-样本前处理 | Sample Pre-processing
-参考范围 | Reference Range
-复测、重新测试 | Rerun
-使用寿命、寿命 | Lifetime | Service Life; Service Lifetime; Analyzer Service Life
-DC接口 | DC Port | DC Interface; DC interface
-USB接口 | USB Port | USB Interface; USB interface
-EH-BUS接口 | EH-BUS Port | EH-BUS Interface; EH-BUS interface
-"""
-GLOSSARY = [_entry(line) for line in GLOSSARY_LINES.strip().splitlines()]
+# Source keywords, preferred wording, variants to normalise.
+GLOSSARY = [
+    GlossaryEntry(("全自动血液分析仪", "自动血液分析仪"), "Automated Hematology Analyzer"),
+    GlossaryEntry(("血液分析系统", "血液分析仪器"), "Hematology System"),
+    GlossaryEntry(("体外诊断设备", "体外诊断仪器"), "In Vitro Diagnostic (IVD) Device"),
+    GlossaryEntry(("光学单元",), "Optical Unit"),
+    GlossaryEntry(("光电模组",), "Photoelectric Module"),
+    GlossaryEntry(("显微镜头相机模组", "显微相机模组"), "Microscopic Camera Module"),
+    GlossaryEntry(("载物台移动模块",), "Stage Movement Module"),
+    GlossaryEntry(("自动加样模块",), "Automated Sampling Module"),
+    GlossaryEntry(("移液器组件",), "Pipettor Assembly"),
+    GlossaryEntry(("计数板", "计数室"), "Counting Chamber"),
+    GlossaryEntry(("朗伯-比尔定律", "比尔朗伯定律"), "Beer-Lambert Law"),
+    GlossaryEntry(("柱塞泵",), "Plunger Pump"),
+    GlossaryEntry(("电磁兼容性",), "Electromagnetic Compatibility (EMC)"),
+    GlossaryEntry(("血常规检测", "血常规"), "Complete Blood Count (CBC)"),
+    GlossaryEntry(("白细胞",), "White Blood Cell (WBC)"),
+    GlossaryEntry(
+        ("异常淋巴细胞", "异形淋巴细胞", "非典型淋巴细胞"),
+        "Atypical Lymphocytes (ALY#)",
+        ("Atypical granulocytes", "Immature granulocytes", "Atypical granulocytes (ALY#)", "Immature granulocytes (ALY#)", "granulocytes (ALY#)"),
+    ),
+    GlossaryEntry(("红细胞",), "Red Blood Cell (RBC)"),
+    GlossaryEntry(("网织红细胞",), "Reticulocytes", ("Reticulocyte", "reticulocytes", "reticulocyte")),
+    GlossaryEntry(
+        ("网织红细胞比率", "网织红细胞比例", "网织红细胞率"),
+        "Reticulocyte Percentage",
+        ("Reticulocyte Ratio", "Reticulocyte percent", "Reticulocyte percentage"),
+    ),
+    GlossaryEntry(("网织红细胞计数",), "Reticulocyte Count", ("Reticulocyte count",)),
+    GlossaryEntry(("影红细胞",), "Ghost Cells", ("Ghost cells", "Ghost RBCs", "Ghost red blood cells")),
+    GlossaryEntry(("球形红细胞增多症",), "Spherocytosis", ("spherocytosis",)),
+    GlossaryEntry(("球形红细胞",), "Spherocytes", ("Spherocyte", "spherocytes", "spherocyte")),
+    GlossaryEntry(("血小板",), "Platelet (PLT)"),
+    GlossaryEntry(("血红蛋白",), "Hemoglobin (HGB)"),
+    GlossaryEntry(("血红蛋白浓度",), "Hemoglobin Concentration", ("Hemoglobin concentration",)),
+    GlossaryEntry(("血红蛋白含量",), "Hemoglobin Content", ("Hemoglobin content",)),
+    GlossaryEntry(("平均红细胞血红蛋白含量",), "Mean Corpuscular Hemoglobin (MCH)", ("Mean Corpuscular Hemoglobin", "MCH")),
+    GlossaryEntry(
+        ("平均红细胞血红蛋白浓度",),
+        "Mean Corpuscular Hemoglobin Concentration (MCHC)",
+        ("Mean Corpuscular Hemoglobin Concentration", "MCHC"),
+    ),
+    GlossaryEntry(("平均红细胞体积",), "Mean Corpuscular Volume (MCV)"),
+    GlossaryEntry(("红细胞压积",), "Hematocrit (HCT)", ("Hematocrit", "HCT")),
+    GlossaryEntry(("红细胞生成素", "促红细胞生成素"), "Erythropoietin (EPO)", ("Erythropoietin", "EPO")),
+    GlossaryEntry(("血液浓缩",), "Hemoconcentration", ("hemoconcentration",)),
+    GlossaryEntry(("溶血",), "Hemolysis", ("hemolysis",)),
+    GlossaryEntry(("血管内溶血",), "Intravascular Hemolysis", ("intravascular hemolysis",)),
+    GlossaryEntry(("血管外溶血",), "Extravascular Hemolysis", ("extravascular hemolysis",)),
+    GlossaryEntry(("混合性溶血",), "Mixed Hemolysis", ("mixed hemolysis",)),
+    GlossaryEntry(("溶血性贫血",), "Hemolytic Anemia", ("hemolytic anemia",)),
+    GlossaryEntry(("自身免疫性溶血性贫血",), "Autoimmune Hemolytic Anemia", ("autoimmune hemolytic anemia",)),
+    GlossaryEntry(
+        ("免疫介导性溶血性贫血",),
+        "Immune-Mediated Hemolytic Anemia (IMHA)",
+        ("Immune-mediated hemolytic anemia", "IMHA"),
+    ),
+    GlossaryEntry(("巨幼红细胞性贫血",), "Megaloblastic Anemia", ("megaloblastic anemia",)),
+    GlossaryEntry(("大细胞性贫血",), "Macrocytic Anemia", ("macrocytic anemia",)),
+    GlossaryEntry(("大红细胞增多症",), "Macrocytosis", ("macrocytosis",)),
+    GlossaryEntry(("小细胞性贫血",), "Microcytic Anemia", ("microcytic anemia",)),
+    GlossaryEntry(("小细胞低色素性贫血",), "Microcytic Hypochromic Anemia", ("microcytic hypochromic anemia",)),
+    GlossaryEntry(("缺铁性贫血",), "Iron Deficiency Anemia", ("iron deficiency anemia",)),
+    GlossaryEntry(("慢性失血性贫血",), "Chronic Hemorrhagic Anemia", ("chronic hemorrhagic anemia",)),
+    GlossaryEntry(("急性失血性贫血",), "Acute Hemorrhagic Anemia", ("acute hemorrhagic anemia",)),
+    GlossaryEntry(("营养性贫血",), "Nutritional Anemia", ("nutritional anemia",)),
+    GlossaryEntry(("再生障碍性贫血",), "Aplastic Anemia", ("aplastic anemia",)),
+    GlossaryEntry(("遗传性球形红细胞增多症",), "Hereditary Spherocytosis", ("hereditary spherocytosis",)),
+    GlossaryEntry(("骨髓增生异常综合征",), "Myelodysplastic Syndrome (MDS)", ("myelodysplastic syndrome", "MDS")),
+    GlossaryEntry(("真性红细胞增多症",), "Polycythemia Vera", ("polycythemia vera",)),
+    GlossaryEntry(("直方图",), "Histogram"),
+    GlossaryEntry(("抗凝剂",), "Anticoagulant (EDTA)"),
+    GlossaryEntry(("静脉血",), "Venous Blood"),
+    GlossaryEntry(("末梢血",), "Capillary Blood"),
+    GlossaryEntry(("有形成分",), "Formed Elements"),
+    GlossaryEntry(("生物危害", "潜在传染物"), "Biohazard"),
+    GlossaryEntry(("耗材",), "Consumables"),
+    GlossaryEntry(("试剂盒",), "Reagent Kit"),
+    GlossaryEntry(("批次号",), "Lot Number"),
+    GlossaryEntry(("校准系数", "校准"), "Calibration Factor"),
+    GlossaryEntry(("质控品", "质控"), "Quality Control (QC)"),
+    GlossaryEntry(("靶值",), "Target Value"),
+    GlossaryEntry(("标准差",), "Standard Deviation (SD)"),
+    GlossaryEntry(("变异系数",), "Coefficient of Variation (CV)"),
+    GlossaryEntry(("LJ质控图",), "Levey-Jennings Chart"),
+    GlossaryEntry(("LIS连接",), "LIS Connection"),
+    GlossaryEntry(("样本前处理",), "Sample Pre-processing"),
+    GlossaryEntry(("参考范围",), "Reference Range"),
+    GlossaryEntry(("复测", "重新测试"), "Rerun"),
+    GlossaryEntry(("使用寿命", "寿命"), "Lifetime", ("Service Life", "Service Lifetime", "Analyzer Service Life")),
+    GlossaryEntry(("DC接口",), "DC Port", ("DC Interface", "DC interface")),
+    GlossaryEntry(("USB接口",), "USB Port", ("USB Interface", "USB interface")),
+    GlossaryEntry(("EH-BUS接口",), "EH-BUS Port", ("EH-BUS Interface", "EH-BUS interface")),
+]
 
 
 def glossary_table(spark: SparkSession, glossary: Sequence[GlossaryEntry] = GLOSSARY) -> DataFrame:

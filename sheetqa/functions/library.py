@@ -129,10 +129,12 @@ def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return literal_table(spark, rows, schema)
 
 
-# Wording inserted for a raised abnormal-cell indicator. Profile v2 differs from
-# v1 only in its prompts, which cite literature.
-WHITE_CELLS = {
-    "basis": "AWBC为异常白细胞计数，升高提示异常细胞聚集或未分类白细胞成分增加，建议复查或人工镜检。",
+# Wording inserted for a raised abnormal-cell indicator, per profile.
+WHITE_CELLS_V1 = {
+    "prompt": (
+        "AWBC↑提示存在异常白细胞群或异常细胞成分增多，需结合血涂片及临床情况评估感染、炎症或血液系统异常。"
+    ),
+    "basis": "AWBC为机器学习识别的异常白细胞计数，升高提示异常细胞聚集或未分类白细胞成分增加，建议复查或人工镜检。",
     "short": "AWBC↑提示异常白细胞风险",
     "interpretation": "AWBC为异常白细胞计数，升高提示异常细胞成分增多，需结合感染/炎症或血液系统异常进一步评估。",
     "disease": {
@@ -143,7 +145,10 @@ WHITE_CELLS = {
         "keywords": ["AWBC", "异常白细胞"],
     },
 }
-SICKLE_CELLS = {
+SICKLE_CELLS_V1 = {
+    "prompt": (
+        "SRBC↑提示镰刀型红细胞存在，需考虑镰刀型细胞贫血风险或携带者状态。"
+    ),
     "basis": "SRBC为镰刀型红细胞识别计数，升高提示红细胞形态异常，常见于镰刀型细胞贫血或携带者。",
     "short": "SRBC↑提示镰刀型细胞贫血风险",
     "interpretation": "SRBC升高提示镰刀型红细胞存在，需结合溶血指标与病史评估镰刀型细胞贫血或携带者状态。",
@@ -155,23 +160,43 @@ SICKLE_CELLS = {
         "keywords": ["SRBC", "镰刀"],
     },
 }
-PROMPTS = {
-    "v1": (
-        "AWBC↑提示存在异常白细胞群或异常细胞成分增多，需结合血涂片及临床情况评估感染、炎症或血液系统异常。",
-        "SRBC↑提示镰刀型红细胞存在，需考虑镰刀型细胞贫血风险或携带者状态。",
+WHITE_CELLS_V2 = {
+    "prompt": (
+        "检测到白细胞AWBC指标升高异常，多见于：炎症/感染相关的毒性改变或异常形态细胞 [13][14]，外周血异常"
+        "/幼稚细胞增多或血液系统异常线索 [9][12]，需进行涂片复核与异常形态确认 [10][11]。请医生查看细"
+        "胞图片，建议进一步询问感染症状/近期用药史，或做外周血涂片复核与人工分类排查 [10][11]。"
     ),
-    "v2": (
-        "检测到白细胞AWBC指标升高异常，多见于：炎症/感染相关的毒性改变或异常形态细胞 [13][14]，"
-        "外周血异常/幼稚细胞增多或血液系统异常线索 [9][12]，需进行涂片复核与异常形态确认 [10][11]。"
-        "请医生查看细胞图片，建议进一步询问感染症状/近期用药史，或做外周血涂片复核与人工分类排查 [10][11]。",
-        "检测到红细胞SRBC指标升高异常，多见于：镰刀型细胞贫血或携带者状态 [15][16]，"
-        "或镰刀红细胞形态提示 [18]。请医生查看细胞图片，建议进一步询问家族史/贫血相关症状，"
-        "或做血红蛋白电泳/HPLC/基因检测 [15][17][19] 排查。",
+    "basis": "AWBC为异常白细胞计数，升高提示异常细胞聚集或未分类白细胞成分增加，建议复查或人工镜检。",
+    "short": "AWBC↑提示异常白细胞风险",
+    "interpretation": "AWBC为异常白细胞计数，升高提示异常细胞成分增多，需结合感染/炎症或血液系统异常进一步评估。",
+    "disease": {
+        "name": "血液系统异常风险（需排除白血病/骨髓增生性疾病）",
+        "probability": "中等",
+        "analysis": "AWBC↑提示存在异常白细胞群或未分类细胞成分增多，需结合血涂片或进一步检查排除血液系统异常。",
+        "priority": 2,
+        "keywords": ["AWBC", "异常白细胞"],
+    },
+}
+SICKLE_CELLS_V2 = {
+    "prompt": (
+        "检测到红细胞SRBC指标升高异常，多见于：镰刀型细胞贫血或携带者状态 [15][16]，或镰刀红细胞形态提示 "
+        "[18]。请医生查看细胞图片，建议进一步询问家族史/贫血相关症状，或做血红蛋白电泳/HPLC/基因检测 [15"
+        "][17][19] 排查。"
     ),
+    "basis": "SRBC为镰刀型红细胞识别计数，升高提示红细胞形态异常，常见于镰刀型细胞贫血或携带者。",
+    "short": "SRBC↑提示镰刀型细胞贫血风险",
+    "interpretation": "SRBC升高提示镰刀型红细胞存在，需结合溶血指标与病史评估镰刀型细胞贫血或携带者状态。",
+    "disease": {
+        "name": "镰刀型细胞贫血/携带者状态",
+        "probability": "较高",
+        "analysis": "SRBC↑提示红细胞形态异常，需排查镰刀型细胞贫血或携带者状态，结合HGB/RET%等指标评估溶血程度。",
+        "priority": 1,
+        "keywords": ["SRBC", "镰刀"],
+    },
 }
+PROFILES = {"v1": (WHITE_CELLS_V1, SICKLE_CELLS_V1), "v2": (WHITE_CELLS_V2, SICKLE_CELLS_V2)}
 
 
 def profile(name: str) -> tuple[dict, dict]:
     """(white-cell, sickle-cell) wording of profile ``v1`` or ``v2``."""
-    white, sickle = PROMPTS[name]
-    return {**WHITE_CELLS, "prompt": white}, {**SICKLE_CELLS, "prompt": sickle}
+    return PROFILES[name]

@@ -106,14 +106,11 @@ def cross_check(
     rules: DataFrame,
     templates: Sequence[Template] = TEMPLATES,
     answers: DataFrame | None = None,
-    max_items: int | None = None,
 ) -> DataFrame:
     """Per rule: conclusions in model order, conflicts, summary and recommendation.
 
-    ``max_items`` checks the first rules by ``row_idx`` only.
+    Rows with the same ``rule_id`` in one sheet share its answers.
     """
-    if max_items is not None:
-        rules = rules.orderBy("row_idx").limit(max_items)
     checked = kb_conclusion(rules, templates)
     if answers is None:
         for m in MODELS:
@@ -154,6 +151,6 @@ def cross_check(
     )
 
 
-def first_findings(findings: DataFrame, n: int = 5) -> DataFrame:
+def first_findings(findings: DataFrame, n: int) -> DataFrame:
     """The first findings in rule order, as a report shows them."""
     return findings.orderBy("row_idx").limit(n)

@@ -78,9 +78,13 @@ def _polish_restore(
 
 
 def _with_answers(cells: DataFrame, answers: DataFrame) -> DataFrame:
-    """Left-join ``answers(keys, answer)``; a missing answer is NULL."""
+    """Left-join ``answers(keys, answer)``; a missing answer is NULL.
+
+    A key that is answered twice counts once, so no cell is multiplied.
+    """
     keys = cell_keys(cells)
-    return cells.join(answers.select(*keys, "answer"), keys, "left")
+    once = answers.groupBy(*keys).agg(F.max("answer").alias("answer"))
+    return cells.join(once, keys, "left")
 
 
 def merge_translations(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.language import is_untranslated
 from ..functions.quality import cjk_residue, id_mismatch, placeholder_leak, spacing_issue
-from ..ranking import ranked
+from ..ranking import running
 from ..schema import cell_keys, doc_keys, is_string, row_keys, text_of
 from .classify import changed
 
@@ -121,69 +121,97 @@ def quality_by_lang(lines: DataFrame, lang: str = "lang", content: str = "conten
     )
 
 
+# Shares into which a group is cut before its first rows are picked.
+SHARES = 64
+
+
 def first_n(df: DataFrame, by: list[str], order: list, n: int, out: str = "pos") -> DataFrame:
-    """The first ``n`` rows of each group. Spark cuts groups to ``n`` before it shuffles them."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= n)
+    """The first ``n`` rows of each group, numbered by ``out``.
 
+    Each task cuts its own share of a group to ``n`` rows before these are shuffled; without
+    groups this is a sort with a limit.
+    """
+    if by:
+        share = Window.partitionBy(*by, F.pmod(F.xxhash64(*df.columns), F.lit(SHARES))).orderBy(*order)
+        cut = df.withColumn(out, F.row_number().over(share)).filter(F.col(out) <= n)
+        return (
+            cut.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+            .filter(F.col(out) <= n)
+        )
+    return df.orderBy(*order).limit(n).withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
-def row_ranges(
-    df: DataFrame, idx: str = "row_idx", by: list[str] | None = None, limit: int = 3
-) -> DataFrame:
-    """Row indices of each group as ``1-3, 7, 9-10...`` (one-based, first ``limit`` runs).
 
-    Runs of consecutive indices share ``idx - rank``. Grouping on that combines before the
-    shuffle, so one endless run costs no more than many short ones.
+def row_runs(df: DataFrame, idx: str = "row_idx", by: list[str] | None = None) -> DataFrame:
+    """All runs of consecutive indices: ``by…, seq, first_row, last_row`` (one-based rows).
+
+    An index that occurs again ends the run before it and starts a new one. ``seq`` orders the
+    runs of a group from 1. Runs share the difference of index and distinct rank, and the
+    number of repetitions before them, so an endless run combines before the shuffle.
     """
     by = by or []
-    numbered = ranked(df.select(*by, idx).distinct(), by, idx)
-    runs = numbered.groupBy(*by, (F.col(idx) - F.col("rank")).alias("_run")).agg(
-        F.min(idx).alias("_from"), F.max(idx).alias("_to")
+    copies = df.groupBy(*by, idx).agg(F.count(F.lit(1)).alias("_copies"))
+    numbered = running(copies, by, [idx], {"_rank": F.lit(1), "_repeats": F.col("_copies") - 1})
+    parts = numbered.select(
+        *by,
+        F.col(idx).alias("_idx"),
+        (F.col(idx) - F.col("_rank")).alias("_island"),
+        F.explode(F.sequence(F.col("_repeats"), F.col("_repeats") + F.col("_copies") - 1)).alias("_nth"),
     )
-    label = F.when(F.col("_from") == F.col("_to"), (F.col("_from") + 1).cast("string")).otherwise(
-        F.concat((F.col("_from") + 1).cast("string"), F.lit("-"), (F.col("_to") + 1).cast("string"))
+    runs = parts.groupBy(*by, "_island", "_nth").agg(F.min("_idx").alias("_from"), F.max("_idx").alias("_to"))
+    return running(runs, by, ["_from", "_nth"], {"seq": F.lit(1)}).select(
+        *by,
+        (F.col("seq") + 1).alias("seq"),
+        (F.col("_from") + 1).alias("first_row"),
+        (F.col("_to") + 1).alias("last_row"),
     )
-    return _preview(runs.withColumn("_label", label), by, ["_from"], limit, "...", "ranges")
 
 
-def _preview(
-    df: DataFrame, by: list[str], order: list[str], limit: int, more: str, out: str
+def row_ranges(
+    df: DataFrame, limit: int, idx: str = "row_idx", by: list[str] | None = None
 ) -> DataFrame:
-    """Join the first ``limit`` labels of each group; ``more`` marks that others follow."""
-    picked = first_n(df, by, order, limit + 1, "_pos")
+    """Row indices of each group as ``1-3, 7, 9-10...``: the first ``limit`` of ``row_runs``."""
+    by = by or []
+    one = F.col("first_row") == F.col("last_row")
+    label = F.when(one, F.col("first_row").cast("string")).otherwise(
+        F.concat_ws("-", "first_row", "last_row")
+    )
+    runs = row_runs(df, idx, by).filter(F.col("seq") <= limit + 1)
+    return _joined(runs.select(*by, F.col("seq").alias("_pos"), label.alias("_label")), by, limit, "...", "ranges")
+
+
+def _joined(picked: DataFrame, by: list[str], limit: int, more: str, out: str) -> DataFrame:
+    """Labels by ``_pos`` with commas; ``more`` marks that there are more than ``limit``."""
     listed = F.array_sort(F.collect_list(F.struct("_pos", "_label")))
     shown = F.array_join(F.transform(F.slice(listed, 1, limit), lambda x: x["_label"]), ", ")
     tail = F.when(F.count(F.lit(1)) > limit, F.lit(more)).otherwise("")
     return picked.groupBy(*by).agg(F.concat(shown, tail).alias(out))
 
 
+def places(found: DataFrame, data_start: int = 1) -> DataFrame:
+    """``place`` of every found cell: ``R{row}/{column}`` with sheet row = data start + index + 1."""
+    row = (F.col("row_idx") + data_start + 1).cast("string")
+    return found.withColumn("place", F.concat(F.lit("R"), row, F.lit("/"), F.col("col_key")))
+
+
 def location_preview(
-    found: DataFrame, n: int = 5, data_start: int = 1, by: list[str] | None = None
+    found: DataFrame, n: int, data_start: int = 1, by: list[str] | None = None
 ) -> DataFrame:
-    """``R{row}/{column}`` of the first ``n`` distinct places, then ``, ...`` if there are more.
+    """The first ``n`` of ``places`` in sheet order, then ``, ...`` if there are more.
 
-    Sheet row = data start + index + 1. ``found`` has the keys of ``untranslated_cells``;
-    columns follow ``col_idx`` where it is present.
+    Columns follow ``col_idx`` where it is present. Cell keys are unique, so rows are cut
+    before anything else.
     """
     by = doc_keys(found) if by is None else by
     column = "col_idx" if "col_idx" in found.columns else "col_key"
-    label = F.concat(
-        F.lit("R"),
-        (F.col("row_idx") + data_start + 1).cast("string"),
-        F.lit("/"),
-        F.col("col_key"),
-    )
-    places = (
-        found.withColumn("_label", label)
-        .groupBy(*by, "row_idx", "_label")
-        .agg(F.min(column).alias("_col"))
-    )
-    return _preview(places, by, ["row_idx", "_col"], n, ", ...", "preview")
+    narrow = places(found, data_start).select(*by, "row_idx", F.col(column).alias("_col"), F.col("place").alias("_label"))
+    return _joined(first_n(narrow, by, ["row_idx", "_col"], n + 1, "_pos"), by, n, ", ...", "preview")
 
 
 def progress(rows: DataFrame) -> DataFrame:
     """Per sheet: rows done of total, percent (half rounds up), remaining, missing, write-failed.
 
+    The percentage divides before it multiplies, both in double, so 29 of 200 is 14.
+
     ``rows``: one per sheet row with booleans ``done``, ``missing``, ``write_failed``.
     """
     done, total = F.col("done_rows"), F.col("total_rows")
@@ -195,7 +223,7 @@ def progress(rows: DataFrame) -> DataFrame:
             F.count_if("missing").alias("missing_rows"),
             F.count_if("write_failed").alias("write_failed_rows"),
         )
-        .withColumn("percent", F.floor(done * 100 / total + 0.5).cast("bigint"))
+        .withColumn("percent", F.floor(done / total * 100 + 0.5).cast("bigint"))
         .withColumn("remaining_rows", total - done)
     )
 
@@ -222,17 +250,22 @@ def sheet_profile(cells: DataFrame) -> DataFrame:
     )
 
 
-def issue_samples(issues: DataFrame, n: int = 3) -> DataFrame:
+def issue_list(issues: DataFrame) -> DataFrame:
+    """All issues, numbered by ``pos`` from 1 in sheet order within their type."""
+    return running(issues, ["type"], _sheet_order(issues), {"pos": F.lit(1)}).withColumn("pos", F.col("pos") + 1)
+
+
+def issue_samples(issues: DataFrame, n: int) -> DataFrame:
     """The first ``n`` issues of each type in sheet order."""
-    column = "col_idx" if "col_idx" in issues.columns else "col_key"
-    return first_n(issues, ["type"], [*row_keys(issues), column], n)
+    return first_n(issues, ["type"], _sheet_order(issues), n)
+
+
+def _sheet_order(issues: DataFrame) -> list[str]:
+    return [*row_keys(issues), "col_idx" if "col_idx" in issues.columns else "col_key"]
 
 
-def latest_rows(cells: DataFrame, n: int = 10) -> DataFrame:
+def latest_rows(cells: DataFrame, n: int) -> DataFrame:
     """Cells of the last ``n`` rows of each sheet with a ``changed`` flag; ``pos`` 1 is newest."""
-    window = Window.partitionBy(*doc_keys(cells)).orderBy(F.desc("row_idx"))
-    return (
-        cells.withColumn("pos", F.dense_rank().over(window))
-        .filter(F.col("pos") <= n)
-        .withColumn("changed", changed(F.col("original"), F.col("translated")))
-    )
+    keys, docs = row_keys(cells), doc_keys(cells)
+    newest = first_n(cells.select(*keys).distinct(), docs, [F.desc("row_idx")], n)
+    return cells.join(newest, keys).withColumn("changed", changed(F.col("original"), F.col("translated")))

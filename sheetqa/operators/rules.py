@@ -215,7 +215,7 @@ def missing_combinations(
     )
 
 
-def first_gaps(missing: DataFrame, n: int = 5) -> DataFrame:
+def first_gaps(missing: DataFrame, n: int) -> DataFrame:
     """The first gaps in library order, as a report shows them."""
     return missing.orderBy("ord").limit(n)
 

@@ -33,12 +33,12 @@ def resource_requests(texts: DataFrame, by: list[str]) -> tuple[DataFrame, DataF
 
 
 def finish_resources(
-    entries: DataFrame, answers: DataFrame, by: list[str], lines_per_part: int = 10_000
+    entries: DataFrame, answers: DataFrame, by: list[str]
 ) -> DataFrame:
-    """Translated files ``(by…, lang, part_no, text)`` from ``answers(by…, line_no, lang, answer)``."""
+    """Translated files ``(by…, lang, block_no, text)`` from ``answers(by…, line_no, lang, answer)``."""
     keys = [*by, "line_no", "lang"]
     merged = merge_string_lines(per_language(entries), answers, keys)
-    return join_string_lines(merged, [*by, "lang"], "merged", lines_per_part)
+    return join_string_lines(merged, [*by, "lang"], "merged")
 
 
 def resource_quality(files: DataFrame, by: list[str]) -> DataFrame:

@@ -21,7 +21,6 @@ def check_rules(
     original: DataFrame,
     translated: DataFrame | None = None,
     answers: DataFrame | None = None,
-    max_items: int | None = None,
 ) -> RuleCheck:
     """Translated rows if there are any, else the originals."""
     rules = extract_rules(original if translated is None else translated)
@@ -29,5 +28,5 @@ def check_rules(
         rules,
         missing_combinations(rules),
         rule_check_summary(rules),
-        cross_check(rules, answers=answers, max_items=max_items),
+        cross_check(rules, answers=answers),
     )

@@ -1,47 +1,62 @@
-"""Row numbers inside groups of any size.
+"""Row numbers and running sums inside groups of any size, by any order.
 
 ``row_number() over (partition by doc order by row_idx)`` puts one document into one task.
-Here a group is cut into blocks of the ordering integer; a block holds at most ``2 ** bits``
-rows because the integer is unique inside its group. Numbers inside a block come from a small
-window; what lies before a block comes from a running sum over the blocks' counts, which are
-tens of thousands of times fewer than the rows.
+Here the rows are sorted by group and order in range partitions and written once; sums inside a
+partition take a window over that partition's rows, sums before it come from one row for each
+group in each partition. How the order's values lie does not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
+from .store import written
 
+_EARLIER = Window.unboundedPreceding, -1
+# A position is the partition's number above this bit, the place in the partition below it.
+_PLACE_BITS = 33
 
-def ranked(
-    df: DataFrame,
-    groups: Sequence[str],
-    idx: str = "row_idx",
-    out: str = "rank",
-    bits: int = BLOCK_BITS,
+
+def running(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column]
 ) -> DataFrame:
-    """Add ``out`` = 1, 2, … by ``idx`` inside each group; ``idx`` is unique in its group.
+    """Add a column per entry of ``sums``: its value's sum over the group's earlier rows.
 
-    Keys are not NULL (as everywhere in the canonical tables). ``df`` is read twice, the
-    first time for its keys only; its rows are shuffled once, on (group, block), and the
-    join with the blocks' starts reuses that partitioning or broadcasts the starts.
+    ``order`` should leave no ties; what it leaves is in arbitrary, fixed order. NULL is a group
+    like others. Rows are shuffled for the sort, and once more to meet their starts.
     """
-    keys = [*groups, "_block"]
-    rows = df.withColumn("_block", F.shiftright(F.col(idx), bits))
-    blocks = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    groups = list(groups)
+    values = {f"_value_{out}": value.cast("bigint") for out, value in sums.items()}
+    rows = written(
+        df.withColumns(values)
+        .orderBy(*groups, *order)
+        .withColumn("_pos", F.monotonically_increasing_id()),
+        "sorted",
+    ).withColumn("_part", F.shiftright("_pos", _PLACE_BITS))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]
+    per_part = rows.groupBy(*groups, "_part").agg(*(F.sum(v).alias(v) for v in values))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(*_EARLIER)
+    starts = per_part.select(
+        *(F.col(g).alias(f"_of_{g}") for g in groups),
+        F.col("_part").alias("_of_part"),
+        *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_start{v}") for v in values),
     )
-    starts = blocks.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    numbered = rows.withColumn(
-        "_in_block", F.row_number().over(Window.partitionBy(*keys).orderBy(idx))
+    inside = Window.partitionBy(*groups, "_part").orderBy("_pos").rowsBetween(*_EARLIER)
+    counted = rows.withColumns(
+        {f"_inside{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
     )
-    return (
-        numbered.join(starts, keys, "left")
-        .withColumn(out, F.col("_start") + F.col("_in_block"))
-        .select(*df.columns, out)
+    met = counted.join(starts, [F.col("_part") == F.col("_of_part"), *same])
+    return met.select(
+        *df.columns,
+        *((F.col(f"_start_value_{out}") + F.col(f"_inside_value_{out}")).alias(out) for out in sums),
     )
+
+
+def ranked(
+    df: DataFrame, groups: Sequence[str], idx: str = "row_idx", out: str = "rank"
+) -> DataFrame:
+    """Add ``out`` = 1, 2, … by ``idx`` inside each group; ``idx`` is unique in its group."""
+    return running(df, groups, [idx], {out: F.lit(1)}).withColumn(out, F.col(out) + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
 from ..ranking import ranked
 from ..schema import cell_keys, doc_keys, row_keys
 
@@ -70,12 +71,13 @@ def to_rows(
     """Long cells back to wide rows with the columns of ``key_list``.
 
     A row's cells meet in one map, bounded by the sheet's width: one shuffle, where a pivot
-    takes two. Headers are unique in a sheet (``header_keys``), so a key never repeats.
+    takes two. Headers like ``X, X, X_1`` give two columns one key: the last ``col_idx`` wins.
     """
     keys = row_keys(cells)
-    rows = cells.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("col_key", value))).alias("_cells")
-    )
+    place = F.col("col_idx") if "col_idx" in cells.columns else F.lit(0)
+    entries = F.array_sort(F.collect_list(F.struct(place.alias("at"), "col_key", F.col(value).alias("value"))))
+    rows = cells.groupBy(*keys).agg(entries.alias("_entries"))
+    rows = rows.withColumn("_cells", _last_of_each(F.col("_entries")))
 
     def column(name: str) -> Column:
         cell = F.try_element_at("_cells", F.lit(name))
@@ -84,6 +86,24 @@ def to_rows(
     return rows.select(*keys, *[column(name) for name in key_list])
 
 
+def _last_of_each(entries: Column) -> Column:
+    """A map of ordered entries; of entries with one key, the last. Most rows repeat none."""
+    names = F.transform(entries, lambda e: e["col_key"])
+    return let(
+        names,
+        lambda n: F.map_from_entries(
+            F.transform(
+                F.when(F.size(F.array_distinct(n)) == F.size(n), entries).otherwise(
+                    F.filter(
+                        entries, lambda e, i: ~F.array_contains(F.slice(n, i + 2, F.size(n)), e["col_key"])
+                    )
+                ),
+                lambda e: F.struct(e["col_key"], e["value"]),
+            )
+        ),
+    )
+
+
 def write_back(
     base: DataFrame, updates: DataFrame, overwrite_formulas: bool = False
 ) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import has_text, js_trim
+from ..functions.text import has_text, js_trim, let
 
-RECORDS = "array<map<string,string>>"
 # Full-width marks that stand for JSON structure, and quotes that open a string.
 STRUCTURE = str.maketrans("，、：；（）｛｝［］", ",,:;(){}[]")
 OPENING_QUOTES = set("“”『』＂")
@@ -67,20 +66,39 @@ def _repair_json(c: Column) -> Column:
     return F.pandas_udf(repair_batch, T.StringType())(c)
 
 
-def _records(text: Column) -> Column:
-    """Records of a JSON array, or of the ``records`` array of an object; else NULL."""
-    t = js_trim(text)
-    listed = F.when(t.startswith("["), t).when(
-        t.startswith("{"), F.get_json_object(t, "$.records")
+def _listed(text: Column) -> Column:
+    """The text of a JSON array, or of the ``records`` array of an object; NULL unless it is whole."""
+    array = let(
+        js_trim(text),
+        lambda t: F.when(t.startswith("["), t).otherwise(F.get_json_object(t, "$.records")),
     )
-    return F.when(listed.startswith("["), F.from_json(listed, RECORDS, {"mode": "PERMISSIVE"}))
+    return let(array, lambda a: F.when(F.json_array_length(a).isNotNull(), a))
 
 
-def _array_length(text: Column) -> Column:
-    """``json_array_length`` is NULL for anything that is not one whole JSON array."""
-    t = js_trim(text)
-    listed = F.when(t.startswith("["), t).otherwise(F.get_json_object(t, "$.records"))
-    return F.json_array_length(listed)
+def _records(listed: Column) -> Column:
+    """Records of a JSON array; NULL for an item that is no object.
+
+    Of members with the same name the last counts, as in any JSON object.
+    """
+
+    def last_members(record: Column) -> Column:
+        return let(
+            F.map_keys(record),
+            lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), record).otherwise(
+                F.map_from_entries(
+                    F.filter(
+                        F.map_entries(record),
+                        lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]),
+                    )
+                )
+            ),
+        )
+
+    def item(text: Column) -> Column:
+        parsed = F.from_json(text, "map<string,string>")
+        return F.when(F.ltrim(text).startswith("{"), let(parsed, last_members))
+
+    return F.transform(F.from_json(listed, "array<string>"), item)
 
 
 def parse_responses(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -90,23 +108,21 @@ def parse_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     Arrow batches, and parsed once more; the others pass it as NULL. One scan does it all.
     """
     staged = responses.withColumn("_plain", strip_fences(F.col(text)))
-    staged = staged.withColumn("_n", _array_length(F.col("_plain")))
-    broken = F.when(F.col("_n").isNull(), F.col("_plain"))
+    staged = staged.withColumn("_listed", _listed(F.col("_plain")))
+    broken = F.when(F.col("_listed").isNull(), F.col("_plain"))
     staged = staged.withColumn("_fixed", _repair_json(broken))
-    staged = staged.withColumn("_plain", F.coalesce("_fixed", "_plain")).withColumn(
-        "_n", F.coalesce("_n", _array_length(F.col("_fixed")))
-    )
-    parsed = F.col("_n").isNotNull()
-    blank = ~F.coalesce(has_text(F.col("_plain")), F.lit(False))
+    staged = staged.withColumn("_listed", F.coalesce("_listed", _listed(F.col("_fixed"))))
+    parsed = F.col("_listed").isNotNull()
+    blank = ~F.coalesce(has_text(F.coalesce("_fixed", "_plain")), F.lit(False))
     error = (
         F.when(parsed, "")
         .when(blank, "API returned empty response.")
         .otherwise("Failed to parse model JSON")
     )
     return (
-        staged.withColumn("records", F.when(parsed, _records(F.col("_plain"))))
+        staged.withColumn("records", _records(F.col("_listed")))
         .withColumn("error", error)
-        .drop("_plain", "_n", "_fixed")
+        .drop("_plain", "_listed", "_fixed")
     )
 
 

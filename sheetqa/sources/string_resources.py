@@ -21,6 +21,10 @@ STRING_LANGS = [
 ]
 
 
+# Lines of a block of text.
+BLOCK_LINES = 1000
+
+
 def split_string_lines(texts: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
     """A file's text to ``(by…, line_no, line, line_break)``, lines numbered from 0."""
     by = by or []
@@ -55,19 +59,18 @@ def join_string_lines(
     lines: DataFrame,
     by: list[str] | None = None,
     line: str = "merged",
-    lines_per_part: int = 10_000,
 ) -> DataFrame:
-    """Lines back to text, as ``(by…, part_no, text)`` parts of bounded size, in order.
+    """Lines back to text, as numbered blocks ``(by…, block_no, text)`` of ``BLOCK_LINES`` lines.
 
-    The parts of a file one after the other are the file. A file of up to ``lines_per_part``
-    lines is one part; a longer one is never collected into one task. Input that ended with
-    a line break gets one more: its last, empty line already stands for that break.
+    A file's blocks one after the other are the file; a sink that wants one text writes them in
+    order. No file is collected into one task, however long it is. Input that ended with a
+    line break gets one more: its last, empty line already stands for that break.
     """
     by = by or []
-    part = F.expr(f"line_no div {int(lines_per_part)}")
+    part = F.expr(f"line_no div {BLOCK_LINES}")
     parts = (
-        lines.withColumn("part_no", part)
-        .groupBy(*by, "part_no")
+        lines.withColumn("block_no", part)
+        .groupBy(*by, "block_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("line_no", F.col(line).alias("text")))).alias("_lines"),
             F.first("line_break").alias("_break"),
@@ -77,11 +80,11 @@ def join_string_lines(
     # Keyed by part it meets one part each, however many parts one file has.
     last = lines.groupBy(*by).agg(F.max(F.struct("line_no", "line")).alias("_last"))
     ends = last.select("*", "_last.*").select(
-        *by, part.alias("part_no"), (F.col("line") == "").alias("_ends_empty")
+        *by, part.alias("block_no"), (F.col("line") == "").alias("_ends_empty")
     )
     texts = F.transform("_lines", lambda x: x["text"])
     body = F.call_function("array_join", texts, F.col("_break"))
     tail = F.when(F.coalesce("_ends_empty", F.lit(True)), F.col("_break")).otherwise("")
-    return parts.join(ends, [*by, "part_no"], "left").select(
-        *by, "part_no", F.concat(body, tail).alias("text")
+    return parts.join(ends, [*by, "block_no"], "left").select(
+        *by, "block_no", F.concat(body, tail).alias("text")
     )

@@ -9,14 +9,49 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, replace_each
 
-_REFERENCE = r"&(?:lt|gt|quot|apos|amp|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+_REFERENCE = r"&(?:lt|gt|quot|apos|amp|#[0-9]+|#[xX][0-9A-Fa-f]+);"
 # The predefined entities.
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+# Comments and CDATA sections; while tags are matched, one mark with its number stands for each.
+_SPECIAL = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+_MARKED = "\ufdd0([0-9]+)\ufdd1"
+_ATTRIBUTES = r"""(?:\s(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*+)?"""
 
 
 def _node_pattern(tag: str) -> str:
     name = re.escape(tag)
-    return rf"(?s)<{name}(?:\s[^>]*?)?(?:/>|>(.*?)</{name}\s*>)"
+    return rf"(?s)<{name}{_ATTRIBUTES}(?:/>|>(.*?)</{name}\s*>)"
+
+
+def _has_special(c: Column) -> Column:
+    return c.contains("<!--") | c.contains("<![CDATA[")
+
+
+def _marked(c: Column) -> Column:
+    """The text with a numbered mark for each comment and CDATA section."""
+    marks = let(
+        c,
+        lambda t: replace_each(
+            t, _SPECIAL, lambda _, i: F.concat(F.lit("\ufdd0"), i.cast("string"), F.lit("\ufdd1"))
+        ),
+    )
+    return F.when(_has_special(c), marks).otherwise(c)
+
+
+def _unmarked(c: Column, specials: Column, inner: bool) -> Column:
+    """Marks replaced: by their sections as they were, or (``inner``) by what they mean as text."""
+
+    def back(mark: Column, _: Column) -> Column:
+        section = F.get(specials, F.regexp_extract(mark, "[0-9]+", 0).cast("int"))
+        meant = F.when(section.startswith("<![CDATA["), F.substr(section, F.lit(10), F.length(section) - 12))
+        return F.coalesce(meant, F.lit("")) if inner else section
+
+    return F.when(c.contains("\ufdd0"), let(c, lambda t: replace_each(t, _MARKED, back))).otherwise(c)
+
+
+def _specials(c: Column) -> Column:
+    found = F.regexp_extract_all(c, F.lit(_SPECIAL), F.lit(0))
+    return F.when(_has_special(c), found).otherwise(F.array().cast("array<string>"))
 
 
 def unescape(c: Column) -> Column:
@@ -27,7 +62,9 @@ def unescape(c: Column) -> Column:
 
     def decode(m: Column) -> Column:
         named = F.coalesce(*[F.when(m == k, F.lit(v)) for k, v in _ENTITIES.items()])
-        digits = F.regexp_extract(m, "#[xX]?([0-9A-Fa-f]+)", 1)
+        # Leading zeros add nothing; over seven digits is beyond every character.
+        digits = F.regexp_extract(m, "#[xX]?0*([0-9A-Fa-f]+);", 1)
+        digits = F.when(F.length(digits) <= 7, digits)
         base = F.when(m.rlike("^&#[xX]"), 16).otherwise(10)
         code = F.conv(digits, 16, 10).cast("bigint")
         code = F.when(base == 16, code).otherwise(digits.try_cast("bigint"))
@@ -51,41 +88,58 @@ def xml_text_nodes(
     """``(by…, node_idx, value)``: text of the given elements in document order.
 
     All nodes of the first tag come before those of the next. Markup inside a node is dropped,
-    references are decoded. A node ends at its first closing tag.
+    references are decoded, CDATA counts as text; nodes inside comments do not count. A node
+    ends at its first closing tag.
     """
     tags = [tags] if isinstance(tags, str) else list(tags)
     by = [c for c in df.columns if c != col] if by is None else by
-    found = [F.regexp_extract_all(F.col(col), F.lit(_node_pattern(t)), F.lit(1)) for t in tags]
-    return df.select(*by, F.posexplode(F.concat(*found)).alias("node_idx", "_raw")).select(
-        *by, "node_idx", unescape(F.regexp_replace("_raw", "<[^>]*>", "")).alias("value")
+    found = [F.regexp_extract_all(F.col("_marked"), F.lit(_node_pattern(t)), F.lit(1)) for t in tags]
+    return (
+        df.select(*by, _marked(F.col(col)).alias("_marked"), _specials(F.col(col)).alias("_specials"))
+        .select(*by, "_specials", F.posexplode(F.concat(*found)).alias("node_idx", "_raw"))
+        .select(*by, "node_idx", "_specials", unescape(F.regexp_replace("_raw", "<[^>]*>", "")).alias("_text"))
+        .select(*by, "node_idx", _unmarked(F.col("_text"), F.col("_specials"), True).alias("value"))
     )
 
 
 def write_xml_text(
-    df: DataFrame, col: str, tag: str, nodes: DataFrame, by: list[str], value: str = "value"
+    df: DataFrame,
+    col: str,
+    tags: str | list[str],
+    nodes: DataFrame,
+    by: list[str],
+    value: str = "value",
 ) -> DataFrame:
     """Put new texts ``nodes(by…, node_idx, value)`` into the elements of ``col``.
 
-    A document's nodes are collected next to its own text, which already is one value. Nodes
-    without a new text keep theirs.
+    ``tags`` and the numbers are those of ``xml_text_nodes``: a tag's nodes are numbered after
+    those of the tags before it. No tag may occur inside another. A document's nodes are
+    collected next to its own text, which already is one value. Nodes without a new text stay.
     """
+    tags = [tags] if isinstance(tags, str) else list(tags)
     texts = nodes.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("node_idx", F.col(value)))).alias("_texts")
     )
-
-    def fill(node: Column, i: Column) -> Column:
-        new = F.try_element_at("_texts", i)
-        start = F.regexp_extract(node, r"^<[^>]*?(?=/?>)", 0)
-        rebuilt = F.concat(start, F.lit(">"), escape(new), F.lit(f"</{tag}>"))
-        return F.coalesce(rebuilt, node)
-
-    return (
-        df.join(texts, by, "left")
-        .withColumn(
-            col,
-            F.when(F.col("_texts").isNull(), F.col(col)).otherwise(
-                replace_each(F.col(col), _node_pattern(tag), fill)
-            ),
-        )
-        .drop("_texts")
+    out = df.join(texts, by, "left").withColumns(
+        {"_marked": _marked(F.col(col)), "_specials": _specials(F.col(col)), "_before": F.lit(0)}
     )
+    for tag in tags:
+        pattern = _node_pattern(tag)
+
+        def fill(node: Column, i: Column, tag: str = tag) -> Column:
+            new = F.try_element_at("_texts", i + F.col("_before"))
+            start = F.regexp_extract(node, rf"(?s)^<{re.escape(tag)}{_ATTRIBUTES}(?=/?>)", 0)
+            rebuilt = F.concat(F.rtrim(start), F.lit(">"), escape(new), F.lit(f"</{tag}>"))
+            return F.coalesce(rebuilt, node)
+
+        count = F.regexp_count("_marked", F.lit(pattern))
+        out = out.withColumns(
+            {
+                "_marked": replace_each(F.col("_marked"), pattern, lambda node, i: fill(node, i)),
+                "_before": F.col("_before") + count,
+            }
+        )
+    changed = _unmarked(F.col("_marked"), F.col("_specials"), False)
+    return out.withColumn(
+        col, F.when(F.col("_texts").isNull(), F.col(col)).otherwise(changed)
+    ).drop("_texts", "_marked", "_specials", "_before")

@@ -3,37 +3,39 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+_WRITTEN: set[str] = set()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: on a cluster that folder would
-    exist on one machine only.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_root()
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; DataFrames over them no longer work."""
+    if not _WRITTEN:
+        return
+    jvm = spark._jvm
+    for path in sorted(_WRITTEN):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

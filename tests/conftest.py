@@ -6,13 +6,16 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from check import session  # noqa: E402
+from sheetqa.store import remove_written  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return session("4")
+    own = session("4")
+    yield own
+    remove_written(own)
 
 
 @pytest.fixture(scope="session")

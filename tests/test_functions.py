@@ -13,7 +13,6 @@ from sheetqa.functions import quality as Q
 from sheetqa.functions import script as S
 from sheetqa.functions import sheet_text as ST
 
-from . import brute
 
 PIECES = [
     "e", "E", "g", ".", ". ", " .", ",", ":", "://", ";", "!", "?", " ", "  ", "\n", "\r\n", "\r", "\t", "　", "\xa0",
@@ -56,14 +55,40 @@ def test_language(values):
     assert L.target_code("Brazilian PORTUGUESE") == "pt" and L.target_code("") == "unknown"
 
 
-def test_language_against_brute_force(values):
-    texts = random_texts()
-    expected = [brute.scores(t) for t in texts]
-    actual = [[(s.lang, s.score) for s in row] for row in values(L.language_scores, texts)]
-    assert actual == expected
-    for name, code in (("English", "en"), ("Spanish", "es"), ("Chinese", "zh"), ("Russian", "ru")):
-        got = values(lambda c: L.is_target_language(c, name), texts)
-        assert got == [brute.is_target(t, code) for t in texts]
+def test_language_scores_by_hand(values):
+    """Points: one for each hint word, two for a letter of the language (Latin letters for English)."""
+    table = {
+        "the mild increase": {"en": 5, "es": 0, "fr": 0, "de": 0, "it": 0, "pt": 0},
+        "El aumento de la glucosa con leve": {"en": 2, "es": 6, "fr": 2, "de": 0, "it": 3, "pt": 3},
+        "die Zunahme und der Abnahme": {"en": 2, "es": 0, "fr": 0, "de": 5, "it": 0, "pt": 0},
+        "Erhöht über alles": {"en": 2, "es": 2, "fr": 2, "de": 2, "it": 0, "pt": 0},
+        "12, 14!": {"en": 0, "es": 0, "fr": 0, "de": 0, "it": 0, "pt": 0},
+        "the THE thé": {"en": 5, "es": 2, "fr": 2, "de": 0, "it": 2, "pt": 2},
+    }
+    for text, row in zip(table, values(L.language_scores, list(table))):
+        assert {x.lang: x.score for x in row} == table[text]
+        assert [x.score for x in row] == sorted((x.score for x in row), reverse=True)
+
+
+def test_hint_words_count_as_often_as_they_occur(values):
+    texts = ["the mild", "el aumento", "der und die", "ciao con", "o a os"]
+    once, twice = (values(L.language_scores, t) for t in (texts, [f"{t} {t}" for t in texts]))
+    for x, y in zip(once, twice):
+        single = {r.lang: r.score for r in x}
+        marks = {lang: 2 if lang == "en" else 0 for lang in single}
+        assert {r.lang: r.score for r in y} == {k: 2 * (v - marks[k]) + marks[k] for k, v in single.items()}
+
+
+def test_target_language_by_hand(values):
+    texts = ["白细胞", "да", "WBC↑", "12", "", "el aumento de la leve", "the mild", "hello"]
+    expected = {
+        "English": [False, False, True, True, True, False, True, True],
+        "Spanish": [False, False, True, True, True, True, False, False],
+        "Chinese": [True, False, True, True, True, False, False, False],
+        "Russian": [False, True, True, True, True, False, False, False],
+    }
+    for name, wanted in expected.items():
+        assert values(lambda c: L.is_target_language(c, name), texts) == wanted, name
 
 
 def test_three_filters_differ(values):
@@ -83,14 +108,26 @@ def test_masks(values):
     assert [tuple(p) for p in nested.pairs] == [("__FMT_0__", "%s"), ("__TKN_0__", "FMT_0__")]
 
 
-def test_translation_mask_against_brute_force(values):
-    texts = random_texts()
-    got = values(M.mask_translation, texts)
-    assert [(m.sanitized, [tuple(p) for p in m.pairs]) for m in got] == [
-        brute.mask_translation(t) for t in texts
+def test_translation_mask_by_hand(values):
+    texts = ["见BA-85与WBC", "see BA-85", "0123abcd-0123-4567-89ab-0123456789ab", "A-B", "plain", "白 X1", "白 Y"]
+    got = [(m.sanitized, [tuple(p) for p in m.pairs]) for m in values(M.mask_translation, texts)]
+    assert got == [
+        ("见__TKN_0__与__TKN_1__", [("__TKN_0__", "BA-85"), ("__TKN_1__", "WBC")]),
+        ("see __ID_0__", [("__ID_0__", "BA-85")]),
+        ("__ID_0__", [("__ID_0__", "0123abcd-0123-4567-89ab-0123456789ab")]),
+        ("A-B", []),
+        ("plain", []),
+        ("白 __TKN_0__", [("__TKN_0__", "X1")]),
+        ("白 Y", []),
     ]
 
 
+def test_masked_tokens_are_numbered_in_order(values):
+    for m in values(M.mask_translation, random_texts()):
+        names = [p.k for p in m.pairs]
+        assert len(set(names)) == len(names) and all(n in m.sanitized for n in names)
+
+
 def test_restore_round_trips(values):
     texts = random_texts() + ["共%1$s条 {0} START", "100%% $1 \\x 白a1-b2"]
     for mask, back in (
@@ -127,10 +164,31 @@ def test_spacing(values):
     assert values(P.string_autofix, ["T 4 and T4, ab 12"]) == ["T4 and T4, ab 12"]
 
 
-def test_spacing_against_brute_force(values):
+def test_spacing_changes_spaces_only(values):
+    def bare(t):
+        return "".join(t.split())
+
     texts = random_texts(800)
-    assert values(P.fix_spacing, texts) == [brute.spacing(t) for t in texts]
-    assert values(Q.spacing_issue, texts) == [brute.spacing_issue(t) for t in texts]
+    fixed = values(P.fix_spacing, texts)
+    assert [bare(t) for t in fixed] == [bare(t) for t in texts]
+    plain = [t for t in texts if not any("A" <= c <= "Z" or "a" <= c <= "z" for c in t)]
+    assert values(P.fix_spacing, plain) == plain
+
+
+def test_lines_are_spaced_each_for_itself(values):
+    lines = ["a ,b", "x  y.", "E. g .z", "T4:5", "q"]
+    pairs_ = [(x, y) for x in lines for y in lines]
+    alone = dict(zip(lines, values(P.fix_spacing, lines)))
+    for br in ("\n", "\r\n"):
+        assert values(P.fix_spacing, [x + br + y for x, y in pairs_]) == [alone[x] + br + alone[y] for x, y in pairs_]
+
+
+def test_spacing_issue_by_hand(values):
+    table = {
+        "fine text": False, "two  spaces": True, "a , b": True, "e. g.": True, "E.G.": True, "T 4": True,
+        "4 T": True, "AB 4": False, "4000 T": False, "a,b": False, "": False, "白 ,": True, "x\n.y": True,
+    }
+    assert values(Q.spacing_issue, list(table)) == list(table.values())
 
 
 def test_glossary(pairs):
@@ -140,9 +198,22 @@ def test_glossary(pairs):
     ]
 
 
-def test_glossary_against_brute_force(pairs):
-    rows = list(zip(random_texts(seed=1), random_texts(seed=2)))
-    assert pairs(G.enforce_glossary, rows) == [brute.glossary(o, t) for o, t in rows]
+def test_every_glossary_entry_fires(pairs):
+    """Each source keyword of all 76 entries becomes its wording, and so does each variant."""
+    rows, expected = [], []
+    for entry in G.GLOSSARY:
+        for term in (*entry.keywords, *entry.variants):
+            rows.append((entry.keywords[0], f"x {term} y"))
+            expected.append(f"x {entry.preferred} y")
+    assert len(G.GLOSSARY) == 76
+    got = pairs(G.enforce_glossary, rows)
+    wrong = [(r, g) for r, g, e in zip(rows, got, expected) if g != e]
+    assert wrong == []
+
+
+def test_text_without_a_term_in_the_original_stays(pairs):
+    rows = [("plain", t) for t in random_texts(seed=2)]
+    assert pairs(G.enforce_glossary, rows) == [t for _, t in rows]
 
 
 def test_shared_variant_goes_to_first_firing_entry(pairs):

@@ -29,27 +29,78 @@ def rows(df):
     return sorted([tuple(r) for r in df.collect()], key=repr)
 
 
-@pytest.mark.parametrize("bits", [1, 3, 16])
-def test_ranked_matches_sorting(spark, bits):
-    rng = random.Random(bits)
-    data = {("hot" if rng.random() < 0.5 else f"d{rng.randrange(5)}", rng.randrange(400)) for _ in range(500)}
-    got = rows(ranked(spark.createDataFrame(list(data), "doc_id string, row_idx bigint"), ["doc_id"], bits=bits))
+@pytest.mark.parametrize("spread", [1, 2**40])
+def test_ranked_matches_sorting(spark, spread):
+    rng = random.Random(spread)
+    data = {("hot" if rng.random() < 0.5 else f"d{rng.randrange(5)}", rng.randrange(400) * spread) for _ in range(500)}
+    got = rows(ranked(spark.createDataFrame(list(data), "doc_id string, row_idx bigint"), ["doc_id"]))
     by_doc = {}
     for d, i in sorted(data):
         by_doc.setdefault(d, []).append(i)
     assert got == sorted([(d, i, n + 1) for d, ids in by_doc.items() for n, i in enumerate(ids)], key=repr)
 
 
+def test_ranked_takes_null_as_a_group(spark):
+    df = spark.createDataFrame([(None, 5), (None, 3), ("a", 1)], "doc_id string, row_idx bigint")
+    assert rows(ranked(df, ["doc_id"])) == sorted([("a", 1, 1), (None, 3, 1), (None, 5, 2)], key=repr)
+
+
 def test_row_ranges(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 2, 6, 8, 9, 20)], "row_idx bigint")
-    assert Q.row_ranges(df).collect()[0].ranges == "1-3, 7, 9-10..."
+    assert Q.row_ranges(df, 3).collect()[0].ranges == "1-3, 7, 9-10..."
     full = Q.row_ranges(df, limit=10).collect()[0].ranges
     back = []
     for part in full.split(", "):
         a, _, b = part.partition("-")
         back += range(int(a) - 1, int(b or a))
     assert back == [0, 1, 2, 6, 8, 9, 20]
-    assert Q.row_ranges(df.limit(0)).collect()[0].ranges == ""
+    assert Q.row_ranges(df.limit(0), 3).collect()[0].ranges == ""
+
+
+@pytest.mark.parametrize(
+    "indices, ranges",
+    [([0, 0, 1], "1, 1-2"), ([0, 1, 1], "1-2, 2"), ([4, 4, 4], "5, 5, 5"), ([0, 1, 1, 1, 2, 4], "1-2, 2, 2-3, 5")],
+)
+def test_a_repeated_row_starts_a_new_range(spark, indices, ranges):
+    df = spark.createDataFrame([(i,) for i in indices], "row_idx bigint")
+    assert Q.row_ranges(df, 10).collect()[0].ranges == ranges
+
+
+@pytest.mark.parametrize("n", [2, 2000])
+def test_first_rows_of_a_large_group(spark, n):
+    data = [("hot", i) for i in range(3000)] + [("b", 1)]
+    got = Q.first_n(spark.createDataFrame(data, "g string, i bigint"), ["g"], ["i"], n)
+    assert rows(got) == sorted([("hot", i, i + 1) for i in range(n)] + [("b", 1, 1)], key=repr)
+    whole = Q.first_n(spark.createDataFrame(data, "g string, i bigint"), [], ["g", "i"], n)
+    assert whole.count() == n
+
+
+def test_percent_divides_first(spark):
+    """29 of 200 is 14.499999999999998 percent."""
+    data = [(i, i < 29, False, False) for i in range(200)]
+    df = spark.createDataFrame(data, "row_idx int, done boolean, missing boolean, write_failed boolean")
+    assert Q.progress(df).first().percent == 14
+
+
+def test_the_last_of_columns_with_one_key_wins(spark):
+    cells = spark.createDataFrame(
+        [(0, 0, "X", "a"), (0, 1, "X_1", "b"), (0, 2, "X_1", "c"), (1, 0, "X", "d")],
+        "row_idx int, col_idx int, col_key string, translated string",
+    )
+    assert rows(RS.to_rows(cells, ["X", "X_1"])) == [(0, "a", "c"), (1, "d", None)]
+
+
+def test_answers_that_break_tables(spark):
+    texts = ['[{"content":"one","content":"two"}]', '[{"a":"x"},3]', '[{"a":"x"},null,{}]', "[]", '{"records":[{"a":"1"}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "batch_id int, text string")
+    parsed = RP.parse_responses(df)
+    assert [r.records for r in parsed.orderBy("batch_id").collect()] == [
+        [{"content": "two"}], [{"a": "x"}, None], [{"a": "x"}, None, {}], [], [{"a": "1"}],
+    ]
+    wanted = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 1), (4, 1)], "batch_id int, n_records int")
+    errors = [r.error for r in B.validate_responses(wanted, parsed).orderBy("batch_id").collect()]
+    invalid = "Translation returned invalid record data."
+    assert errors == ["", invalid, invalid, "Translation returned 0 records (expected 1).", ""]
 
 
 def test_header_keys(spark):
@@ -109,7 +160,7 @@ def test_string_lines(spark):
     assert [(r.prefix, r.content, r.suffix, r.needs_translation) for r in got] == [
         ("", "x", "", False), ('<string name="a">', "白 %s", "</string>", True), ("", "", "", False),
     ]
-    joined = SR.join_string_lines(lines, ["file"], "line", lines_per_part=2).orderBy("part_no").collect()
+    joined = SR.join_string_lines(lines, ["file"], "line").orderBy("block_no").collect()
     assert "".join(r.text for r in joined) == text + "\r\n"
     plain = SR.split_string_lines(spark.createDataFrame([("a\nb",)], "text string"))
     assert SR.join_string_lines(plain, line="line").collect()[0].text == "a\nb"

@@ -44,8 +44,21 @@ def test_no_cross_joins(spark):
 
 
 def test_samples_are_cut_before_the_shuffle(spark):
-    for name in ("issue_samples", "latest_rows", "row_ranges"):
-        assert "WindowGroupLimit" in plan(spark, name), name
+    for name in ("issue_samples", "latest_rows"):
+        text = plan(spark, name)
+        assert "WindowGroupLimit" in text or "TakeOrdered" in text, name
+
+
+def test_no_single_task_over_rows(spark):
+    """What one task sees is a limit's rows, or one row for each partition of a sort."""
+    from sheetqa.operators.quality import first_n, row_ranges
+
+    rows = spark.range(10).withColumnRenamed("id", "row_idx")
+    limited = first_n(rows, [], ["row_idx"], 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in limited
+    for df in (row_ranges(rows, 2000), QUERIES["retry_request_batches"](spark, SF)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SinglePartition") <= 3, text
 
 
 def test_scans_read_needed_columns_only(spark):

@@ -149,14 +149,19 @@ def split_string_lines(spark, sf):
 
 
 @query(
-    """select doc_id, cast(0 as bigint) as part_no,
-    md5(case when ends_with(text, chr(10)) then concat(text, chr(10)) else text end) as digest from documents"""
+    """with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no,
+      unnest(string_split(text, chr(10))) as line from documents),
+    z as (select doc_id, max(line_no) as last_no, arg_max(line, line_no) as last_line from l group by doc_id),
+    b as (select doc_id, line_no // 1000 as block_no, string_agg(line, chr(10) order by line_no) as body, max(line_no) as end_no
+      from l group by all)
+    select doc_id, block_no, md5(case when end_no < last_no or last_line = '' then concat(body, chr(10)) else body end) as digest
+    from b join z using (doc_id)"""
 )
 def join_string_lines(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     lines = SR.split_string_lines(docs, "text", ["doc_id"])
-    joined = SR.join_string_lines(lines, ["doc_id"], "line", lines_per_part=1_000_000)
-    return joined.select("doc_id", "part_no", F.md5("text").alias("digest"))
+    joined = SR.join_string_lines(lines, ["doc_id"], "line")
+    return joined.select("doc_id", "block_no", F.md5("text").alias("digest"))
 
 
 _NODES = r"(?s)<TAG(?:\s[^>]*?)?(?:/>|>(.*?)</TAG\s*>)"
@@ -195,6 +200,45 @@ def write_xml_text(spark, sf):
     return out.select("page_id", F.md5("html").alias("digest"))
 
 
+_MARKS = """(select page_id, concat('<w:t xml:space="preserve" a="p>q">', page_id, ' &amp; x</w:t><!-- <t>no</t> --><t>', url,
+  '</t><t/><w:t><![CDATA[<b>', page_id, ']]></w:t>', '&#0000000065;<t>&#00000065;</t>') as doc, page_id from pages) m"""
+
+
+@query(
+    f"""select page_id, unnest([0, 1, 2, 3, 4]) as node_idx,
+    unnest([concat(page_id, ' & x'), concat('<b>', page_id), url, '', 'A']) as value from pages"""
+)
+def xml_marked_nodes(spark, sf):
+    """Two tags, attributes with ``>``, comments, CDATA and references with leading zeros."""
+    return X.xml_text_nodes(_marked_pages(spark, sf), "doc", ["w:t", "t"], ["page_id"])
+
+
+@query(
+    """select page_id, concat('<w:t xml:space="preserve" a="p>q">0</w:t><!-- <t>no</t> --><t>2</t><t>3</t><w:t>1</w:t>',
+    '&#0000000065;<t>4</t>') as doc from pages"""
+)
+def write_xml_two_tags(spark, sf):
+    """Every node of two tags gets its number."""
+    docs = _marked_pages(spark, sf)
+    nodes = X.xml_text_nodes(docs, "doc", ["w:t", "t"], ["page_id"])
+    new = nodes.withColumn("value", F.col("node_idx").cast("string"))
+    return X.write_xml_text(docs, "doc", ["w:t", "t"], new, ["page_id"])
+
+
+def _marked_pages(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return spark.sql("select page_id, doc from " + _MARKS.replace("from pages", "from {pages}"), pages=pages)
+
+
+@query("select page_id, md5(html) as digest from pages")
+def xml_read_then_write(spark, sf):
+    """Writing back what was read changes nothing; list items and titles hold no markup."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    tags = ["title", "h1"]
+    nodes = X.xml_text_nodes(pages, "html", tags, ["page_id"])
+    return X.write_xml_text(pages, "html", tags, nodes, ["page_id"]).select("page_id", F.md5("html").alias("digest"))
+
+
 # --- classification ---
 
 

@@ -204,14 +204,8 @@ from (select o_orderkey, explode(array('English', 'Spanish', 'French', 'German',
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over all cores where its files make up too few splits for them.
-
-    One small file is one task however costly the text work on it is. Large tables have far
-    more splits than there are cores and are read as they are, without a shuffle.
-    """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+    """A given table, read as it is; the session's split size decides on the number of tasks."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

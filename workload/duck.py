@@ -66,7 +66,7 @@ def scored(src: str, col: str, code: str) -> str:
     """CTEs over ``src`` that end in ``lg``: ``t`` trimmed, ``sc`` scores, ``is_target``."""
     scores = []
     for lang, words in LANGUAGE_HINTS.items():
-        listed = ",".join(q(w) for w in words.split())
+        listed = ",".join(q(w) for w in words)
         marks = f"(?i)[{LANGUAGE_MARKS[lang]}]"
         scores.append(
             f"len(list_filter(tk, lambda w: w in ({listed}))) + "

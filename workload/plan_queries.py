@@ -61,9 +61,9 @@ def translation_round_status(spark, sf):
     g as (select *, {D.sub('s1', rf'\b([A-Za-z])[{D.WS}]+(\d{{1,3}})\b', r'\1\2')} as s2 from f),
     h as (select *, {D.spacing('s2')} as s3 from g),
     m as (select lang, line_no, case when {D.like('content', D.CJK)} then concat(prefix, {D.status('s3')}, suffix) else line end as merged from h),
-    pp as (select lang, line_no // 1000 as part_no, string_agg(merged, chr(10) order by line_no) as body, max(line_no) as last_no from m group by all),
+    pp as (select lang, line_no // 1000 as block_no, string_agg(merged, chr(10) order by line_no) as body, max(line_no) as last_no from m group by all),
     z as (select max(line_no) as z, arg_max(line, line_no) as zl from e)
-    select lang, part_no, md5(case when last_no < z or zl = '' then concat(body, chr(10)) else body end) as digest from pp cross join z"""
+    select lang, block_no, md5(case when last_no < z or zl = '' then concat(body, chr(10)) else body end) as digest from pp cross join z"""
 )
 def resource_round(spark, sf):
     """Each language's answer is the masked content behind the language's name."""
@@ -77,8 +77,8 @@ def resource_round(spark, sf):
         "lang",
         F.concat(F.lit("["), "lang", F.lit("] "), RP.mask_string(F.col("content"))["sanitized"]).alias("answer"),
     )
-    files = RP.finish_resources(entries, answers, [], lines_per_part=1000)
-    return files.select("lang", "part_no", F.md5("text").alias("digest"))
+    files = RP.finish_resources(entries, answers, [])
+    return files.select("lang", "block_no", F.md5("text").alias("digest"))
 
 
 @query(

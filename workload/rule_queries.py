@@ -258,17 +258,6 @@ def cross_check(spark, sf):
     )
 
 
-@query(
-    f"""with {_ANSWERED}, said as (select rule_id, string_agg(concat(chr(10), model, ': ', text), '' order by model desc) as lines from an group by rule_id)
-    select rule_id, concat('Heuristic: 知识库：', base, coalesce(lines, '')) as summary
-    from (select * from kb order by row_idx limit 50) kb left join said using (rule_id)"""
-)
-def cross_check_first(spark, sf):
-    """The interactive check looks at the first 50 rules."""
-    checked = X.cross_check(_rules(spark, sf), answers=derive(spark, sf, ANSWERS), max_items=50)
-    return checked.select("rule_id", "summary")
-
-
 @query(
     f"""with {_KB} select rule_id, row_idx, concat('- 组合描述：', coalesce(nullif(description, ''), '未提供'), chr(10), '- 已有解读：',
     coalesce(nullif(explanation, ''), '暂无'), chr(10), '- 模板参考：', coalesce(template, '无')) as prompt from kb"""

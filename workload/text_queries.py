@@ -288,12 +288,13 @@ def quality_by_lang(spark, sf):
 
 
 def _ranges_sql(src: str, by: str, limit: int) -> str:
-    """Gaps and islands with plain windows."""
-    return f"""with d as (select distinct {by}, row_idx from ({src}) s),
-      n as (select *, row_idx - row_number() over (partition by {by} order by row_idx) as isl from d),
-      r as (select {by}, min(row_idx) as a, max(row_idx) as b from n group by {by}, isl),
-      p as (select *, row_number() over (partition by {by} order by a) as pos, count(*) over (partition by {by}) as total from r)
-      select {by}, concat(string_agg(case when a = b then cast(a + 1 as varchar) else concat(a + 1, '-', b + 1) end, ', ' order by a),
+    """Gaps and islands with plain windows; a repeated index starts an island of its own."""
+    return f"""with d as (select {by}, row_idx, case when row_idx = lag(row_idx) over w + 1 then 0 else 1 end as new
+        from ({src}) s window w as (partition by {by} order by row_idx)),
+      n as (select *, sum(new) over (partition by {by} order by row_idx rows unbounded preceding) as isl from d),
+      r as (select {by}, isl, min(row_idx) as a, max(row_idx) as b from n group by {by}, isl),
+      p as (select *, isl as pos, count(*) over (partition by {by}) as total from r)
+      select {by}, concat(string_agg(case when a = b then cast(a + 1 as varchar) else concat(a + 1, '-', b + 1) end, ', ' order by pos),
         case when max(total) > {limit} then '...' else '' end) as ranges
       from p where pos <= {limit} group by {by}"""
 
@@ -306,7 +307,31 @@ def row_ranges(spark, sf):
     rows = table(spark, sf, "orders").select(
         "o_orderpriority", F.floor(F.col("o_orderkey") / 2).alias("row_idx")
     )
-    return QT.row_ranges(rows, "row_idx", ["o_orderpriority"], 40)
+    return QT.row_ranges(rows, 40, "row_idx", ["o_orderpriority"])
+
+
+def _runs_sql(src: str, by: str) -> str:
+    """A run ends where the next index is not one higher, repetitions included."""
+    return f"""s as ({src}), g as (select *, case when row_idx = lag(row_idx) over w + 1 then 0 else 1 end as new
+        from s window w as (partition by {by} order by row_idx)),
+      n as (select *, sum(new) over (partition by {by} order by row_idx rows unbounded preceding) as seq from g)
+      select {by}, cast(seq as bigint) as seq, min(row_idx) + 1 as first_row, max(row_idx) + 1 as last_row from n group by {by}, seq"""
+
+
+@query("with " + _runs_sql(_LATE, "o_orderpriority"))
+def row_runs(spark, sf):
+    """All runs, of indices that occur up to twice."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderpriority", F.floor(F.col("o_orderkey") / 2).alias("row_idx")
+    )
+    return QT.row_runs(rows, "row_idx", ["o_orderpriority"])
+
+
+@query("with " + _runs_sql("select 0 as g, o_orderkey * 7919 % 1000003 as row_idx from orders", "g"))
+def row_runs_of_scattered_indices(spark, sf):
+    """The same without groups, of indices that lie far apart."""
+    rows = table(spark, sf, "orders").select(((F.col("o_orderkey") * 7919) % 1000003).alias("row_idx"))
+    return QT.row_runs(rows).select(F.lit(0).alias("g"), "seq", "first_row", "last_row")
 
 
 @query(
@@ -319,11 +344,20 @@ def location_preview(spark, sf):
     return QT.location_preview(untranslated_cells(derive(spark, sf, CELLS), "English"), 6)
 
 
+@query(
+    f"""with {lang_cells('en')} select row_idx, col_key, concat('R', row_idx + 2, '/', col_key) as place
+    from lg where {D.untranslated('col_key')}"""
+)
+def places(spark, sf):
+    """The place of every untranslated cell."""
+    return QT.places(untranslated_cells(derive(spark, sf, CELLS), "English")).select("row_idx", "col_key", "place")
+
+
 @query(
     """with r as (select o_custkey % 3 as g, o_orderstatus from orders)
     select concat('f', g) as doc_id, count(*) filter (o_orderstatus = 'F') as done_rows, count(*) as total_rows,
       count(*) filter (o_orderstatus = 'O') as missing_rows, count(*) filter (o_orderstatus = 'P') as write_failed_rows,
-      cast(floor(count(*) filter (o_orderstatus = 'F') * 100.0 / count(*) + 0.5) as bigint) as percent,
+      cast(floor(count(*) filter (o_orderstatus = 'F') / count(*)::double * 100 + 0.5) as bigint) as percent,
       count(*) filter (o_orderstatus <> 'F') as remaining_rows from r group by g"""
 )
 def progress_figures(spark, sf):
@@ -378,6 +412,17 @@ def issue_samples(spark, sf):
     return samples.select("type", "row_idx", "col_key", "value", "pos")
 
 
+@query(
+    f"""with {_SIDES}, u as (
+      select *, 'chinese' as type from fl where zh union all select *, 'placeholder' from fl where ph
+      union all select *, 'spacing' from fl where spc union all select *, 'idMismatch' from fl where idm)
+    select type, row_idx, col_key, row_number() over (partition by type order by row_idx, col_key) as pos from u"""
+)
+def issue_list(spark, sf):
+    """All issues in sheet order."""
+    return QT.issue_list(QT.quality_issues(*_sides(spark, sf))).select("type", "row_idx", "col_key", "pos")
+
+
 @query(
     f"""with c as ({_GROUPED}), d as (select *, dense_rank() over (order by row_idx desc) as pos from c)
     select row_idx, col_key, pos, {D.trim('original')} is distinct from {D.trim('translated')} as changed from d where pos <= 10"""
