@@ -117,7 +117,8 @@ def validate_responses(
 
     ``requests(by…, n_records)``, ``responses(by…, records, error)`` with
     ``records`` an array of maps (NULL for an item that is no object). A batch fails when it
-    has no answer, when the counts differ or when an item is no object.
+    has no answer, when the counts differ or when an item is no object. A column ``rows`` of the
+    requests is kept, so that answers need no second join with them.
     """
     got = F.coalesce(F.size("records"), F.lit(0))
     counts = F.format_string(
@@ -125,7 +126,8 @@ def validate_responses(
         F.greatest(got, F.lit(0)).cast("int"),
         F.col("n_records").cast("int"),
     )
-    joined = requests.select(*by, "n_records").join(responses, list(by), "left")
+    kept = ["n_records", *(c for c in ("rows",) if c in requests.columns)]
+    joined = requests.select(*by, *kept).join(responses, list(by), "left")
     error = (
         F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error"))
         .when(F.col("records").isNull() | (got != F.col("n_records")), counts)
@@ -253,27 +255,22 @@ def pending_requests(
     return make_request_batches(sanitize_cells(todo, lang, mode), size, align=True)
 
 
-def answer_cells(batches: DataFrame, checked: DataFrame) -> DataFrame:
+def answer_cells(checked: DataFrame) -> DataFrame:
     """Answers of the batches that passed, as ``(keys, col_key, answer)``.
 
-    ``batches`` as made by ``make_request_batches``, ``checked`` by ``validate_responses``.
-    The n-th record of an answer belongs to the n-th row of its batch.
+    ``checked`` by ``validate_responses`` over batches of ``make_request_batches``. The n-th
+    record of an answer belongs to the n-th row of its batch.
     """
-    keys = [*doc_keys(batches), "batch_id"]
-    good = checked.filter("ok").select(*keys, "records")
-    pairs = batches.select(*keys, "rows").join(good, keys)
-    pairs = pairs.select(
-        *doc_keys(batches), F.explode(F.arrays_zip("rows", "records")).alias("p")
+    pairs = checked.filter("ok").select(
+        *doc_keys(checked), F.explode(F.arrays_zip("rows", "records")).alias("p")
     )
     return pairs.select(
-        *doc_keys(batches),
+        *doc_keys(checked),
         F.col("p.rows").alias("row_idx"),
         F.explode("p.records").alias("col_key", "answer"),
     )
 
 
-def row_outcome(batches: DataFrame, checked: DataFrame) -> DataFrame:
+def row_outcome(checked: DataFrame) -> DataFrame:
     """``(row keys, ok)`` for every row that was sent; rows that are not ok are write-failed."""
-    keys = [*doc_keys(batches), "batch_id"]
-    both = batches.select(*keys, "rows").join(checked.select(*keys, "ok"), keys)
-    return both.select(*doc_keys(batches), F.explode("rows").alias("row_idx"), "ok")
+    return checked.select(*doc_keys(checked), F.explode("rows").alias("row_idx"), "ok")

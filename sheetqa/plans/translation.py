@@ -9,12 +9,21 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.polish import polish
 from ..operators import batches as B
-from ..operators.classify import rows_needing_translation
-from ..operators.merge import merge_translations, row_status
+from ..operators.classify import retryable_cells, rows_needing_translation
+from ..operators.merge import (
+    merge_retries,
+    merge_translations,
+    retried_status,
+    retry_payload,
+    row_status,
+)
 from ..operators.quality import pending
-from ..schema import doc_keys, row_keys
+from ..schema import cell_keys, doc_keys, row_keys
+from ..sources.reshape import write_back
 from ..sources.responses import parse_responses
 from ..store import written
 
@@ -54,7 +63,39 @@ def finish(
     Batches with unusable answers leave their rows as they were and mark them write-failed.
     """
     by = [*doc_keys(batches), "batch_id"]
-    # Both results need the parsed answers: keep them rather than parse twice.
+    # Both results need the parsed answers and the merged cells: written once, not made twice.
     checked = written(B.validate_responses(batches, parse_responses(responses), by), "answers")
-    merged = merge_translations(cells, B.answer_cells(batches, checked), lang, mode)
-    return Finished(merged, row_status(merged, lang, mode, B.row_outcome(batches, checked)))
+    merged = written(merge_translations(cells, B.answer_cells(checked), lang, mode), "merged")
+    return Finished(merged, row_status(merged, lang, mode, B.row_outcome(checked)))
+
+
+def prepare_retry(cells: DataFrame, lang: str, size: int = B.RETRY_BATCH) -> DataFrame:
+    """Request batches of the cells that an audit of ``translated`` finds worth sending again."""
+    sent = retry_payload(cells, retryable_cells(cells, lang))
+    return B.make_request_batches(sent, size, align=False)
+
+
+def finish_retry(
+    cells: DataFrame, batches: DataFrame, responses: DataFrame, status: DataFrame, lang: str
+) -> Finished:
+    """Merge retry answers on top of ``translated`` and refresh the flags of ``status``.
+
+    Rows whose batch was answered count as done; a row stays write-failed only while something
+    in it is untranslated. A failed batch leaves its rows as they were.
+    """
+    by = [*doc_keys(batches), "batch_id"]
+    checked = written(B.validate_responses(batches, parse_responses(responses), by), "answers")
+    answers = B.answer_cells(checked)
+    merged = written(merge_retries(cells, answers, answers), "merged")
+    retried = B.row_outcome(checked).filter("ok")
+    return Finished(merged, retried_status(merged, retried, status, lang))
+
+
+def export_sheet(base: DataFrame, cells: DataFrame) -> DataFrame:
+    """Finished cells into the sheet: polished once more, formulas overwritten.
+
+    ``base`` as for ``write_back``; ``cells`` have ``original`` and ``translated``.
+    """
+    original = F.coalesce(F.col("original"), F.lit(""))
+    value = polish(original, F.col("translated"))
+    return write_back(base, cells.select(*cell_keys(cells), value.alias("value")), overwrite_formulas=True)

@@ -13,11 +13,14 @@ SCHEMA = (
 )
 
 
+BLOCK_ROWS = 1_000_000
+
+
 def save_progress(rows: DataFrame, path: str) -> None:
     """Replace the snapshots of the (file, language) pairs in ``rows``; others stay.
 
     ``rows(file_id, target_lang, row_idx, record, …)``. Flags may be absent, as in older
-    snapshots.
+    snapshots. A pair is stored in one file for every ``BLOCK_ROWS`` rows, not in one per task.
     """
     stamped = rows
     if "updated_at" not in rows.columns:
@@ -25,6 +28,7 @@ def save_progress(rows: DataFrame, path: str) -> None:
     known = [c.split()[0] for c in SCHEMA.split(", ")]
     (
         stamped.select(*[c for c in known if c in stamped.columns])
+        .repartition(*KEYS, F.expr(f"row_idx div {BLOCK_ROWS}"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*KEYS)
