@@ -6,8 +6,7 @@ count are removed, and the rest is replaced.
 
 from __future__ import annotations
 
-from sheetqa.functions.glossary import GLOSSARY
-from sheetqa.functions.language import LANGUAGE_HINTS, LANGUAGE_MARKS
+from .expected import GLOSSARY, LANGUAGE_HINTS, LANGUAGE_MARKS
 
 WS = (
     r"\t\n\v\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetqa.functions.glossary import GLOSSARY
 from sheetqa.operators import batches as B
 from sheetqa.operators import merge as MG
 from sheetqa.sources import history as H
@@ -16,6 +15,7 @@ from sheetqa.store import scratch_path
 from . import duck as D
 from .catalog import query
 from .cells_queries import _GROUPED, CELLS_SQL, PARSED_LINES, _wide_rows
+from .expected import GLOSSARY
 from .derived import BODIES, CELLS, LANG_LINES, LINES, RAW_OUTPUTS, RESPONSES, derive, duck, table
 from .text_queries import TKN
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from sheetqa.functions import clinical as CL
 from sheetqa.functions import sheet_text as ST
-from sheetqa.functions.library import TEMPLATES, profile
+from sheetqa.functions import library as LB
 from sheetqa.operators import crosscheck as X
 from sheetqa.operators import rules as R
 from sheetqa.operators import sheet_update as U
 
 from . import duck as D
+from . import expected as E
 from .catalog import query
 from .derived import ANSWERS, RULE_ROWS, RULES, SHEET, derive, duck
 
@@ -19,7 +20,7 @@ RULES_SQL, SHEET_SQL = duck(RULES), duck(SHEET)
 
 
 def _theme(c: str) -> str:
-    whens = " ".join(f"when {D.like(f'lower({c})', p)} then '{v}'" for p, v in CL.THEME_WORDS)
+    whens = " ".join(f"when {D.like(f'lower({c})', p)} then '{v}'" for p, v in E.THEME_WORDS)
     return f"case {whens} else 'unknown' end"
 
 
@@ -82,7 +83,7 @@ def normalise_op(spark, sf):
     )
 
 
-def _library(templates=TEMPLATES) -> str:
+def _library(templates=E.TEMPLATES) -> str:
     """CTEs with the library as tables: template, its indicators' aliases, its keywords."""
     rows, aliases, words = [], [], []
     for i, t in enumerate(templates):
@@ -95,7 +96,7 @@ def _library(templates=TEMPLATES) -> str:
       need as (select ord, count(distinct item) as n from al group by ord)"""
 
 
-def _matches(src: str, keywords: bool = True, templates=TEMPLATES) -> str:
+def _matches(src: str, keywords: bool = True, templates=E.TEMPLATES) -> str:
     """CTE ``hit(rule_id, row_idx, ord)`` by joins with the library tables."""
     word = "semi join (select rule_id, ord from tx join kw on contains(txt, word)) w using (rule_id, ord)" if keywords else ""
     return f"""{_library(templates)},
@@ -110,7 +111,7 @@ def template_matches(spark, sf):
     return R.template_matches(_rules(spark, sf))
 
 
-_OPS = [(i, j, item.op) for i, t in enumerate(TEMPLATES) for j, item in enumerate(t.indicators)]
+_OPS = [(i, j, item.op) for i, t in enumerate(E.TEMPLATES) for j, item in enumerate(t.indicators)]
 
 
 @query(
@@ -125,7 +126,8 @@ def strict_template_matches(spark, sf):
     return R.template_matches(_rules(spark, sf), strict_operators=True)
 
 
-_DISCARDED = [t._replace(status="discarded") if t.template_id == "combo-mono-high" else t for t in TEMPLATES]
+def _discarded(templates):
+    return [t._replace(status="discarded") if t.template_id == "combo-mono-high" else t for t in templates]
 
 
 def _missing(templates) -> str:
@@ -137,14 +139,14 @@ def _missing(templates) -> str:
 _COLUMNS = ["ord", "missing_id", "indicator", "suggestion", "severity", "status"]
 
 
-@query(_missing(TEMPLATES))
+@query(_missing(E.TEMPLATES))
 def missing_combinations(spark, sf):
     return R.missing_combinations(_rules(spark, sf)).select(*_COLUMNS)
 
 
-@query(_missing(_DISCARDED))
+@query(_missing(_discarded(E.TEMPLATES)))
 def missing_without_discarded(spark, sf):
-    return R.missing_combinations(_rules(spark, sf), _DISCARDED).select(*_COLUMNS)
+    return R.missing_combinations(_rules(spark, sf), _discarded(LB.TEMPLATES)).select(*_COLUMNS)
 
 
 @query(
@@ -175,8 +177,8 @@ def rule_check_summary(spark, sf):
 _KB = f"""{_matches(RULES_SQL, keywords=False)},
   first_hit as (select rule_id, min(ord) as ord from hit group by rule_id),
   kb as (select tx.rule_id, tx.row_idx, description, explanation, tp.summary as template,
-    coalesce(tp.summary, nullif(explanation, ''), nullif(description, ''), {D.q(X.NO_TEXT)}) as base,
-    case when tp.ord is null then {D.q(X.NO_TEMPLATE)} else concat('建议依据「', title, '」模板提示：', summary) end as advice,
+    coalesce(tp.summary, nullif(explanation, ''), nullif(description, ''), {D.q(E.NO_TEXT)}) as base,
+    case when tp.ord is null then {D.q(E.NO_TEMPLATE)} else concat('建议依据「', title, '」模板提示：', summary) end as advice,
     case when tp.ord is null then 0.55 else 0.82 end as score
     from tx left join first_hit using (rule_id) left join tp on tp.ord = first_hit.ord)"""
 
@@ -268,7 +270,8 @@ def prompt_rows(spark, sf):
 
 # --- indicator sheet ---
 
-WHITE, SICKLE = profile("v2")
+WHITE, SICKLE = E.WHITE_V2, E.SICKLE_V2
+OWN_WHITE, OWN_SICKLE = LB.profile("v2")
 COLUMNS = {
     "white": ["awbc", "awbc_prompt", "awbc_basis"],
     "sickle": ["srbc"],
@@ -282,7 +285,7 @@ COLUMNS = {
     case when awbc = '↑' then {D.q(WHITE['basis'])} else '' end as awbc_basis from ({SHEET_SQL}) s"""
 )
 def fill_prompt(spark, sf):
-    filled = U.fill_prompt(derive(spark, sf, SHEET), COLUMNS["white"], WHITE)
+    filled = U.fill_prompt(derive(spark, sf, SHEET), COLUMNS["white"], OWN_WHITE)
     return filled.select("row_idx", "awbc_prompt", "awbc_basis")
 
 
@@ -303,8 +306,8 @@ def prefix_text(spark, sf):
     c = F.col("summary1")
     return derive(spark, sf, SHEET).select(
         "row_idx",
-        ST.prefix_text(c, WHITE["short"], WHITE["disease"]["keywords"], "；").alias("short"),
-        ST.prefix_text(c, SICKLE["interpretation"], SICKLE["disease"]["keywords"], " ").alias("interpretation"),
+        ST.prefix_text(c, OWN_WHITE["short"], OWN_WHITE["disease"]["keywords"], "；").alias("short"),
+        ST.prefix_text(c, OWN_SICKLE["interpretation"], OWN_SICKLE["disease"]["keywords"], " ").alias("interpretation"),
     )
 
 
@@ -356,7 +359,7 @@ def insert_disease(spark, sf):
         flat = F.flatten(F.transform(filled, lambda s: F.array(s["name"], s["probability"], s["analysis"])))
         return sheet.select(F.lit(name).alias("finding"), "row_idx", F.array_join(flat, "|").alias("slots"))
 
-    return after("white", WHITE).unionByName(after("sickle", SICKLE))
+    return after("white", OWN_WHITE).unionByName(after("sickle", OWN_SICKLE))
 
 
 @query(f"select row_idx, {_tidy('concat(summary1, disease1_analysis, chr(65307), chr(65307), note_en)')} as text from ({SHEET_SQL}) s")
@@ -431,6 +434,58 @@ def update_sheet(spark, sf):
     )
 
 
+# All column groups, under the headers by which a sheet is recognised.
+FULL_SHEET = f"""
+select row_idx, awbc, awbc_prompt, case when row_idx % 8 = 0 then '旧' else '' end as awbc_basis, srbc,
+       case when row_idx % 9 = 0 then '旧' else ' ' end as srbc_prompt, '' as srbc_basis, summary1,
+       case row_idx % 4 when 0 then '' when 1 then '镰刀型待查' when 2 then '说明。' else 'AWBC见上' end as summary2,
+       case row_idx % 3 when 0 then '' when 1 then '异常白细胞已述' else '其他' end as interpretation,
+       {", ".join(f"disease{i}_{f}" for i in (1, 2, 3) for f in ("name", "prob", "analysis"))}, note_en
+from ({SHEET}) sheet
+"""
+HEADERS = {
+    "awbc": "AWBC#", "awbc_prompt": "提示A", "awbc_basis": "依据A", "srbc": "SRBC#", "srbc_prompt": "提示S",
+    "srbc_basis": "依据S", "summary1": "总结1", "summary2": "总结2", "interpretation": "解读", "disease1_name": "可能疾病1",
+}
+FULL_COLUMNS = ["awbc_prompt", "awbc_basis", "srbc_prompt", "srbc_basis", "summary1", "summary2", "interpretation"]
+
+
+def _fully_updated(white: dict, sickle: dict) -> str:
+    """One indicator after the other over all column groups, from row 1."""
+    src = duck(FULL_SHEET)
+    for config, mark, prompt, basis in (
+        (white, "awbc", "awbc_prompt", "awbc_basis"), (sickle, "srbc", "srbc_prompt", "srbc_basis"),
+    ):
+        raised, words = f"{mark} = '↑' and row_idx >= 1", config["disease"]["keywords"]
+        src = f"""select * replace (
+          case when {raised} and trim({prompt}) = '' then {D.q(config['prompt'])} else {prompt} end as {prompt},
+          case when {raised} and trim({basis}) = '' then {D.q(config['basis'])} else {basis} end as {basis},
+          case when {raised} then {_prefixed('summary1', config['prompt'], words)} else summary1 end as summary1,
+          case when {raised} then {_prefixed('summary2', config['short'], words)} else summary2 end as summary2,
+          case when {raised} then {_prefixed('interpretation', config['interpretation'], words, ' ')} else interpretation end as interpretation)
+          from ({src}) f"""
+        src = _insert_sql(src, config["disease"], raised)
+    return f"select row_idx, {', '.join(FULL_COLUMNS)}, {_slot_text(_SLOT_COLUMNS)} as slots from ({src}) u"
+
+
+def _by_header(spark, sf, profile):
+    sheet = derive(spark, sf, FULL_SHEET).withColumnsRenamed(HEADERS)
+    out = U.update_sheet(sheet, profile).withColumnsRenamed({v: k for k, v in HEADERS.items()})
+    return out.select("row_idx", *FULL_COLUMNS, F.concat_ws("|", *_SLOT_COLUMNS).alias("slots"))
+
+
+@query(_fully_updated(E.WHITE_V1, E.SICKLE_V1))
+def update_sheet_v1(spark, sf):
+    """Profile v1; columns are found by their headers."""
+    return _by_header(spark, sf, "v1")
+
+
+@query(_fully_updated(E.WHITE_V2, E.SICKLE_V2))
+def update_sheet_v2(spark, sf):
+    """Profile v2; columns are found by their headers."""
+    return _by_header(spark, sf, "v2")
+
+
 @query(
     f"""with u as ({_updated_sql()}), s as ({SHEET_SQL})
     select row_idx, 'note_en' as col_key, s.note_en as original, u.note_en as translated from s join u using (row_idx) where s.note_en <> u.note_en

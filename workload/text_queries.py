@@ -14,6 +14,7 @@ from sheetqa.operators.classify import untranslated_cells
 from sheetqa.sources import string_resources as SR
 
 from . import duck as D
+from . import expected as E
 from .catalog import query
 from .cells_queries import _GROUPED, CELLS_SQL, PARSED_LINES, _wide_rows, lang_cells
 from .derived import CELLS, LANG_LINES, LINES, NOTES, derive, duck, table
@@ -271,6 +272,32 @@ def quality_totals(spark, sf):
     return QT.quality_totals(*_sides(spark, sf))
 
 
+# Whole documents with a glossary term in the source and one of its variants, in order of the entries.
+_TERMS = [(k, v) for e in E.GLOSSARY for k in e.keywords for v in (k, *e.variants)]
+
+
+def _termed(names: str) -> str:
+    return f"""select doc_id, concat({names}, '：', substr(text, 1, 40)) as original, concat('see ', variant, ' ,', text) as translated
+      from (select doc_id, text, doc_id % {len(_TERMS)} as k from documents) d join terms using (k)"""
+
+
+@query(
+    f"""with terms(k, keyword, variant) as (values {', '.join(f"({i}, {D.q(k)}, {D.q(v)})" for i, (k, v) in enumerate(_TERMS))}),
+    {D.polished(_termed('keyword'), 'original', 'translated')} select doc_id, md5(polished) as digest from pl"""
+)
+def polish_documents(spark, sf):
+    """All glossary entries and variants, in front of whole texts of four languages."""
+    at = (F.col("doc_id") % len(_TERMS)).cast("int")
+    keyword = F.get(F.lit([k for k, _ in _TERMS]), at)
+    variant = F.get(F.lit([v for _, v in _TERMS]), at)
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(keyword, F.lit("："), F.substring("text", 1, 40)).alias("original"),
+        F.concat(F.lit("see "), variant, F.lit(" ,"), F.col("text")).alias("translated"),
+    )
+    return docs.select("doc_id", F.md5(P.polish(F.col("original"), F.col("translated"))).alias("digest"))
+
+
 _CODES_BY_NAME = (
     "case lang when 'English' then 'en' when 'Spanish' then 'es' when 'French' then 'fr' "
     "when 'German' then 'de' when 'Italian' then 'it' when 'Russian' then 'ru' else 'pt' end"
