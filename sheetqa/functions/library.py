@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..store import literal_table
-
 
 class Indicator(NamedTuple):
     indicator: str
@@ -115,20 +111,6 @@ TEMPLATES = [
 ]
 
 
-def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """The templates as a dimension table, ``ord`` keeping their order."""
-    rows = [
-        {"ord": i, **t._asdict(), "indicators": [item._asdict() for item in t.indicators]}
-        for i, t in enumerate(templates)
-    ]
-    schema = (
-        "ord:int,template_id:string,title:string,summary:string,severity:string,"
-        "indicators:array<struct<indicator:string,aliases:array<string>,op:string>>,"
-        "keywords:array<string>,evidence:array<string>,status:string"
-    )
-    return literal_table(spark, rows, schema)
-
-
 # Wording inserted for a raised abnormal-cell indicator, per profile.
 WHITE_CELLS_V1 = {
     "prompt": (

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..ranking import running
 from .string_resources import STRING_LANGS
 
 SCHEMA = "id string, created_at bigint, source string, outputs map<string,string>"
@@ -26,26 +26,9 @@ def clear_history(spark: SparkSession, path: str) -> None:
 
 
 def number_entries(history: DataFrame) -> DataFrame:
-    """Add ``record_no`` from 1 by ``(created_at, id)``.
-
-    The table is sorted by range partitions and written once; then only the partitions'
-    sizes are summed up. No task sees more than its own partition.
-    """
-    sorted_rows = written(
-        history.orderBy("created_at", "id").withColumn("_pos", F.monotonically_increasing_id()),
-        "history-order",
-    )
-    partition = F.shiftright("_pos", 33).alias("_part")
-    sizes = sorted_rows.groupBy(partition).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition of the sort, so this window and this broadcast stay small.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (
-        sorted_rows.withColumn("_part", F.shiftright("_pos", 33))
-        .join(F.broadcast(starts), "_part")
-        .withColumn("record_no", F.col("_start") + F.col("_pos").bitwiseAND((1 << 33) - 1) + 1)
-        .drop("_pos", "_part", "_start")
-    )
+    """Add ``record_no`` from 1 by ``(created_at, id)``; no task sees more than its partition."""
+    numbered = running(history, [], ["created_at", "id"], {"record_no": F.lit(1)})
+    return numbered.withColumn("record_no", F.col("record_no") + 1)
 
 
 def _record_text(zone: str) -> Column:

@@ -131,13 +131,6 @@ def response_rows(parsed: DataFrame, by: list[str]) -> DataFrame:
     return parsed.select(*by, F.posexplode("records").alias("seq", "record"))
 
 
-def response_cells(parsed: DataFrame, by: list[str]) -> DataFrame:
-    """Record members as rows: ``(by…, seq, col_key, answer)``."""
-    return response_rows(parsed, by).select(
-        *by, "seq", F.explode("record").alias("col_key", "answer")
-    )
-
-
 _CHUNKS = "choices array<struct<message:struct<content:array<struct<text:string,content:string>>>>>"
 
 

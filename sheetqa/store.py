@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _WRITTEN: set[str] = set()
 
@@ -43,9 +41,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small constant table as a literal inside the plan: no Python workers to read it."""
-    parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
-    return spark.range(1).select(F.inline(parsed))

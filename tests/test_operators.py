@@ -398,3 +398,16 @@ def test_quality_of_one_sided_cells(spark):
     assert tuple(Q.quality_totals(orig, trans).collect()[0]) == (3, 3, 1, 1, 1, 1, 1, 1, 1, 1)
     typed = trans.withColumn("value_type", F.lit("number"))
     assert Q.quality_issues(orig, typed).count() == 0
+
+
+def test_history_text_file(spark, tmp_path):
+    entries = spark.createDataFrame(
+        [("b", 2000, "second", {"English": "two"}), ("a", 1000, "first", {"English": "one"})],
+        "id string, created_at bigint, source string, outputs map<string,string>",
+    )
+    out = str(tmp_path / "export")
+    H.write_history_text(H.export_history(entries), out)
+    text = "\n".join(r.value for r in spark.read.text(out, wholetext=False).collect())
+    lines = text.split("\n")
+    assert [x for x in lines if x.startswith("Record ")] == ["Record 1", "Record 2"]
+    assert lines.count("=" * 80) == 1 and lines.index("first") < lines.index("second")

@@ -433,6 +433,15 @@ def untranslated_summary(spark, sf):
     return C.summarize_untranslated(_wide_rows(derive(spark, sf, CELLS)), "English")
 
 
+@query(
+    f"""with {D.scored(CELLS_SQL, 'original', "'en'")} select row_idx, t <> '' and not is_target as needs from lg"""
+)
+def wide_rows_needing_translation(spark, sf):
+    """The same flag over a wide table's columns, without cells."""
+    wide = derive(spark, sf, CELLS).select("row_idx", "original", F.lit("12").alias("code"))
+    return wide.select("row_idx", C.wide_needs_translation(wide, ["original", "code"], "English").alias("needs"))
+
+
 _RETRY = f"{D.untranslated('col_key')} and not {D.locked('col_key', 'original')} and not {D.neutral('t')}"
 
 

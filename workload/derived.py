@@ -175,6 +175,19 @@ select o_orderkey as batch_id,
 from orders
 """
 
+# Answers with repeated members, items that are no objects, and none at all.
+ODD_OUTPUTS = """
+select o_orderkey as batch_id,
+       case o_orderkey % 6
+         when 0 then concat('[{"content":"one","content":"a', o_custkey, '"}]')
+         when 1 then concat('[{"content":"a', o_custkey, '"},3]')
+         when 2 then concat('[{"content":"a', o_custkey, '"},null]')
+         when 3 then concat('{"records":[{"content":"a', o_custkey, '"}]}')
+         when 4 then '[]'
+         else concat('[{"content":"x","k":"1","content":"a', o_custkey, '"},"text"]') end as text
+from orders
+"""
+
 # Service bodies around the same records.
 BODIES = """
 select o_orderkey as batch_id,

@@ -16,7 +16,7 @@ from . import duck as D
 from .catalog import query
 from .cells_queries import _GROUPED, CELLS_SQL, PARSED_LINES, _wide_rows
 from .expected import GLOSSARY
-from .derived import BODIES, CELLS, LANG_LINES, LINES, RAW_OUTPUTS, RESPONSES, derive, duck, table
+from .derived import BODIES, CELLS, LANG_LINES, LINES, ODD_OUTPUTS, RAW_OUTPUTS, RESPONSES, derive, duck, table
 from .text_queries import TKN
 
 EN = "English"
@@ -136,20 +136,50 @@ def validate_responses(spark, sf):
 
 
 @query(
-    f"""with r as (select distinct batch_id, seq, row_idx, error from ({RESPONSES_SQL}) x where engine = 'deepseek'),
+    f"""with r as (select distinct concat(engine, '-', batch_id) as batch_id, seq, row_idx, error from ({RESPONSES_SQL}) x),
     n as (select batch_id, count(*) as n from r group by batch_id)
     select concat(batch_id, case when seq < ceil(n / 2.0) then '.0' else '.1' end) as batch_id,
       cast(case when seq < ceil(n / 2.0) then seq else seq - ceil(n / 2.0) end as int) as seq, row_idx
     from r join n using (batch_id) where error <> '' and n > 1"""
 )
 def bisect_failed_batches(spark, sf):
-    rows = derive(spark, sf, RESPONSES).filter("engine = 'deepseek'")
+    """Each engine's failed batches are split for themselves."""
+    rows = derive(spark, sf, RESPONSES).withColumn("batch_id", F.concat_ws("-", "engine", "batch_id"))
     status = rows.select("batch_id", "error").distinct()
     return B.bisect_failed_batches(rows.select("batch_id", "seq", "row_idx"), status).select(
         "batch_id", "seq", "row_idx"
     )
 
 
+_ODD = "(select o_orderkey as batch_id, o_orderkey % 6 as kind, o_custkey from orders) k"
+
+
+@query(
+    f"""select batch_id, 0 as seq, true as is_object, concat('a', o_custkey) as content from {_ODD} where kind <> 4
+    union all select batch_id, 1, false, '' from {_ODD} where kind in (1, 2, 5)"""
+)
+def parse_odd_answers(spark, sf):
+    """Of repeated members the last counts; items that are no objects stay as NULL."""
+    rows = RS.response_rows(RS.parse_responses(derive(spark, sf, ODD_OUTPUTS)), ["batch_id"])
+    record = F.col("record")
+    return rows.select(
+        "batch_id", "seq", record.isNotNull().alias("is_object"), F.coalesce(record["content"], F.lit("")).alias("content")
+    )
+
+
+@query(
+    f"""select batch_id, case when kind in (1, 2, 5) then 'Translation returned invalid record data.'
+    when kind = 4 then 'Translation returned 0 records (expected 1).' else '' end as error from {_ODD}"""
+)
+def validate_odd_answers(spark, sf):
+    """Counts fit for all but empty answers; items that are no objects fail their batch."""
+    wanted = derive(spark, sf, ODD_OUTPUTS).select(
+        "batch_id", F.when((F.col("batch_id") % 6).isin(1, 2, 5), 2).otherwise(1).alias("n_records")
+    )
+    parsed = RS.parse_responses(derive(spark, sf, ODD_OUTPUTS))
+    return B.validate_responses(wanted, parsed).select("batch_id", "error")
+
+
 _REQUESTS = """select o_orderkey as id, o_orderpriority as lang, concat('[', o_custkey, ']') as payload,
   case o_orderstatus when 'F' then 'gemini' when 'O' then '' end as model, 'direct' as mode"""
 
@@ -226,6 +256,23 @@ _MERGED = f"""a as (select c.*, {_ANSWER} as answer, o_orderstatus from ({CELLS_
       replace(polished, '__TKN_0__', regexp_extract(original, {D.q(TKN)})) else original end as merged from pl)"""
 
 
+@query(
+    f"""with a as (select *, 'the mild answer.Case' as answer from ({CELLS_SQL}) c), {D.polished('select * from a', 'original', 'answer')}
+    select row_idx, col_key, case when {_SEND} then polished else original end as translated from pl"""
+)
+def merge_repeated_answers(spark, sf):
+    """Every answer names its member twice; the table keeps its cells."""
+    cells = derive(spark, sf, CELLS)
+    requests = cells.select(
+        F.col("row_idx").alias("batch_id"), F.lit(1).alias("n_records"), F.array("row_idx").alias("rows")
+    )
+    twice = F.concat(F.lit('[{"'), "col_key", F.lit('":"no","'), "col_key", F.lit('":"the mild answer.Case"}]'))
+    parsed = RS.parse_responses(cells.select(F.col("row_idx").alias("batch_id"), twice.alias("text")))
+    answers = B.answer_cells(B.validate_responses(requests, parsed))
+    merged = MG.merge_translations(cells.drop("translated"), answers, EN)
+    return merged.select("row_idx", "col_key", "translated")
+
+
 @query(f"with {_MERGED} select row_idx, col_key, merged as translated from m")
 def merge_translations(spark, sf):
     cells = derive(spark, sf, CELLS).drop("translated")

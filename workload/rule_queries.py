@@ -164,6 +164,13 @@ def missing_by_document(spark, sf):
     return R.missing_combinations(both, by=["doc_id"]).select("doc_id", "ord", "template_id")
 
 
+@query(_missing(E.TEMPLATES).replace("select ord, concat", "select ord, template_id, concat") + " order by ord limit 5")
+def gap_samples(spark, sf):
+    """The report's first five gaps."""
+    found = R.first_gaps(R.missing_combinations(_rules(spark, sf)), 5)
+    return found.select("template_id", *_COLUMNS)
+
+
 @query(
     f"""with {_matches(RULES_SQL)} select (select count(*) from tx) as n_rules,
     (select count(*) from tp) - count(distinct ord) as n_gaps from hit"""
@@ -260,6 +267,13 @@ def cross_check(spark, sf):
     )
 
 
+@query(f"with {_KB} select rule_id, row_idx, advice as recommendation from kb order by row_idx limit 5")
+def finding_samples(spark, sf):
+    """The report's first five findings."""
+    found = X.first_findings(X.cross_check(_rules(spark, sf)), 5)
+    return found.select("rule_id", "row_idx", "recommendation")
+
+
 @query(
     f"""with {_KB} select rule_id, row_idx, concat('- 组合描述：', coalesce(nullif(description, ''), '未提供'), chr(10), '- 已有解读：',
     coalesce(nullif(explanation, ''), '暂无'), chr(10), '- 模板参考：', coalesce(template, '无')) as prompt from kb"""
