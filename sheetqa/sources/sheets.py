@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..schema import doc_keys
 from ..store import written
 from .reshape import header_keys
@@ -65,17 +66,55 @@ def parse_sheet(raw: DataFrame) -> DataFrame:
     )
     first = F.greatest(F.col("header_row") + 1, F.col("_block") * BLOCK)
     last = F.least(F.col("last_row"), (F.col("_block") + 1) * BLOCK - 1)
-    grid = blocks.select(
+    rows = blocks.select(
         *keys, "header_row", "_headers", F.explode(F.sequence(first, last)).alias("sheet_row")
-    ).select(*keys, "header_row", "sheet_row", F.inline("_headers"))
-    typed = "value_type" in raw.columns
-    full = grid.join(raw, [*keys, "sheet_row", "col_idx"], "left")
-    kind = F.col("value_type") if typed else F.lit("string")
+    )
+    # A row meets its cells as one value; it is widened behind the join, not before it.
+    kind = F.col("value_type") if "value_type" in raw.columns else F.lit("string")
+    cells = raw.groupBy(*keys, "sheet_row").agg(
+        F.collect_list(
+            F.struct(
+                "col_idx",
+                F.lit(1).alias("tag"),
+                F.lit(None).cast("string").alias("col_key"),
+                "value",
+                kind.alias("value_type"),
+            )
+        ).alias("_cells")
+    )
+    full = rows.join(cells, [*keys, "sheet_row"], "left")
+    empty = F.lit(None).cast("string")
+    marks = F.transform(
+        "_headers",
+        lambda h: F.struct(
+            h["col_idx"].alias("col_idx"),
+            F.lit(0).alias("tag"),
+            h["col_key"].alias("col_key"),
+            empty.alias("value"),
+            empty.alias("value_type"),
+        ),
+    )
+    everything = F.concat(marks, F.coalesce("_cells", F.filter(marks, lambda _: F.lit(False))))
+
+    def widened(sorted_: Column) -> Column:
+        """Sorted by column, a header stands right before its cell, if it has one."""
+
+        def one(x: Column, i: Column) -> Column:
+            after = F.get(sorted_, i + 1)
+            own = (after["tag"] == 1) & (after["col_idx"] == x["col_idx"])
+            value = F.when(own, after["value"])
+            cell = F.struct(
+                x["col_idx"].alias("col_idx"),
+                x["col_key"].alias("col_key"),
+                F.coalesce(value, F.lit("")).alias("value"),
+                F.when(value.isNull(), "string").otherwise(after["value_type"]).alias("value_type"),
+            )
+            return F.when(x["tag"] == 0, cell)
+
+        return F.array_compact(F.transform(sorted_, one))
+
     return full.select(
         *keys,
         (F.col("sheet_row") - F.col("header_row") - 1).alias("row_idx"),
-        "col_idx",
-        "col_key",
-        F.coalesce("value", F.lit("")).alias("value"),
-        F.when(F.col("value").isNull(), "string").otherwise(kind).alias("value_type"),
+        F.inline(let(F.array_sort(everything), widened)),
     )
