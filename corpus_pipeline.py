@@ -21,11 +21,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id.
+    """Of each class of texts alike in five-word shingles the document with the smallest id.
 
     Of rows that share this id one stays, the first by a hash of the row.
     """
-    classed = simhash.near_duplicates(docs, carry=REST)
+    classed = simhash.similar_documents(docs, carry=REST)
     first = classed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = first.where("doc_id is not null").groupBy("doc_id").agg(
         F.min_by(F.struct(*REST), F.xxhash64(*REST)).alias("row")

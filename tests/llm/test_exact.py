@@ -201,6 +201,25 @@ def test_links_connect_what_all_pairs_connect(spark, chunk):
     assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_group.values()))
 
 
+def test_similar_documents_with_changed_words(spark, docs, none, rows):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(15):
+        base = [f"v{rng.randrange(3000)}" for _ in range(240)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for k in rng.sample(range(240), 3):  # at most 15 of 236 shingles change
+                copy[k] = f"v{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == {i: i // 4 * 4 for i in range(len(texts))}
+    everything = simhash.similar_documents(docs, carry=("size",)).collect()
+    assert Counter(r.doc_id for r in everything) == Counter(r[0] for r in rows)
+    assert simhash.similar_documents(none).count() == 0
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (2, 1)]
     random.Random(1).shuffle(edges)

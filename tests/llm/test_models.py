@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check import compare, connect
-from sheetqa.llm import ngram_ratio, personal_data, positive_unlabelled, simhash, subword_toxicity
+from sheetqa.llm import ngram_ratio, personal_data, positive_unlabelled, subword_toxicity
 from sheetqa.llm.common import documents, labels
 
 SF = "/root/testdata/sf0.01"
@@ -114,20 +114,23 @@ def test_pipeline_stages(spark):
     assert good.columns == docs.columns
 
     single = corpus_pipeline.without_near_copies(spark, good, SF).cache()
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in good.collect()}
-    parent = {i: i for i in prints}
+    texts = {r.doc_id: r.text for r in good.collect()}
+    kept = {r.doc_id for r in single.collect()}
+    shingles = {}
+    for i, text in texts.items():
+        w = text.split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
+    def alike(i, j):
+        return len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
 
-    listed = sorted(prints)
+    listed = sorted(texts)
     for n, i in enumerate(listed):
         for j in listed[n + 1 :]:
-            if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS:
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    assert sorted(r.doc_id for r in single.collect()) == sorted({find(i) for i in listed})
+            if texts[i] == texts[j] or alike(i, j) >= 0.85:
+                assert j not in kept
+    for i in set(texts) - kept:
+        assert max(alike(i, j) for j in texts if j != i) > 0.5
 
     clean = corpus_pipeline.without_personal_data(spark, single, SF).cache()
     assert clean.count() == single.count()
