@@ -398,7 +398,25 @@ def progress_store(spark, sf):
     return PR.load_progress(spark, path).drop("updated_at")
 
 
-_STAMP = "epoch_ms(o_orderdate)"
+@query(
+    """select concat('f', o_custkey % 3) as file_id, lang as target_lang, o_orderkey as row_idx
+    from orders cross join (select 'English' as lang union all select 'Spanish') l
+    where o_custkey % 3 = 1 or (o_custkey % 3 = 2 and lang = 'Spanish')"""
+)
+def progress_cleared(spark, sf):
+    """All of the first file is cleared, and the English snapshot of the last."""
+    path = scratch_path(spark, "progress")
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string")).alias("file_id"),
+        F.explode(F.array(F.lit(EN), F.lit("Spanish"))).alias("target_lang"),
+        F.col("o_orderkey").alias("row_idx"),
+        F.lit("{}").alias("record"),
+    )
+    PR.save_progress(rows, path)
+    PR.clear_progress(spark, path, "f0")
+    PR.clear_progress(spark, path, "f2", EN)
+    return PR.load_progress(spark, path).select("file_id", "target_lang", "row_idx")
+
 
 
 @query(
