@@ -15,6 +15,7 @@ from sheetqa.llm import ngram_ratio, personal_data, positive_unlabelled, subword
 from sheetqa.llm.common import documents, labels
 
 SF = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out int"
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -48,10 +49,11 @@ def test_awkward_rows_and_missing_labels(spark, odd, odd_labels, operator):
     assert all(np.isfinite(kept))
 
 
-@pytest.mark.parametrize("name, truth, least", [("op4_positive_unlabelled", "quality", 0.97), ("op6_subword_toxicity", "toxic", 0.85)])
+@pytest.mark.parametrize("name, truth, least", [("op4_positive_unlabelled", "quality", 0.98), ("op6_subword_toxicity", "toxic", 0.95)])
 def test_held_out_accuracy(spark, name, truth, least):
-    out = queries()[name](spark, SF).join(labels(spark, SF), "doc_id").where("held_out").collect()
-    assert len(out) > 50 and np.mean([r.predicted == r[truth] for r in out]) >= least
+    """On 10,000 documents; a tenth of that leaves the fit some two hundred positives."""
+    out = queries()[name](spark, LARGE).join(labels(spark, LARGE), "doc_id").where("held_out").collect()
+    assert len(out) > 500 and np.mean([r.predicted == r[truth] for r in out]) >= least
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
 
 
