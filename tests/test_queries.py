@@ -53,7 +53,7 @@ def test_no_single_task_over_rows(spark):
     """What one task sees is a limit's rows, or one row for each partition of a sort."""
     from sheetqa.operators.quality import first_n, row_ranges
 
-    rows = spark.range(10).withColumnRenamed("id", "row_idx")
+    rows = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_orderkey as row_idx")
     limited = first_n(rows, [], ["row_idx"], 2000)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in limited
     for df in (row_ranges(rows, 2000), QUERIES["retry_request_batches"](spark, SF)):
