@@ -186,7 +186,8 @@ def stream_audit(spark, sf):
     """The audit of ``documents`` as a stream that stops when all has been read."""
     schema = table(spark, sf, "documents").schema
     out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
-    stream = read_cells(spark, sf, schema, "documents.parquet")
+    # A pattern fits the table as one file and as a folder of files.
+    stream = read_cells(spark, f"{sf}/documents.parque[t]", schema)
 
     def audit(df):
         text = F.col("text")
