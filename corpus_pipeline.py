@@ -25,12 +25,18 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Of rows that share this id one stays, the first by a hash of the row.
     """
-    classed = simhash.similar_documents(docs, carry=REST)
+    row = F.xxhash64(*COLUMNS)
+    classed = simhash.similar_documents(docs, carry=(row.alias("row"),))
     first = classed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min_by(F.struct(*REST), F.xxhash64(*REST)).alias("row")
-    )
-    return kept.select("doc_id", "row.*").union(first.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
+    # Narrow: of each class the row that stays, and how often it occurs. Rows without id have no
+    # class of their own to stand for, so each of them stays once.
+    kept = first.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    least = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row"))
+    stays = kept.join(least, "row", "left_semi").unionByName(kept.where("doc_id is null"))
+    found = docs.withColumn("row", row).join(stays.select("row", "copies"), "row")
+    single = found.where("copies = 1").select(*COLUMNS)
+    again = found.where("copies > 1").select(*COLUMNS).distinct()
+    return single.union(again)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

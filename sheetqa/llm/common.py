@@ -57,20 +57,25 @@ def running_before(
     value: Column,
     out: str,
     bits: int = 12,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the group that come earlier.
 
     Rows are ordered by ``position``, a 64-bit hash, read as unsigned number, then by ``ties``.
     The hash spreads a group of any size evenly over ``2 ** bits`` blocks: sums inside a block
     take a small window, sums before a block come from the blocks' totals, at most
-    ``2 ** bits`` rows per group. ``group`` must not be NULL. ``df`` is read twice.
+    ``2 ** bits`` rows per group. ``group`` must not be NULL. ``df`` is read twice, or once if
+    ``narrow`` has the same rows with the columns that the sums need.
     """
-    rows = df.withColumn("_block", F.shiftrightunsigned(position, 64 - bits)).withColumn(
-        "_value", value
-    )
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        block = F.shiftrightunsigned(position, 64 - bits)
+        return rows.withColumn("_block", block).withColumn("_value", value)
+
+    rows = blocked(df)
     earlier = Window.unboundedPreceding, -1
     starts = (
-        rows.groupBy(group, "_block")
+        blocked(df if narrow is None else narrow).groupBy(group, "_block")
         .agg(F.sum("_value").alias("_sum"))
         .select(
             group,

@@ -84,18 +84,20 @@ def mix_documents(
     ``carry`` names columns of ``docs`` to keep as well.
     """
     carry = [c for c in carry if c not in ("doc_id", "source")]
-    sized = written(
-        docs.select(
-            "doc_id",
-            "source",
-            F.struct(F.xxhash64("text").alias("_text"), *carry).alias("_kept"),
-            word_count(F.col("text")).alias("size"),
-            F.md5(
-                F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-            ).alias("_md5"),
-        ),
-        "sized",
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = docs.select(
+        "doc_id",
+        "source",
+        F.xxhash64("text").alias("_text"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("_kept"),
+        word_count(F.col("text")).alias("size"),
+        digest.alias("_md5"),
+        _key(F.col("source")).alias("_source"),
+        # The digest's first 15 digits, moved to the top of 64 bits: its order, and even blocks.
+        F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 4).alias("_order"),
     )
+    # Without what is carried, this is narrow; carried columns are read again where they are used.
+    sized = written(rows.drop("_kept"), "sized")
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     wheel = F.array(*map(F.lit, weights))
     sources = written(
@@ -107,15 +109,8 @@ def mix_documents(
     targets = sources.select(
         _key(F.col("source")).alias("_source"), "source_size", fill(sources, total, epochs).alias("target")
     )
-    # The digest's first 15 digits, moved to the top of 64 bits: its order, and even blocks.
-    order = F.shiftleft(F.conv(F.substring("_md5", 1, 15), 16, 10).cast("long"), 4)
     ranked = running_before(
-        sized.withColumn("_source", _key(F.col("source"))).withColumn("_order", order),
-        "_source",
-        "_order",
-        ["_md5", F.col("_kept._text")],
-        F.col("size"),
-        "_before",
+        rows if carry else sized, "_source", "_order", ["_md5", "_text"], F.col("size"), "_before", narrow=sized
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     missing = F.round("target").cast("long") - F.col("_whole") * F.col("source_size")

@@ -129,7 +129,11 @@ def instances(text: str | None, base: list[tuple[str, int, int]]) -> Iterator[tu
         yield start, end, token[:200], kind, patterns
 
 
-def spans_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``, written: ``row``, ``base`` spans and ``instances`` with contexts."""
 
     @F.pandas_udf(
@@ -146,12 +150,12 @@ def spans_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         names = ["kind", "start", "end", "i_start", "i_end", "token", "i_kind", "patterns"]
         return pd.DataFrame(rows, columns=names)
 
-    found = docs.select("doc_id", *carry, run(F.col("text")).alias("f"))
+    found = docs.select("doc_id", _row_hash().alias("hash"), run(F.col("text")).alias("f"))
     return written(
         found.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
-            *carry,
+            "hash",
             F.arrays_zip("f.kind", "f.start", "f.end").alias("base"),
             F.arrays_zip("f.i_start", "f.i_end", "f.token", "f.i_kind", "f.patterns").alias("instances"),
         ),
@@ -213,12 +217,12 @@ def all_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Exact matches stay as they are; spans of kind ``id`` are added. NULL texts count as empty;
     rows with NULL or repeated ids are rows of their own.
     """
-    found = spans_of(docs, carry)
+    found = spans_of(docs)
     more = discover(found).groupBy("row").agg(
         F.collect_list(F.struct("start", "end", F.lit(FOUND).alias("kind"))).alias("more")
     )
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    joined = found.select("row", "doc_id", *carry, base.alias("base")).join(more, "row", "left")
+    joined = found.select("row", "doc_id", "hash", base.alias("base")).join(more, "row", "left")
     ranked = F.create_map(*(x for i, k in enumerate((*KINDS, FOUND)) for x in (F.lit(k), F.lit(i))))
     everything = F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
     ordered = F.array_sort(
@@ -227,7 +231,17 @@ def all_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     spans = F.transform(
         ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     )
-    return joined.select("doc_id", *carry, "base", spans.alias("spans"))
+    spanned = joined.select("doc_id", "hash", "base", spans.alias("spans"))
+    if not carry:
+        return spanned.drop("hash")
+    # Rows with spans are few and narrow. Equal rows have equal spans, so one of them stands for all.
+    some = spanned.where(F.size("spans") > 0).dropDuplicates(["hash"]).drop("doc_id")
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    return (
+        docs.select("doc_id", *carry, _row_hash().alias("hash"))
+        .join(some, "hash", "left")
+        .select("doc_id", *carry, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    )
 
 
 def joined(spans: Column) -> Column:

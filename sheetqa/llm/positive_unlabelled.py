@@ -202,9 +202,12 @@ def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) ->
     do rows with NULL or repeated ids. Without any positive label all scores are 0.5. The driver
     sees two samples of bounded size, about ``POSITIVES`` and ``UNLABELLED`` rows of figures.
     """
-    figured = written(docs.select("doc_id", features(F.col("text")).alias("features"), *carry), "figures")
+    figures_of = features(F.col("text")).alias("features")
+    figured = written(docs.select("doc_id", figures_of), "figures")
     model = train(figured, labels)
-    return figured.select(
+    # What is carried may be wide: then the figures are found again rather than stored beside it.
+    rows = docs.select("doc_id", figures_of, *carry) if carry else figured
+    return rows.select(
         "doc_id",
         (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"),
         scores(F.col("features"), model).alias("score"),

@@ -154,6 +154,16 @@ def test_pipeline_stages(spark):
     assert whole.count() == mix.count() and whole.columns == last.columns
 
 
+def test_near_dedup_with_missing_and_repeated_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[2]), (5, texts[3]), (4, texts[3]), (None, texts[3])]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_copies(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(
+        [(None, texts[0]), (None, texts[1]), (1, texts[2]), (4, texts[3])]
+    )
+
+
 def test_pipeline_on_awkward_rows(spark, odd, odd_labels, tmp_path):
     odd_labels.write.parquet(os.path.join(tmp_path, "labels.parquet"))
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
