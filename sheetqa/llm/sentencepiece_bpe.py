@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words that a task keeps; the table is emptied when full, so its size stays bounded.
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 200_000
 #: Longer words are encoded but not kept.
 CACHE_CHARS = 64
 

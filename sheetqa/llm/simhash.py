@@ -28,6 +28,8 @@ RADIUS = 4
 BANDS = 7
 PIVOTS = 16
 CHUNK = 20_000
+#: Ids that a task remembers to leave out repeated links; forgetting them loses none.
+MEMORY = 1_000_000
 SEED = 42
 _ALL = (1 << 64) - 1
 
@@ -151,44 +153,68 @@ def links(
 ) -> DataFrame:
     """``a, b``: links that connect all fingerprints (column ``print``, distinct) within ``radius``."""
     masks = F.array(*(F.col("print").bitwiseAND(F.lit(m)) for m in band_masks(radius, bands)))
-    keyed = prints.select(F.struct(F.col("print").alias("id"), F.col("print").alias("p0")).alias("m"), F.posexplode(masks).alias("which", "bits"))
+    keyed = prints.select(
+        F.col("print").alias("id"), F.col("print").alias("p0"), F.posexplode(masks).alias("which", "bits")
+    )
+    keyed = keyed.select(F.xxhash64("which", "bits").alias("key"), "id", "p0")
     return _linked(keyed, 1, radius, chunk, count)
 
 
+def _connecting():
+    """A function that passes on the pairs which no pairs before them connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def connecting(pairs):
+        if len(parent) > MEMORY:
+            parent.clear()
+        for a, b in pairs:
+            if (x := root(a)) != (y := root(b)):
+                parent[max(x, y)] = min(x, y)
+                yield a, b
+
+    return connecting
+
+
 def _linked(keyed: DataFrame, lanes: int, radius: int, chunk: int, count: int) -> DataFrame:
-    """``a, b``: ids of linked members ``m(id, p0, …)`` that share a key ``(which, bits)``.
+    """``a, b``: ids of linked members ``(key, id, p0, …)`` that share a key.
 
     A key with over ``chunk`` members is cut into chunks, each pair of which becomes a task's
     work of its own: memory stays bounded and no pair is lost.
     """
-    key = ["which", "bits"]
-    groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    large = groups.where(F.col("n") > chunk).select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    columns = ["id", *(f"p{i}" for i in range(lanes))]
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = groups.where(F.col("n") > chunk).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     # Keys over ``chunk`` are at most rows / chunk, and few of them exist at all.
     large = written(large, "large-keys")
-    part = F.pmod(F.xxhash64("m"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int")
     # Chunk p meets every chunk q: (p, q) with p <= q names the work, ``second`` tells q from p.
-    cut = keyed.join(large, key).withColumn("part", part)
-    cut = cut.select(*key, "m", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    work = [*key, "p", "q"]
+    cut = keyed.join(large, "key").withColumn("part", part)
+    cut = cut.select("key", *columns, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cut = cut.select(
-        *key,
+        "key",
         F.least("part", "other").alias("p"),
         F.greatest("part", "other").alias("q"),
         (F.col("part") > F.col("other")).alias("second"),
-        "m",
+        F.struct(*columns).alias("m"),
     )
-    cut = cut.groupBy(*work).agg(
+    cut = cut.groupBy("key", "p", "q").agg(
         F.collect_list(F.when(~F.col("second"), F.col("m"))).alias("first"),
         F.collect_list(F.when(F.col("second"), F.col("m"))).alias("rest"),
     )
-    whole = keyed.join(large, key, "left_anti").groupBy(*key).agg(F.collect_list("m").alias("first"))
+    # Dealt out as plain rows: lists gathered before the shuffle would be larger than these.
+    whole = keyed.join(large, "key", "left_anti").repartition("key")
+    whole = whole.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("first"))
     whole = whole.where(F.size("first") > 1).withColumn("rest", F.filter("first", lambda _: F.lit(False)))
-    columns = ["id", *(f"p{i}" for i in range(lanes))]
     flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("first", "rest") for c in columns]
 
     def run(batches):
         references = pivots(count, lanes)
+        connects = _connecting()
 
         def side(row, name: str) -> np.ndarray:
             return np.stack([np.asarray(getattr(row, f"{name}_p{i}"), np.int64) for i in range(lanes)], 1).view(np.uint64)
@@ -206,13 +232,25 @@ def _linked(keyed: DataFrame, lanes: int, radius: int, chunk: int, count: int) -
                     if gap <= radius:
                         found.append((ids[0], ids[1]))
                 else:
-                    a = side(row, "first")
+                    # By id: searches begin at the smallest, so keys of one cluster give equal links.
+                    order = np.argsort(ids)
+                    a, ids = side(row, "first")[order], ids[order]
                     found += [(ids[x], ids[y]) for x, y in forest(a, a, radius, references)]
-            pairs = np.array(found, np.int64).reshape(-1, 2)
+            pairs = np.array([*connects(found)], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def fewer(batches):
+        """Of a share of all links those that connect: what one key repeats of another goes."""
+        connects = _connecting()
+        for batch in batches:
+            pairs = np.array([*connects(zip(batch["a"].tolist(), batch["b"].tolist()))], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     both = whole.select("first", "rest").union(cut.select("first", "rest")).select(*flat)
-    return both.mapInPandas(run, "a long, b long").distinct()
+    found = both.mapInPandas(run, "a long, b long").distinct()
+    # A cluster's links come from many keys in many tasks; in fewer shares most turn out to repeat.
+    shares = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return found.repartition(shares).mapInPandas(fewer, "a long, b long")
 
 
 def near_duplicates(
@@ -264,7 +302,7 @@ def similar_documents(
     similarity: float = 0.8,
     bits: int = 20,
     tables: int = 80,
-    carry: tuple[str, ...] = (),
+    carry: tuple[str | Column, ...] = (),
 ) -> DataFrame:
     """``doc_id, component_id`` and ``carry``: classes of texts alike in ``words``-word shingles.
 
@@ -279,7 +317,8 @@ def similar_documents(
     share = float(np.arccos(cosine) / np.pi)
     radius = int(128 * share + 1.5 * (128 * share * (1 - share)) ** 0.5)
     printed = docs.select("doc_id", wide_fingerprints(F.col("text"), words).alias("print"), *carry)
-    printed = written(printed.select("doc_id", "print.*", *carry), "wide-prints")
+    names = [c for c in printed.columns if c not in ("doc_id", "print")]
+    printed = written(printed.select("doc_id", "print.*", *names), "wide-prints")
     distinct = printed.groupBy("p0", "p1").agg(F.min("doc_id").alias("least"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "wide-distinct")
     keys = F.array(
@@ -288,11 +327,12 @@ def similar_documents(
             for m0, m1 in sampled_masks(bits, tables)
         )
     )
-    keyed = distinct.select(F.struct("id", "p0", "p1").alias("m"), F.posexplode(keys).alias("which", "bits"))
+    keyed = distinct.select("id", "p0", "p1", F.posexplode(keys).alias("which", "bits"))
+    keyed = keyed.select(F.xxhash64("which", "bits").alias("key"), "id", "p0", "p1")
     component = connected_components(_linked(keyed, 2, radius, CHUNK, PIVOTS))
     rooted = distinct.join(component, distinct["id"] == component["node"], "left").select(
         "p0", "p1", "least", F.coalesce("root", "id").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(smallest, "root").select("p0", "p1", "component_id")
-    return printed.join(of_print, ["p0", "p1"]).select("doc_id", "component_id", *carry)
+    return printed.join(of_print, ["p0", "p1"]).select("doc_id", "component_id", *names)
