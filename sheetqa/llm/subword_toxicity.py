@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -95,7 +97,25 @@ class Scorer:
         return float(self.model.passages(values).max())
 
 
-def _train(passages: list[np.ndarray], toxic: np.ndarray, vocabulary: list[list[int]], start: tuple | None, epochs: int, seed: int):
+class Vocabulary:
+    """Rows of all words of the training texts, one after the other."""
+
+    def __init__(self, words: Iterable[str]):
+        rows, lengths = array("i"), array("i")
+        for word in words:
+            found = grams(word)
+            rows.extend(row(g) for g in found)
+            lengths.append(len(found))
+        self.rows = np.frombuffer(rows, np.int32)
+        self.lengths = np.frombuffer(lengths, np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths[:-1], dtype=np.int64)])
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        """For each word the mean weight of its rows."""
+        return np.add.reduceat(weights[self.rows], self.starts) / self.lengths
+
+
+def _train(passages: list[np.ndarray], toxic: np.ndarray, vocabulary: Vocabulary, start: tuple | None, epochs: int, seed: int):
     """Embeddings and softmax by Adagrad on mini-batches; ``passages`` hold word numbers."""
     rng = np.random.default_rng(seed)
     if start is None:
@@ -108,9 +128,7 @@ def _train(passages: list[np.ndarray], toxic: np.ndarray, vocabulary: list[list[
             np.full(2, 1e-12),
         )
     table, out, bias, seen, seen_out, seen_bias = start
-    lengths = np.array([len(v) for v in vocabulary])
-    flat = np.concatenate([np.asarray(v) for v in vocabulary])
-    starts = np.concatenate([[0], np.cumsum(lengths)])
+    lengths, flat, starts = vocabulary.lengths, vocabulary.rows, vocabulary.starts
     size = int(np.clip(len(passages) // 50, 64, 2048))  # few passages still make many steps
     weight = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum())) * len(toxic)
     for epoch in range(epochs):
@@ -155,8 +173,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, seed: int = 11) ->
     if not len(labels) or labels.min() == labels.max():
         return None
     numbers: dict[str, int] = {}
-    documents = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], int) for t in texts]
-    vocabulary = [np.array([row(g) for g in grams(w)]) for w in numbers]
+    documents = [
+        np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32) for t in texts
+    ]
+    if not numbers:
+        return None
+    vocabulary = Vocabulary(numbers)
+    del numbers
     rng = np.random.default_rng(seed)
     state, model = None, None
     # One text in five is not trained on: on these the threshold is set.
@@ -165,7 +188,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, seed: int = 11) ->
         passages, target = [], []
         values = None
         if model is not None:
-            values = np.array([model.weights[v].mean() for v in vocabulary])
+            values = vocabulary.values(model.weights)
         for words, label, skip in zip(documents, labels, apart):
             if skip or not len(words):
                 continue
@@ -189,7 +212,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, seed: int = 11) ->
         state = _train(passages, np.array(target), vocabulary, state, 3 if turn == 0 else 2, seed + turn)
         table, out, bias = state[:3]
         model = Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
-    values = np.array([model.weights[v].mean() for v in vocabulary])
+    values = vocabulary.values(model.weights)
     best = np.array([model.passages(values[w]).max() for w, out in zip(documents, apart) if out])
     return Model(model.weights, model.bias - threshold(best, labels[apart]))
 
@@ -231,7 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_TEXTS, other: i
     ]
     rows = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "toxic")
     rows = rows.orderBy("doc_id", "text").toPandas()
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    texts, toxic = rows["text"].tolist(), rows["toxic"].tolist()
+    del rows
+    return fit(texts, toxic)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
