@@ -12,12 +12,13 @@ rows.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import written
@@ -30,6 +31,10 @@ PIVOTS = 16
 CHUNK = 20_000
 #: Ids that a task remembers to leave out repeated links; forgetting them loses none.
 MEMORY = 1_000_000
+#: Buckets by which shingles count as common.
+BUCKET_BITS = 20
+#: Against rounding in products with the similarity.
+SLACK = 1e-9
 SEED = 42
 _ALL = (1 << 64) - 1
 
@@ -59,9 +64,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return _majority(_shingle_hashes(text, words))
 
 
-def wide_fingerprint(text: str | None, words: int) -> tuple[int, int]:
-    """128 bits: the fingerprint, and that of the same hashes scrambled once more."""
-    hashes = _shingle_hashes(text, words)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; words and white space as for the fingerprints."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashed = np.fromiter(map(digest, tokens), np.uint64, len(tokens))
+    taken = min(words, len(tokens))
+    mixed = np.full(len(tokens) - taken + 1 if tokens else 0, taken, np.uint64)
+    for i in range(taken):
+        mixed = (mixed ^ hashed[i : len(tokens) - taken + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes: its majority, and that of the same hashes scrambled once more."""
     again = hashes * np.uint64(0x9E3779B97F4A7C15)
     again = (again ^ (again >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return _majority(hashes), _majority(again ^ (again >> np.uint64(29)))
@@ -77,16 +94,69 @@ def fingerprints(text: Column, words: int = WORDS) -> Column:
     return run(text)
 
 
-def wide_fingerprints(text: Column, words: int) -> Column:
-    """``wide_fingerprint`` as a Column of ``struct<p0, p1>``."""
+def shingle_sets(text: Column, words: int) -> Column:
+    """``shingle_set`` as a Column of ``array<long>``."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts], dtype=object)
+
+    return run(text)
+
 
-    @F.pandas_udf("p0 long, p1 long")
+def prefix_length(n: int, similarity: float) -> int:
+    """So many of the first of ``n`` shingles, in any one order, hold one that a similar set has among its own."""
+    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
+
+
+def set_figures(text: Column, words: int, similarity: float, common: dict[str, np.ndarray]) -> Column:
+    """``struct<d0, d1, n, p0, p1, prefix>`` of a text's distinct shingles.
+
+    128 bits that name the set, its size, its fingerprint, and its first shingles in the order
+    of ``common``: shingles in buckets not listed there, then the others by their count.
+    """
+
+    @F.pandas_udf("d0 long, d1 long, n int, p0 long, p1 long, prefix array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint(t, words) for t in texts], columns=["p0", "p1"], dtype="int64")
+        rows = []
+        for text in texts:
+            hashes = shingle_set(text, words)
+            name = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
+            at = hashes >> np.uint64(64 - BUCKET_BITS)
+            weight = np.zeros(len(hashes), np.int64)
+            if len(common["bucket"]):
+                place = np.minimum(np.searchsorted(common["bucket"], at), len(common["bucket"]) - 1)
+                weight = np.where(common["bucket"][place] == at, common["n"][place], 0)
+            first = np.lexsort((hashes, weight))[: prefix_length(len(hashes), similarity)]
+            rows.append((*name.tolist(), len(hashes), *wide_fingerprint(hashes), hashes[first].view(np.int64)))
+        return pd.DataFrame(rows, columns=["d0", "d1", "n", "p0", "p1", "prefix"])
 
     return run(text)
 
 
+def common_buckets(docs: DataFrame, words: int) -> dict[str, np.ndarray]:
+    """Buckets of shingles, sorted, that hold four times the mean of all texts' shingles, and their counts.
+
+    All rows are counted. At most a quarter of the ``2 ** BUCKET_BITS`` buckets can be above.
+    """
+
+    def run(batches):
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(counts, (shingle_set(text, words) >> np.uint64(64 - BUCKET_BITS)).view(np.int64), 1)
+        found = np.flatnonzero(counts)
+        for at in range(0, len(found), 100_000):
+            part = found[at : at + 100_000]
+            yield pd.DataFrame({"bucket": part.astype(np.int32), "n": counts[part]})
+
+    counts = docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = written(counts, "shingle-buckets")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
+    above = counts.where(F.col("n") > max(16.0, 4 * mean)).orderBy("bucket").toPandas()
+    return {"bucket": above["bucket"].to_numpy(np.uint64), "n": above["n"].to_numpy(np.int64)}
+
+
 def pivots(count: int = PIVOTS, lanes: int = 1) -> np.ndarray:
     """Fixed pseudo-random reference fingerprints, a row of 64-bit lanes each."""
     names = [[b"pivot %d %d" % (i, lane) for lane in range(lanes)] for i in range(count)]
@@ -296,6 +366,24 @@ def sampled_masks(bits: int, tables: int) -> list[tuple[int, int]]:
     return masks
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``sets(id, shingles)`` have that Jaccard coefficient; written."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
+    return written(common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - SLACK).select("a", "b"), "alike")
+
+
+def _within_reach(x: str, y: str, similarity: float) -> Column:
+    """Whether sets that have a first common shingle at these places can be as similar.
+
+    Each side is a struct ``n, at``; from there on both can share what is left of the shorter.
+    """
+    n, m, left, right = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
+    least = similarity / (1 + similarity) * (n + m) - SLACK
+    return (F.least(n - left, m - right) >= least) & (F.least(n, m) >= similarity * F.greatest(n, m) - SLACK)
+
+
 def similar_documents(
     docs: DataFrame,
     words: int = 5,
@@ -304,35 +392,85 @@ def similar_documents(
     tables: int = 80,
     carry: tuple[str | Column, ...] = (),
 ) -> DataFrame:
-    """``doc_id, component_id`` and ``carry``: classes of texts alike in ``words``-word shingles.
-
-    For copies with some words changed, which lie further apart than exact bands can serve. Texts
-    have 128 bits. A Jaccard coefficient of ``similarity`` means a cosine of 2s / (1 + s) and thus
-    an expected distance of ``acos / pi`` of the bits; pairs link up to that and one and a half
-    standard deviations. They meet in one of ``tables`` seeded samples of ``bits`` positions: at
-    similarity 0.8 a pair does with probability 0.95, at 0.85 with 0.99. NULL ids, NULL and
-    empty texts, repeated rows as for ``near_duplicates``.
+    """``doc_id, component_id, root`` and ``carry``: classes of texts alike in ``words``-word shingles.
+
+    Two texts link if and only if the Jaccard coefficient of their distinct shingles is
+    ``similarity`` or more; ``root`` names the class, whatever the ids are. Candidates are found
+    twice. Fingerprints of 128 bits meet in one of ``tables`` seeded samples of ``bits`` positions
+    and within the radius expected of ``similarity`` and one and a half standard deviations: this
+    finds most links of large classes at the cost of a forest. Then any two similar sets share one
+    of their first ``prefix_length`` shingles, rare ones before common ones, so all sets that meet
+    there and are not of one class yet are candidates too: none is lost. Every candidate is held
+    against the sets themselves before it becomes a link. Equal sets are one. NULL ids, NULL and
+    empty texts, repeated rows as for ``near_duplicates``; texts without words are one class.
     """
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
     radius = int(128 * share + 1.5 * (128 * share * (1 - share)) ** 0.5)
-    printed = docs.select("doc_id", wide_fingerprints(F.col("text"), words).alias("print"), *carry)
-    names = [c for c in printed.columns if c not in ("doc_id", "print")]
-    printed = written(printed.select("doc_id", "print.*", *names), "wide-prints")
-    distinct = printed.groupBy("p0", "p1").agg(F.min("doc_id").alias("least"))
-    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "wide-distinct")
+    common = common_buckets(docs, words)
+    source = F.xxhash64(F.coalesce("text", F.lit("")))
+    printed = docs.select(
+        "doc_id", source.alias("source"), set_figures(F.col("text"), words, similarity, common).alias("set"), *carry
+    )
+    names = [c for c in printed.columns if c not in ("doc_id", "source", "set")]
+    printed = written(printed.select("doc_id", "source", "set.*", *names), "shingle-sets")
+    firsts = (F.min(c).alias(c) for c in ("source", "n", "p0", "p1"))
+    distinct = printed.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), *firsts, F.any_value("prefix").alias("prefix"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
     keys = F.array(
         *(
             F.xxhash64(F.col("p0").bitwiseAND(F.lit(m0)), F.col("p1").bitwiseAND(F.lit(m1)))
             for m0, m1 in sampled_masks(bits, tables)
         )
     )
-    keyed = distinct.select("id", "p0", "p1", F.posexplode(keys).alias("which", "bits"))
+    keyed = distinct.where("n > 0").select("id", "p0", "p1", F.posexplode(keys).alias("which", "bits"))
     keyed = keyed.select(F.xxhash64("which", "bits").alias("key"), "id", "p0", "p1")
-    component = connected_components(_linked(keyed, 2, radius, CHUNK, PIVOTS))
+    near = written(_linked(keyed, 2, radius, CHUNK, PIVOTS), "near-prints")
+
+    # Shingles that stand first in several sets; most stand in one only.
+    shared = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key"))
+    shared = shared.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1")
+    shared = written(shared.select("key", "id", F.struct("n", "at").alias("of")), "shared-shingles")
+    wanted = shared.select("id").union(near.select(F.explode(F.array("a", "b")))).distinct()
+    wanted = written(distinct.join(wanted, "id", "left_semi").select("id", "source"), "candidates")
+    texts = docs.select("text", source.alias("source")).join(wanted, "source").dropDuplicates(["id"])
+    sets = written(texts.select("id", shingle_sets(F.col("text"), words).alias("shingles")), "candidate-sets")
+
+    edges = near
+    component = connected_components(edges)
+
+    def opened() -> tuple[DataFrame, DataFrame]:
+        """Members of shared shingles with their roots so far, and the shingles that several roots share."""
+        rooted = shared.join(component, shared["id"] == component["node"], "left")
+        rooted = rooted.select("key", F.struct("id", F.coalesce("root", "id").alias("root"), "of.n", "of.at").alias("m"))
+        first = rooted.groupBy("key").agg(
+            F.min("m.root").alias("lo"), F.max("m.root").alias("hi"), F.min_by("m", F.xxhash64("m.id")).alias("pivot")
+        )
+        return rooted, first.where("lo < hi").select("key", "pivot")
+
+    def pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
+        close = joined.where((F.col(f"{x}.root") != F.col(f"{y}.root")) & _within_reach(x, y, similarity))
+        ids = F.col(f"{x}.id"), F.col(f"{y}.id")
+        return close.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
+
+    # One member of each shingle against all: what joins a class mostly does so here. Then all pairs.
+    rooted, open_keys = opened()
+    star = written(pairs(rooted.join(open_keys, "key"), "m", "pivot"), "star-pairs")
+    more = _alike(star, sets, similarity)
+    if not more.isEmpty():
+        edges = edges.union(more)
+        component = connected_components(edges)
+    rooted, open_keys = opened()
+    rest = written(rooted.join(open_keys, "key", "left_semi"), "open-shingles")
+    every = rest.withColumnRenamed("m", "x").join(rest.withColumnRenamed("m", "y"), "key").where("x.id < y.id")
+    every = pairs(every, "x", "y").join(star, ["a", "b"], "left_anti")
+    more = _alike(every, sets, similarity)
+    if not more.isEmpty():
+        component = connected_components(edges.union(more))
+
     rooted = distinct.join(component, distinct["id"] == component["node"], "left").select(
-        "p0", "p1", "least", F.coalesce("root", "id").alias("root")
+        "d0", "d1", "least", F.coalesce("root", "id").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select("p0", "p1", "component_id")
-    return printed.join(of_print, ["p0", "p1"]).select("doc_id", "component_id", *names)
+    of_set = rooted.join(smallest, "root").select("d0", "d1", "component_id", "root")
+    return printed.join(of_set, ["d0", "d1"]).select("doc_id", "component_id", *names)

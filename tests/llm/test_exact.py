@@ -220,6 +220,30 @@ def test_similar_documents_with_changed_words(spark, docs, none, rows):
     assert simhash.similar_documents(none).count() == 0
 
 
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def _tail_changed(rng, n, likeness):
+    """Two texts of ``n`` shingles each: the lowest Jaccard coefficient from ``likeness`` up."""
+    w = [f"t{rng.randrange(10**9)}" for _ in range(n + 4)]
+    k = max(k for k in range(n) if (n - k) / (n + k) >= likeness)
+    return " ".join(w), " ".join([*w[: n + 4 - k], *(f"u{rng.randrange(10**9)}" for _ in range(k))])
+
+
+def test_similar_documents_lose_no_isolated_pair(spark):
+    rng = random.Random(17)
+    texts = []
+    for i in range(300):
+        pair = _tail_changed(rng, rng.randint(9, 240), (0.8, 0.8, 0.82, 0.85)[i % 4])
+        assert len(_shingles(pair[0]) & _shingles(pair[1])) / len(_shingles(pair[0]) | _shingles(pair[1])) >= 0.8
+        texts += pair
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (2, 1)]
     random.Random(1).shuffle(edges)
