@@ -436,7 +436,7 @@ def similar_documents(
     texts = docs.select("text", source.alias("source")).join(wanted, "source").dropDuplicates(["id"])
     sets = written(texts.select("id", shingle_sets(F.col("text"), words).alias("shingles")), "candidate-sets")
 
-    edges = near
+    edges = _alike(near, sets, similarity)
     component = connected_components(edges)
 
     def opened() -> tuple[DataFrame, DataFrame]:

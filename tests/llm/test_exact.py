@@ -244,6 +244,38 @@ def test_similar_documents_lose_no_isolated_pair(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_similar_documents_link_by_real_likeness_only(spark):
+    rng = random.Random(23)
+    texts = [t for i in range(300) for t in _tail_changed(rng, 240, (0.7, 0.74, 0.77)[i % 3])]
+    line = " ".join(f"line{k}" for k in range(12)) + " "
+    texts += [line * 40 + " ".join(f"x{i}.{k}" for k in range(30)) for i in range(20)]  # one line dominates
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == {i: i for i in range(len(texts))}
+
+
+def test_similar_documents_against_brute_force(spark):
+    """Chains and hubs, where rejected candidates must not hide links."""
+    rng = random.Random(29)
+    texts = []
+    for _ in range(12):
+        w = [f"c{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(15):
+            texts.append(" ".join(w))
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(80)] = f"c{rng.randrange(10**6)}"
+    sets = [_shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert got == dict(enumerate(group)) and len(set(group)) > 12
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (2, 1)]
     random.Random(1).shuffle(edges)
