@@ -21,19 +21,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts alike in five-word shingles the document with the smallest id.
+    """Of each class of texts alike in five-word shingles the row with the smallest id.
 
-    Of rows that share this id one stays, the first by a hash of the row.
+    Rows without id come last; of rows that share the id the first by a hash of the row stays.
     """
     row = F.xxhash64(*COLUMNS)
     classed = simhash.similar_documents(docs, carry=(row.alias("row"),))
-    first = classed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Narrow: of each class the row that stays, and how often it occurs. Rows without id have no
-    # class of their own to stand for, so each of them stays once.
-    kept = first.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    least = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row"))
-    stays = kept.join(least, "row", "left_semi").unionByName(kept.where("doc_id is null"))
-    found = docs.withColumn("row", row).join(stays.select("row", "copies"), "row")
+    # Narrow: of each class the row that stays, and how often it occurs.
+    rows = classed.groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    first = F.struct(F.isnull("doc_id"), "doc_id", "row", "copies")
+    stays = rows.groupBy("root").agg(F.min(first).alias("first")).select("first.row", "first.copies")
+    found = docs.withColumn("row", row).join(stays, "row")
     single = found.where("copies = 1").select(*COLUMNS)
     again = found.where("copies > 1").select(*COLUMNS).distinct()
     return single.union(again)

@@ -473,4 +473,4 @@ def similar_documents(
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = rooted.join(smallest, "root").select("d0", "d1", "component_id", "root")
-    return printed.join(of_set, ["d0", "d1"]).select("doc_id", "component_id", *names)
+    return printed.join(of_set, ["d0", "d1"]).select("doc_id", "component_id", "root", *names)

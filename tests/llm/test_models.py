@@ -164,6 +164,18 @@ def test_near_dedup_with_missing_and_repeated_ids(spark):
     )
 
 
+def test_near_dedup_per_class_not_per_id(spark):
+    """Different texts under one id are different documents; near copies without ids are one."""
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    near = [" ".join([*b[:-1], "other"]) for b in base]
+    a, b, c, d = map(" ".join, base)
+    rows = [(5, a), (5, b), (7, near[1]), (5, c), (None, d), (None, near[3])]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_copies(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in got) == Counter({5: 3, None: 1})
+    assert {r.text for r in got if r.doc_id == 5} == {a, b, c}
+
+
 def test_pipeline_on_awkward_rows(spark, odd, odd_labels, tmp_path):
     odd_labels.write.parquet(os.path.join(tmp_path, "labels.parquet"))
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
