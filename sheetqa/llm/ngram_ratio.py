@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..store import written
-from .common import SPACE_CHARS, about, word_list
+from .common import SPACE_CHARS, word_list
 
 BUCKETS = 16_384
-TRUSTED = 20_000
 #: Share of trusted texts that may lie below the threshold.
 TAIL = 0.001
 SYMBOLS = "#*$%&|<>"
@@ -40,13 +39,13 @@ def ngrams(text: Column, buckets: int = BUCKETS) -> Column:
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``ratio``: for each bucket the logarithm of trusted to raw probability.
 
-    Counts cover all rows of ``docs``; those whose id is in ``trusted`` (one column ``doc_id``,
-    at most a bounded sample) also count as trusted. Bucket counts start at 1. Grams are
+    Counts cover all rows of ``docs``; all those whose id is in ``trusted`` (one column
+    ``doc_id``, any number of ids) also count as trusted. Bucket counts start at 1. Grams are
     added up per task before the shuffle, so that moves ``buckets`` rows per task.
     """
-    marked = docs.join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("_trusted"))), "doc_id", "left"
-    )
+    # By id, in whatever way Spark chooses from the sizes: of the labels only a flag is joined.
+    ids = trusted.where("doc_id is not null").select("doc_id", F.lit(1).alias("_trusted")).distinct()
+    marked = docs.join(ids, "doc_id", "left")
     grams = marked.select(F.explode(ngrams(F.col("text"), buckets)).alias("bucket"), "_trusted")
     counts = grams.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("good")
@@ -148,25 +147,24 @@ def rule_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, tail: float = TAIL) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     """The rules' figures and the verdict of each row of ``docs``.
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio``.
-    Trusted texts are those labelled of good quality, about ``trusted`` of them by a hash of the
-    id. The threshold is the ``tail`` quantile of their ratios, so it follows from the data alone.
-    A row is kept if the rules pass and its ratio reaches the threshold. Without trusted texts,
-    the ratio decides nothing. NULL texts count as empty and fail the rules; rows with NULL or
-    repeated ids are judged each for itself. Nothing wide is shuffled.
+    Trusted texts are all those labelled of good quality. The threshold is the ``tail`` quantile
+    of the ratios of all that pass the rules, so it follows from the data alone. A row is kept if
+    the rules pass and its ratio reaches the threshold. Without trusted texts, the ratio decides
+    nothing. NULL texts count as empty and fail the rules; rows with NULL or repeated ids are
+    judged each for itself.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = about(good, F.col("doc_id"), trusted, seed=5)
+    good = labels.where("quality = 1").select("doc_id")
     narrow = docs.select("doc_id", "text")
-    table = ratios(narrow, sample)
+    table = ratios(narrow, good)
     # The table is one row: a scalar subquery, which Spark runs once and hands to the tasks.
     scored = rule_figures(narrow.withColumn("_table", table.scalar()))
     scored = scored.withColumn("ratio", score(F.col("text"), F.col("_table"))).drop("text", "_table")
     scored = written(scored, "scored")
-    passing = scored.where(~F.col("base_failed")).join(F.broadcast(sample), "doc_id", "left_semi")
+    passing = scored.where(~F.col("base_failed")).select("doc_id", "ratio").join(good, "doc_id", "left_semi")
     least = passing.agg(F.percentile_approx("ratio", tail, 100_000)).first()[0]
     reached = F.col("ratio") >= F.lit(float("-inf") if least is None else least)
     return scored.withColumn("kept", ~F.col("base_failed") & reached)

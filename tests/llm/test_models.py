@@ -103,6 +103,16 @@ def test_verdict_keeps_good_and_drops_junk(spark):
     assert np.mean(by_quality[1]) > 0.98 and np.mean(by_quality[0]) < 0.1
 
 
+def test_all_trusted_texts_count_however_many_are_labelled(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"{'gb'[i % 2]}{rng.randrange(400)}" for _ in range(80)) for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    few = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)], LABELS)
+    more = few.union(spark.range(1000, 61_000).selectExpr("id", "1", "0"))
+    want, got = (Counter(ngram_ratio.judge(docs, known).select("doc_id", F.round("ratio", 9), "kept").collect()) for known in (few, more))
+    assert got == want and 100 < sum(r.kept for r in want) < 200
+
+
 @pytest.mark.parametrize("name", ["op3_water_filling", "op7_revisits"])
 def test_queries_with_sql(spark, name):
     assert compare(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) == ""
