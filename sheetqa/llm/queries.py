@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    filter_audit,
     hash_tree,
     mixing,
     ngram_ratio,
@@ -84,6 +85,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, per language."""
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 OP3_SQL = r"""
 with sized as (
   select doc_id, source, text,
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_personal_data,
         op9_simhash_pivots,
         op10_sentencepiece,
+        op11_filter_audit,
     )
 }
-ORACLES: dict[str, str] = {"op3_water_filling": OP3_SQL, "op7_revisits": revisits.SQL}
+ORACLES: dict[str, str] = {"op3_water_filling": OP3_SQL, "op7_revisits": revisits.SQL, "op11_filter_audit": filter_audit.SQL}
