@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     filter_audit,
     hash_tree,
+    lexical_search,
     mixing,
     ngram_ratio,
     personal_data,
@@ -90,6 +91,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(documents(spark, sf_dir), items)
+
+
 OP3_SQL = r"""
 with sized as (
   select doc_id, source, text,
@@ -137,6 +144,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_pivots,
         op10_sentencepiece,
         op11_filter_audit,
+        op12_lexical_search,
     )
 }
-ORACLES: dict[str, str] = {"op3_water_filling": OP3_SQL, "op7_revisits": revisits.SQL, "op11_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {
+    "op3_water_filling": OP3_SQL,
+    "op7_revisits": revisits.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_lexical_search": lexical_search.SQL,
+}
