@@ -11,6 +11,7 @@ from . import (
     filter_audit,
     hash_tree,
     lexical_search,
+    license_scan,
     mixing,
     ngram_ratio,
     personal_data,
@@ -97,6 +98,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(documents(spark, sf_dir), items)
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases in each document, and the licenses whose notices it holds."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 OP3_SQL = r"""
 with sized as (
   select doc_id, source, text,
@@ -145,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentencepiece,
         op11_filter_audit,
         op12_lexical_search,
+        op13_license_scan,
     )
 }
 ORACLES: dict[str, str] = {
