@@ -12,6 +12,7 @@ from ..functions.masking import mask_translation
 from ..functions.text import json_quote
 from ..ranking import ranked
 from ..schema import doc_keys, row_keys
+from .answers import newest
 from .classify import pending_cells
 
 # Batch sizes, engine order, and the messages of unparsable output.
@@ -111,14 +112,18 @@ def request_prompts(
 
 
 def validate_responses(
-    requests: DataFrame, responses: DataFrame, by: Sequence[str] = ("batch_id",)
+    requests: DataFrame,
+    responses: DataFrame,
+    by: Sequence[str] = ("batch_id",),
+    keep: Sequence[str] = ("rows",),
 ) -> DataFrame:
     """Check parsed answers against their requests.
 
     ``requests(by…, n_records)``, ``responses(by…, records, error)`` with
     ``records`` an array of maps (NULL for an item that is no object). A batch fails when it
-    has no answer, when the counts differ or when an item is no object. A column ``rows`` of the
-    requests is kept, so that answers need no second join with them.
+    has no answer, when the counts differ or when an item is no object. The requests' columns
+    named in ``keep`` stay, so that answers need no second join with them. One row per request comes
+    back: of several answers the newest that passes, else the newest (``answers.newest``).
     """
     got = F.coalesce(F.size("records"), F.lit(0))
     counts = F.format_string(
@@ -126,7 +131,7 @@ def validate_responses(
         F.greatest(got, F.lit(0)).cast("int"),
         F.col("n_records").cast("int"),
     )
-    kept = ["n_records", *(c for c in ("rows",) if c in requests.columns)]
+    kept = ["n_records", *(c for c in keep if c in requests.columns)]
     joined = requests.select(*by, *kept).join(responses, list(by), "left")
     error = (
         F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error"))
@@ -137,7 +142,8 @@ def validate_responses(
         )
         .otherwise("")
     )
-    return joined.withColumn("error", error).withColumn("ok", F.col("error") == "")
+    checked = joined.withColumn("error", error).withColumn("ok", F.col("error") == "")
+    return newest(checked, by, first=[F.col("ok")]).select(*checked.columns)
 
 
 def is_recoverable(error: Column) -> Column:
@@ -194,9 +200,10 @@ def _keyed(requests: DataFrame) -> DataFrame:
 def memory_lookup(requests: DataFrame, memory: DataFrame) -> DataFrame:
     """Requests with the stored ``result`` (NULL: not in memory) and ``hit``.
 
-    ``memory(request_key, result)`` holds each key once, as ``memory_append`` keeps it.
+    A key that ``memory(request_key, result)`` holds more than once counts once, by its least
+    result, as ``memory_append`` would keep it.
     """
-    known = memory.select("request_key", "result").withColumn("hit", F.lit(True))
+    known = memory.groupBy("request_key").agg(F.min("result").alias("result")).withColumn("hit", F.lit(True))
     return (
         _keyed(requests)
         .join(known, "request_key", "left")

@@ -21,6 +21,7 @@ from ..functions.quality import spacing_issue
 from ..functions.script import is_locked, is_neutral
 from ..functions.text import has_text, let
 from ..schema import cell_keys, row_keys, text_of
+from .answers import VERSION, newest
 from .classify import needs_translation, pending_cells
 
 
@@ -80,11 +81,15 @@ def _polish_restore(
 def _with_answers(cells: DataFrame, answers: DataFrame) -> DataFrame:
     """Left-join ``answers(keys, answer)``; a missing answer is NULL.
 
-    A key that is answered twice counts once, so no cell is multiplied.
+    A key that is answered twice counts once, by its newest answer, so no cell is multiplied.
     """
-    keys = cell_keys(cells)
-    once = answers.groupBy(*keys).agg(F.max("answer").alias("answer"))
-    return cells.join(once, keys, "left")
+    return cells.join(_once(answers, cell_keys(cells)), cell_keys(cells), "left")
+
+
+def _once(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, answer``: the newest answer that is not NULL for each key."""
+    known = answers.where("answer is not null")
+    return newest(known.select(*keys, *(c for c in ("answer", *VERSION) if c in known.columns)), keys).select(*keys, "answer")
 
 
 def merge_translations(
@@ -233,8 +238,11 @@ def merge_units(
     key: str = "unit_id",
     glossary: Sequence[GlossaryEntry] = GLOSSARY,
 ) -> DataFrame:
-    """Text units: tokens restored first, then polished. No answer: the source is used."""
-    joined = units.join(answers.select(key, "answer"), key, "left")
+    """Text units: tokens restored first, then polished. No answer: the source is used.
+
+    Of several answers the newest counts, so units keep their number.
+    """
+    joined = units.join(_once(answers, [key]), key, "left")
     source = _text_or_empty(F.col("value"))
     restored = restore(
         F.coalesce(F.col("answer"), F.col("value")), mask_inline(F.col("value"))["pairs"]
@@ -256,10 +264,11 @@ def merge_string_lines(
     """Resource lines: restore, repair spacing, polish, put prefix and suffix back.
 
     ``entries`` come from ``parse_string_lines``. Lines that need no translation stay as they
-    are; a line without an answer is polished from its own content. Adds ``merged``.
+    are; a line without an answer is polished from its own content. Adds ``merged``. Of several
+    answers to a line the newest counts, so lines keep their number.
     """
     keys = [key] if isinstance(key, str) else key
-    joined = entries.join(answers.select(*keys, "answer"), keys, "left")
+    joined = entries.join(_once(answers, keys), keys, "left")
     content = F.col("content")
     text = restore_tolerant(
         F.coalesce(F.col("answer"), content), mask_string(content)["pairs"], compat

@@ -22,6 +22,7 @@ from ..operators.merge import (
     row_status,
 )
 from ..operators.quality import pending
+from ..operators.splits import resolve_splits
 from ..schema import cell_keys, doc_keys, row_keys
 from ..sources.reshape import write_back
 from ..sources.responses import parse_responses
@@ -55,16 +56,26 @@ def prepare(
     return B.make_request_batches(B.sanitize_cells(cells, lang, mode), size, align=True)
 
 
+def _checked(batches: DataFrame, responses: DataFrame, by: list[str]) -> DataFrame:
+    numbered = dict(batches.dtypes)["batch_id"] != "string"
+    if numbered and dict(responses.dtypes)["batch_id"] == "string":
+        return resolve_splits(batches, responses, by)
+    return B.validate_responses(batches, parse_responses(responses), by)
+
+
 def finish(
     cells: DataFrame, batches: DataFrame, responses: DataFrame, lang: str, mode: str = "full"
 ) -> Finished:
     """Merge raw answers ``(doc keys, batch_id, text)`` and derive each row's status.
 
-    Batches with unusable answers leave their rows as they were and mark them write-failed.
+    Batches with unusable answers leave their rows as they were and mark them write-failed. A
+    batch may be answered any number of times: ``attempt`` and ``arrived`` tell which valid answer is
+    the newest, and all its cells come from that one. Ids given as strings may be paths of split
+    batches (``splits``); a batch is then answered by its leaves.
     """
     by = [*doc_keys(batches), "batch_id"]
     # Both results need the parsed answers and the merged cells: written once, not made twice.
-    checked = written(B.validate_responses(batches, parse_responses(responses), by), "answers")
+    checked = written(_checked(batches, responses, by), "answers")
     merged = written(merge_translations(cells, B.answer_cells(checked), lang, mode), "merged")
     return Finished(merged, row_status(merged, lang, mode, B.row_outcome(checked)))
 
@@ -84,7 +95,7 @@ def finish_retry(
     in it is untranslated. A failed batch leaves its rows as they were.
     """
     by = [*doc_keys(batches), "batch_id"]
-    checked = written(B.validate_responses(batches, parse_responses(responses), by), "answers")
+    checked = written(_checked(batches, responses, by), "answers")
     answers = B.answer_cells(checked)
     merged = written(merge_retries(cells, answers, answers), "merged")
     retried = B.row_outcome(checked).filter("ok")

@@ -2,68 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import has_text, js_trim, let
 
 # Full-width marks that stand for JSON structure, and quotes that open a string.
-STRUCTURE = str.maketrans("，、：；（）｛｝［］", ",,:;(){}[]")
-OPENING_QUOTES = set("“”『』＂")
+STRUCTURE = ("，、：；（）｛｝［］", ",,:;(){}[]")
+OPENING_QUOTES = "\"“”『』＂"
+# A string to its closing quote or the text's end, a bracket, or what lies between these.
+_TOKEN = rf"""(?s)[{OPENING_QUOTES}][^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[\[\]［］]|[^{OPENING_QUOTES}\[\]［］]+"""
 
 
 def strip_fences(c: Column) -> Column:
     return F.regexp_replace(c, "(?i)```json|```", "")
 
 
-def repairer() -> Callable[[str], str]:
-    """A function that maps full-width marks outside strings and cuts out the first array.
+def repair_json(text: Column) -> Column:
+    """Full-width marks outside strings as JSON's own, and of the text the first whole array.
 
-    A quote inside a string is content unless it is the ASCII one. The function holds all it
-    needs, so executors can run it without having this package.
+    One regular expression cuts the text into strings, brackets and what lies between. Any quote
+    opens a string, only the ASCII one ends it. Folded over the brackets alone, the depth tells
+    where the first outermost array ends; without one the text stays whole.
     """
-    structure, opening = dict(STRUCTURE), set(OPENING_QUOTES)
-
-    def repair(text: str) -> str:
-        chars, inside, escaped = list(text.strip()), False, False
-        depth, start, end = 0, -1, -1
-        for i, char in enumerate(chars):
-            if inside:
-                if escaped:
-                    escaped = False
-                elif char == "\\":
-                    escaped = True
-                elif char == '"':
-                    inside = False
-                continue
-            if char == '"' or char in opening:
-                chars[i], inside = '"', True
-                continue
-            chars[i] = char.translate(structure)
-            if chars[i] == "[":
-                start = i if depth == 0 else start
-                depth += 1
-            elif chars[i] == "]":
-                depth -= 1
-                if depth == 0 and start >= 0:
-                    end = i + 1
-                    break
-        return "".join(chars[start:end] if end > 0 else chars)
-
-    return repair
-
-
-def _repair_json(c: Column) -> Column:
-    repair = repairer()
-
-    def repair_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(repair, na_action="ignore")
-
-    return F.pandas_udf(repair_batch, T.StringType())(c)
+
+    def mended(tokens: Column) -> Column:
+        each = F.transform(
+            tokens,
+            lambda t: F.when(t.rlike(f"^[{OPENING_QUOTES}]"), F.concat(F.lit('"'), F.substr(t, F.lit(2)))).otherwise(
+                F.translate(t, *STRUCTURE)
+            ),
+        )
+
+        def cut(parts: Column) -> Column:
+            brackets = F.filter(
+                F.transform(parts, lambda t, i: F.struct(i.alias("at"), (t == "[").alias("opens"), (t == "]").alias("closes"))),
+                lambda x: x["opens"] | x["closes"],
+            )
+            none = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+
+            def step(acc: Column, x: Column) -> Column:
+                found = acc["end"] >= 0
+                return F.struct(
+                    (acc["depth"] + F.when(x["opens"], 1).otherwise(-1)).alias("depth"),
+                    F.when(~found & x["opens"] & (acc["depth"] == 0), x["at"]).otherwise(acc["start"]).alias("start"),
+                    F.when(~found & x["closes"] & (acc["depth"] == 1), x["at"]).otherwise(acc["end"]).alias("end"),
+                )
+
+            def joined(span: Column) -> Column:
+                inside = F.slice(parts, span["start"] + 1, span["end"] - span["start"] + 1)
+                return F.array_join(F.when(span["end"] >= 0, inside).otherwise(parts), "")
+
+            return let(F.aggregate(brackets, none, step), joined)
+
+        return let(each, cut)
+
+    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), mended)
 
 
 def _listed(text: Column) -> Column:
@@ -104,13 +98,13 @@ def _records(listed: Column) -> Column:
 def parse_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     """Add ``records`` (array of maps) and ``error`` to answers.
 
-    Most answers are plain JSON. Only the text of those that fail is handed to the repair, in
-    Arrow batches, and parsed once more; the others pass it as NULL. One scan does it all.
+    Most answers are plain JSON. Only those that fail are repaired and parsed once more. One scan
+    does it all, in the JVM.
     """
     staged = responses.withColumn("_plain", strip_fences(F.col(text)))
     staged = staged.withColumn("_listed", _listed(F.col("_plain")))
-    broken = F.when(F.col("_listed").isNull(), F.col("_plain"))
-    staged = staged.withColumn("_fixed", _repair_json(broken))
+    broken = F.when(F.col("_listed").isNull(), js_trim(F.col("_plain")))
+    staged = staged.withColumn("_fixed", F.when(F.col("_listed").isNull(), repair_json(broken)))
     staged = staged.withColumn("_listed", F.coalesce("_listed", _listed(F.col("_fixed"))))
     parsed = F.col("_listed").isNotNull()
     blank = ~F.coalesce(has_text(F.coalesce("_fixed", "_plain")), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetqa.operators import batches as B
 from sheetqa.operators import merge as MG
+from sheetqa.plans import translation as TP
 from sheetqa.sources import history as H
 from sheetqa.sources import progress as PR
 from sheetqa.sources import responses as RS
@@ -439,3 +440,167 @@ def history_export(spark, sf):
     H.append_history(entries.filter("o_orderstatus <> 'F'"), path)
     export = H.export_history(H.load_history(spark, path))
     return export.select("record_no", F.md5("text").alias("digest"))
+
+
+# --- answers that come more than once, and split batches ---
+
+# Three answers to a batch, two to every fifth; invalid where batch and attempt add up so, all of every seventh.
+_TRIES = """(select b, max(k) as k from (select distinct row_idx // 5 as b from g) x, (select unnest([1, 2, 3]) as k) y
+  where (k < 3 or b % 5 <> 0) and (b + k) % 3 <> 0 and b % 7 <> 0 group by b)"""
+_AGAIN = f"""g as ({_GROUPED}), tries as {_TRIES},
+  e as (select g.*, k is not null as answered, k is not null and {_SEND} as use, concat('the mild answer ', k, ' .Next') as echo
+    from g left join tries on row_idx // 5 = b),
+  {D.polished('select * from e', 'original', 'echo')},
+  m as (select *, case when use then polished else original end as merged from pl)"""
+
+
+def _answered_again(spark, sf):
+    """Late answers stand before early ones, and each first attempt arrives once more at the end."""
+    cells = _grouped(spark, sf).drop("translated")
+    batches = TP.prepare(cells, EN)
+    b = F.col("batch_id")
+    tries = batches.select("batch_id", "payload", F.explode(F.array(*map(F.lit, (3, 2, 1, 1)))).alias("attempt"))
+    tries = tries.where((F.col("attempt") < 3) | (b % 5 != 0))
+    text = F.to_json(
+        F.transform(
+            F.from_json("payload", "array<map<string,string>>"),
+            lambda r: F.transform_values(r, lambda _, v: F.concat(F.lit("the mild answer "), F.col("attempt"), F.lit(" .Next"))),
+        )
+    )
+    broken = ((b + F.col("attempt")) % 3 == 0) | (b % 7 == 0)
+    answers = tries.select(
+        "batch_id",
+        "attempt",
+        (100 - F.col("attempt")).alias("arrived"),
+        F.when(broken, F.lit("[{")).otherwise(text).alias("text"),
+    )
+    return TP.finish(cells, batches, answers, EN)
+
+
+@query(f"with {_AGAIN} select row_idx, col_key, merged as translated from m")
+def cells_answered_again(spark, sf):
+    """Every cell of a batch comes from its newest valid answer."""
+    return _answered_again(spark, sf).cells.select("row_idx", "col_key", "translated")
+
+
+@query(
+    f"""with {_AGAIN}, {_detected('select * from m', 'merged')},
+    r as (select row_idx, bool_or({D.untranslated('col_key')}) as missing, not bool_or(answered) as write_failed from lg group by row_idx)
+    select row_idx, missing, write_failed, not write_failed and not missing as done from r"""
+)
+def status_answered_again(spark, sf):
+    """One status per row, however often its batch was answered."""
+    return _answered_again(spark, sf).status
+
+
+@query(
+    f"""with g as (select row_idx, original as value, {D.trim('original')} as t from ({CELLS_SQL}) s),
+    sent as (select *, t <> '' and not {D.neutral('t')} as send from g),
+    num as (select *, case when send then (row_number() over (partition by send order by row_idx) - 1) // 20 end as b from sent),
+    a as (select *, case when not send or b % 6 = 0 then value when b % 3 = 1 then concat('first ', value, ' ,x') else concat('last ', value, ' ,x') end as answer from num),
+    {D.polished('select * from a', 'value', 'answer')} select row_idx, polished as merged from pl"""
+)
+def units_answered_again(spark, sf):
+    """Two answers to a batch; the second is cut off for every third, both for every sixth."""
+    from sheetqa.plans import units as UP
+
+    units = derive(spark, sf, CELLS).select("row_idx", F.col("original").alias("value"))
+    batches = UP.prepare_units(units, EN)
+    tries = batches.select("batch_id", "payload", F.explode(F.array(F.lit("last"), F.lit("first"))).alias("word"))
+    records = F.from_json("payload", "array<struct<content:string>>")
+    echo = F.transform(records, lambda r: F.struct(F.concat("word", F.lit(" "), r["content"], F.lit(" ,x")).alias("content")))
+    late = F.col("word") == "last"
+    broken = (F.col("batch_id") % 6 == 0) | (late & (F.col("batch_id") % 3 == 1))
+    answers = tries.select(
+        "batch_id", F.when(late, 2).otherwise(1).alias("arrived"), F.when(broken, F.lit("none")).otherwise(F.to_json(echo)).alias("text")
+    )
+    return UP.finish_units(units, batches, answers).select("row_idx", "merged")
+
+
+@query(
+    f"""with {PARSED_LINES}, a as (select e.*, case when o_custkey % 4 = 0 then null else concat('newest ', o_custkey) end as answer
+      from e join orders on o_orderkey = line_no),
+    f as (select *, coalesce(answer, content) as text from a),
+    s as (select *, {D.spacing('text')} as s1 from f),
+    g as (select *, {D.sub('s1', rf'\b([A-Za-z])[{D.WS}]+(\d{{1,3}})\b', r'\1\2')} as s2 from s),
+    h as (select *, {D.spacing('s2')} as s3 from g)
+    select line_no, case when {D.like('content', D.CJK)} then concat(prefix, {D.status('s3')}, suffix) else line end as merged from h"""
+)
+def lines_answered_again(spark, sf):
+    """Three answers per line: the newest is the greatest for no one, and a later NULL is none."""
+    entries = SR.parse_string_lines(derive(spark, sf, LINES))
+    keyed = entries.join(table(spark, sf, "orders"), F.col("line_no") == F.col("o_orderkey"))
+    given = F.col("o_custkey") % 4 != 0
+    answer = (
+        F.when(given & (F.col("attempt") == 2), F.concat(F.lit("newest "), "o_custkey"))
+        .when(given & (F.col("attempt") == 1), F.lit("zzz oldest"))
+    )
+    tries = keyed.withColumn("attempt", F.explode(F.array(*map(F.lit, (3, 2, 1)))))
+    answers = tries.select("line_no", "attempt", answer.alias("answer"))
+    return MG.merge_string_lines(entries, answers).select("line_no", "merged")
+
+
+# A batch's node fails while its level is below the batch's remainder by four.
+_TREE = """with recursive b as (select o_orderkey // 8 as b, count(*) as n from orders group by 1),
+  nodes(b, path, lo, hi, depth) as (
+    select b, b::varchar, 0, n::int, 0 from b
+    union all
+    select b, path || s.side, case when s.side = '.0' then lo else lo + (hi - lo + 1) // 2 end,
+      case when s.side = '.0' then lo + (hi - lo + 1) // 2 else hi end, depth + 1
+    from nodes, (select unnest(['.0', '.1']) as side) s where depth < b % 4 and hi - lo > 1),
+  leaves as (select * from nodes where depth >= b % 4 or hi - lo = 1),
+  r as (select o_orderkey // 8 as b, o_orderkey as row_idx, row_number() over (partition by o_orderkey // 8 order by o_orderkey) - 1 as seq from orders),
+  tree as (select n.path as batch_id, n.b, n.lo, n.hi, count(*)::int as n_leaves, bool_and(l.depth >= l.b % 4) as ok
+    from nodes n join leaves l on n.b = l.b and (l.path = n.path or starts_with(l.path, n.path || '.')) group by all)"""
+
+
+def _split_answers(spark, sf):
+    """Batches of eight records, and the answers of three levels of splits."""
+    from sheetqa.operators import splits as SP
+
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_idx"), F.lit("content").alias("col_key"), F.col("o_orderkey").cast("string").alias("sanitized")
+    )
+    batches = B.make_request_batches(rows, 8, align=True)
+    level, sent = batches.withColumn("batch_id", F.col("batch_id").cast("string")), []
+    for depth in range(4):
+        number = F.substring_index("batch_id", ".", 1).cast("long")
+        text = F.when(F.lit(depth) < number % 4, F.lit("[{")).otherwise(F.col("payload"))
+        sent.append(level.select("batch_id", text.alias("text")))
+        level = SP.halves(level)
+    answers = sent[0]
+    for more in sent[1:]:
+        answers = answers.unionByName(more)
+    return batches, answers
+
+
+@query(
+    f"""{_TREE} select batch_id, (hi - lo)::bigint as n_records, n_leaves, ok, case when ok then '' else 'Failed to parse model JSON' end as error,
+      (select string_agg(row_idx, ',' order by seq) from r where r.b = t.b and seq >= lo and seq < hi) as rows,
+      case when ok then (select string_agg(row_idx, ',' order by seq) from r where r.b = t.b and seq >= lo and seq < hi) else '' end as contents
+    from tree t"""
+)
+def split_trees(spark, sf):
+    """Every node of each batch's tree of splits, put together from its leaves."""
+    from sheetqa.operators import splits as SP
+
+    leaves = SP.split_rounds(*_split_answers(spark, sf))
+    contents = F.array_join(F.transform("records", lambda r: r["content"]), ",")
+    return SP.roll_up(leaves, roots_only=False).select(
+        "batch_id", "n_records", "n_leaves", "ok", "error",
+        F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"),
+        F.coalesce(contents, F.lit("")).alias("contents"),
+    )
+
+
+@query(
+    f"""{_TREE} select row_idx, ok, case when ok then row_idx::varchar else '' end as answer
+    from tree t join r on r.b = t.b where t.batch_id = t.b::varchar"""
+)
+def split_batch_cells(spark, sf):
+    """Rows of batches that were split: their answers if the whole batch came through."""
+    from sheetqa.operators import splits as SP
+
+    checked = SP.resolve_splits(*_split_answers(spark, sf))
+    answers = B.answer_cells(checked).select("row_idx", "answer")
+    return B.row_outcome(checked).join(answers, "row_idx", "left").fillna("", ["answer"]).select("row_idx", "ok", "answer")

@@ -277,7 +277,7 @@ _TERMS = [(k, v) for e in E.GLOSSARY for k in e.keywords for v in (k, *e.variant
 
 
 def _termed(names: str) -> str:
-    return f"""select doc_id, concat({names}, '：', substr(text, 1, 40)) as original, concat('see ', variant, ' ,', text) as translated
+    return f"""select doc_id, concat({names}, '：', text) as original, concat('see ', variant, ' ,', text) as translated
       from (select doc_id, text, doc_id % {len(_TERMS)} as k from documents) d join terms using (k)"""
 
 
@@ -292,7 +292,7 @@ def polish_documents(spark, sf):
     variant = F.get(F.lit([v for _, v in _TERMS]), at)
     docs = table(spark, sf, "documents").select(
         "doc_id",
-        F.concat(keyword, F.lit("："), F.substring("text", 1, 40)).alias("original"),
+        F.concat(keyword, F.lit("："), F.col("text")).alias("original"),
         F.concat(F.lit("see "), variant, F.lit(" ,"), F.col("text")).alias("translated"),
     )
     return docs.select("doc_id", F.md5(P.polish(F.col("original"), F.col("translated"))).alias("digest"))
