@@ -25,19 +25,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process; DataFrames over them no longer work."""
-    if not _WRITTEN:
-        return
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark._jvm
-    for path in sorted(_WRITTEN):
+    for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _WRITTEN.clear()
+        _WRITTEN.discard(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; DataFrames over them no longer work."""
+    if _WRITTEN:
+        _delete(spark, sorted(_WRITTEN))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: fixed rows, short lineage."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once nothing reads them any more."""
+    for table in tables:
+        _delete(table.sparkSession, [table.written_at])
