@@ -190,7 +190,8 @@ def request_key(lang: Column, records: Column, model: Column, mode: Column) -> C
     return F.sha2(F.to_json(parts), 256)
 
 
-def _keyed(requests: DataFrame) -> DataFrame:
+def keyed_requests(requests: DataFrame) -> DataFrame:
+    """Requests with their ``request_key``, as given or made from their content."""
     if "request_key" in requests.columns:
         return requests
     key = request_key(F.col("lang"), F.col("payload"), F.col("model"), F.col("mode"))
@@ -205,14 +206,14 @@ def memory_lookup(requests: DataFrame, memory: DataFrame) -> DataFrame:
     """
     known = memory.groupBy("request_key").agg(F.min("result").alias("result")).withColumn("hit", F.lit(True))
     return (
-        _keyed(requests)
+        keyed_requests(requests)
         .join(known, "request_key", "left")
         .withColumn("hit", F.coalesce(F.col("hit"), F.lit(False)))
     )
 
 
 def memory_misses(requests: DataFrame, memory: DataFrame) -> DataFrame:
-    return _keyed(requests).join(memory.select("request_key"), "request_key", "left_anti")
+    return keyed_requests(requests).join(memory.select("request_key"), "request_key", "left_anti")
 
 
 def memory_append(memory: DataFrame, results: DataFrame) -> DataFrame:

@@ -604,3 +604,86 @@ def split_batch_cells(spark, sf):
     checked = SP.resolve_splits(*_split_answers(spark, sf))
     answers = B.answer_cells(checked).select("row_idx", "answer")
     return B.row_outcome(checked).join(answers, "row_idx", "left").fillna("", ["answer"]).select("row_idx", "ok", "answer")
+
+
+# --- stores of many files, of a stream, and of results ---
+
+
+@query(
+    """with l as (select 'English' as lang union all select 'Spanish'),
+    r as (select concat('f', o_custkey) as file_id, lang as target_lang, o_orderkey as row_idx, o_custkey as c,
+      case when lang = 'English' and o_custkey % 5 = 0 and bool_or(o_orderkey % 2 = 1) over (partition by o_custkey)
+        then case when o_orderkey % 2 = 1 then 'third' end
+        when o_custkey in (7, 14) or (o_custkey = 11 and lang = 'Spanish') then null
+        when lang = 'English' and o_custkey % 3 = 0 then 'second' else 'first' end as record from orders, l)
+    select file_id, target_lang, row_idx, record from r where record is not null"""
+)
+def progress_of_many_files(spark, sf):
+    """A file per customer: saved, partly saved again, cleared, compacted, and saved once more."""
+    path = scratch_path(spark, "progress")
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("f"), "o_custkey").alias("file_id"),
+        F.explode(F.array(F.lit(EN), F.lit("Spanish"))).alias("target_lang"),
+        F.col("o_orderkey").alias("row_idx"),
+        "o_custkey",
+    )
+    english = rows.where(F.col("target_lang") == EN)
+    PR.save_progress(rows.withColumn("record", F.lit("first")), path)
+    PR.save_progress(english.where("o_custkey % 3 = 0").withColumn("record", F.lit("second")), path)
+    PR.clear_progress(spark, path, "f7")
+    PR.clear_progress(spark, path, "f14")
+    PR.clear_progress(spark, path, "f11", "Spanish")
+    PR.compact_progress(spark, path)
+    last = english.where("o_custkey % 5 = 0 and row_idx % 2 = 1").withColumn("record", F.lit("third"))
+    PR.save_progress(last, path, key="third")
+    # A save that is repeated under its key changes nothing.
+    PR.save_progress(last.withColumn("record", F.lit("again")), path, key="third")
+    return PR.load_progress(spark, path).select("file_id", "target_lang", "row_idx", "record")
+
+
+@query(
+    """select concat('f', o_custkey % 40) as file_id, 'English' as target_lang, count(*) as total,
+    count(*) filter (o_orderstatus = 'F') as done, count(*) filter (o_orderstatus = 'O') as missing,
+    count(*) filter (o_orderstatus = 'P') as write_failed from orders group by 1"""
+)
+def progress_of_a_stream(spark, sf):
+    """Orders arrive as a stream; then the first batch runs once more."""
+    from sheetqa.streaming.available import read_cells
+    from sheetqa.streaming.progress import batch_saver, run_progress, running_figures
+
+    path, state = scratch_path(spark, "stream-progress"), scratch_path(spark, "stream-state")
+    orders = table(spark, sf, "orders")
+
+    def to_rows(df):
+        status = F.col("o_orderstatus")
+        return df.select(
+            F.concat(F.lit("f"), (F.col("o_custkey") % 40).cast("string")).alias("file_id"),
+            F.lit(EN).alias("target_lang"),
+            F.col("o_orderkey").alias("row_idx"),
+            F.lit("{}").alias("record"),
+            (status == "F").alias("done"),
+            (status == "O").alias("missing"),
+            (status == "P").alias("write_failed"),
+        )
+
+    run_progress(read_cells(spark, f"{sf}/orders.parque[t]", orders.schema), to_rows, path, "orders", state)
+    batch_saver(path, "orders", to_rows)(orders, 0)
+    return running_figures(spark, path)
+
+
+@query(
+    f"""with r as ({_REQUESTS} from orders)
+    select id, case when model = 'gemini' then concat(lang, payload) else '' end as result, coalesce(model = 'gemini', false) as hit from r"""
+)
+def memory_stored(spark, sf):
+    """Results are appended twice, the second time with others for known keys; requests meet the stored table."""
+    import uuid
+
+    from sheetqa.sources import memory as M
+
+    name = M.open_memory(spark, f"memory_{uuid.uuid4().hex}", scratch_path(spark, "memory"))
+    done = B.keyed_requests(_requests(spark, sf).filter("model = 'gemini'"))
+    M.remember(done.select("request_key", F.concat("lang", "payload").alias("result")), name)
+    M.remember(done.select("request_key", F.lit("later").alias("result")), name)
+    found = M.look_up(_requests(spark, sf), name)
+    return found.select("id", F.coalesce("result", F.lit("")).alias("result"), "hit")
