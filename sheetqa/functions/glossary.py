@@ -148,6 +148,34 @@ def _entries(glossary: Sequence[GlossaryEntry]) -> Column:
     )
 
 
+def rewrite_terms(c: Column, fired: Column) -> Column:
+    """``c`` with the spellings of the ``fired`` entries as their preferred wording, longest first."""
+    variants = F.flatten(F.transform(fired, lambda e: e["variants"]))
+    # A variant that is nowhere in the text cannot match: leaving it out keeps the
+    # pattern short, and most texts need none.
+    present = let(
+        F.lower(c), lambda low: F.filter(variants, lambda v: low.contains(v["low"]))
+    )
+
+    def wording(match: Column) -> Column:
+        def first(low: Column) -> Column:
+            owns = F.filter(
+                fired, lambda e: F.exists(e["variants"], lambda v: v["low"] == low)
+            )
+            return F.get(owns, 0)["preferred"]
+
+        return F.coalesce(let(F.lower(match), first), match)
+
+    def replaced(found: Column) -> Column:
+        patterns = F.transform(F.array_sort(found), lambda v: v["pattern"])
+        return let(
+            F.concat(F.lit("(?i)"), F.array_join(patterns, "|")),
+            lambda p: replace_each(c, p, lambda m, _: wording(m)),
+        )
+
+    return let(present, lambda v: F.when(F.size(v) == 0, c).otherwise(replaced(v)))
+
+
 def enforce_glossary(
     original: Column, c: Column, glossary: Sequence[GlossaryEntry] = GLOSSARY
 ) -> Column:
@@ -159,32 +187,6 @@ def enforce_glossary(
     several times: pass a plain column or one bound with ``let``.
     """
 
-    def rewrite(fired: Column) -> Column:
-        variants = F.flatten(F.transform(fired, lambda e: e["variants"]))
-        # A variant that is nowhere in the text cannot match: leaving it out keeps the
-        # pattern short, and most texts need none.
-        present = let(
-            F.lower(c), lambda low: F.filter(variants, lambda v: low.contains(v["low"]))
-        )
-
-        def wording(match: Column) -> Column:
-            def first(low: Column) -> Column:
-                owns = F.filter(
-                    fired, lambda e: F.exists(e["variants"], lambda v: v["low"] == low)
-                )
-                return F.get(owns, 0)["preferred"]
-
-            return F.coalesce(let(F.lower(match), first), match)
-
-        def replaced(found: Column) -> Column:
-            patterns = F.transform(F.array_sort(found), lambda v: v["pattern"])
-            return let(
-                F.concat(F.lit("(?i)"), F.array_join(patterns, "|")),
-                lambda p: replace_each(c, p, lambda m, _: wording(m)),
-            )
-
-        return let(present, lambda v: F.when(F.size(v) == 0, c).otherwise(replaced(v)))
-
     active = original.isNotNull() & c.isNotNull()
     if all(re.search(CJK, k) for e in glossary for k in e.keywords):
         # Every keyword has a CJK letter: other originals cannot fire an entry.
@@ -193,5 +195,5 @@ def enforce_glossary(
         _entries(glossary), lambda e: F.exists(e["keywords"], lambda k: original.contains(k))
     )
     return F.when(
-        active, let(fired, lambda f: F.when(F.size(f) == 0, c).otherwise(rewrite(f)))
+        active, let(fired, lambda f: F.when(F.size(f) == 0, c).otherwise(rewrite_terms(c, f)))
     ).otherwise(c)

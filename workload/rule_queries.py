@@ -14,7 +14,7 @@ from sheetqa.operators import sheet_update as U
 from . import duck as D
 from . import expected as E
 from .catalog import query
-from .derived import ANSWERS, RULE_ROWS, RULES, SHEET, derive, duck
+from .derived import ANSWERS, RULE_ROWS, RULES, SHEET, derive, duck, table
 
 RULES_SQL, SHEET_SQL = duck(RULES), duck(SHEET)
 
@@ -111,6 +111,20 @@ def template_matches(spark, sf):
     return R.template_matches(_rules(spark, sf))
 
 
+@query(f"with {_matches(RULES_SQL)} select rule_id, row_idx, template_id from hit join tp using (ord)")
+def template_matches_from_tables(spark, sf):
+    """The library as tables, with a template per order that no rule covers in full."""
+    from sheetqa.operators.terms import template_matches_table, template_tables
+
+    aliases, words = template_tables(spark)
+    first = F.when(F.col("o_orderkey") % 1000 == 0, F.lit("WBC")).otherwise(F.concat(F.lit("marker "), "o_orderkey"))
+    more = table(spark, sf, "orders").select(
+        F.concat(F.lit("t"), "o_orderkey").alias("template_id"),
+        F.posexplode(F.array(first, F.concat(F.lit("indicator "), "o_custkey"))).alias("item", "alias"),
+    )
+    return template_matches_table(_rules(spark, sf), aliases.unionByName(more), words)
+
+
 _OPS = [(i, j, item.op) for i, t in enumerate(E.TEMPLATES) for j, item in enumerate(t.indicators)]
 
 

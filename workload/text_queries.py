@@ -149,6 +149,26 @@ def enforce_glossary(spark, sf):
     return cells.select("row_idx", enforce(F.col("original"), F.col("translated")).alias("enforced"))
 
 
+@query(
+    f"""with {D.glossary_ctes(CELLS_SQL, 'original')}
+    select row_idx, {D.enforced('translated')} as enforced from ({CELLS_SQL}) s left join gp using (original)"""
+)
+def enforce_glossary_from_table(spark, sf):
+    """The glossary as a table among many entries that fire for nothing."""
+    from sheetqa.operators.terms import enforce_glossary_table, glossary_table
+
+    cells = derive(spark, sf, CELLS)
+    others = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") + 1000).alias("entry_no"),
+        F.array(F.concat(F.lit("无"), "o_orderkey"), F.concat(F.lit("none "), "o_orderkey")).alias("keywords"),
+        F.lit("nothing").alias("preferred"),
+        F.array(F.lit("count"), F.lit("White Blood")).alias("variants"),
+    )
+    glossary = glossary_table(spark).unionByName(others)
+    done = enforce_glossary_table(cells, ["row_idx", "col_key"], "original", "translated", glossary)
+    return done.select("row_idx", F.col("translated").alias("enforced"))
+
+
 @query(f"select row_idx, {D.status('text')} as adjusted from ({duck(NOTES)}) s")
 def long_form_status(spark, sf):
     return derive(spark, sf, NOTES).select(
