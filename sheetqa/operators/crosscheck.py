@@ -152,5 +152,6 @@ def cross_check(
 
 
 def first_findings(findings: DataFrame, n: int) -> DataFrame:
-    """The first findings in rule order, as a report shows them."""
-    return findings.orderBy("row_idx").limit(n)
+    """The first findings by document, row and rule, as a report shows them; ties have equal keys."""
+    order = [*doc_keys(findings), *(c for c in ("row_idx", "rule_id") if c in findings.columns)]
+    return findings.orderBy(*order).limit(n)

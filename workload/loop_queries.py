@@ -442,6 +442,27 @@ def history_export(spark, sf):
     return export.select("record_no", F.md5("text").alias("digest"))
 
 
+@query(
+    f"""with n as (select *, row_number() over (order by epoch_ms(o_orderdate), cast(o_orderkey as varchar)) as record_no from orders),
+    t as (select unnest(string_split(concat(case when record_no > 1 then repeat('=', 80) || chr(10) else '' end, 'Record ', record_no, chr(10), 'Timestamp: ',
+      strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), chr(10), chr(10), '[Original]', chr(10), o_orderpriority, chr(10), chr(10), '[English]', chr(10), o_custkey,
+      {", ".join(f"chr(10), chr(10), '[{lang}]', chr(10), ''" for lang in SR.STRING_LANGS[1:])}), chr(10))) as line from n)
+    select line, count(*) as n from t group by line"""
+)
+def history_text(spark, sf):
+    """The lines of the stored text export, and how often each occurs."""
+    path, out = scratch_path(spark, "history"), scratch_path(spark, "history-text")
+    entries = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_at"),
+        F.col("o_orderpriority").alias("source"),
+        F.create_map(F.lit(EN), F.col("o_custkey").cast("string")).alias("outputs"),
+    )
+    H.append_history(entries, path)
+    H.write_history_text(H.export_history(H.load_history(spark, path)), out)
+    return spark.read.text(out).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- answers that come more than once, and split batches ---
 
 # Three answers to a batch, two to every fifth; invalid where batch and attempt add up so, all of every seventh.
