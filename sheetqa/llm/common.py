@@ -103,3 +103,51 @@ def about(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:
     share = min(1.0, rows / max(1, df.count()))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) * F.lit(2.0**-53)
     return df.where(draw < share)
+
+
+#: Bits of the filter that tells which hashes may be among given ones.
+FILTER_BITS = 23
+
+
+def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """One row: ``2 ** bits`` bits as ``array<long>``, set where one of ``hashes`` (one column of long) falls.
+
+    The size is fixed, whatever the number of hashes; more of them only let more others through.
+    Made by one aggregation in two steps; used as a scalar subquery.
+    """
+    (name,) = hashes.columns
+    slot = F.col(name).bitwiseAND((1 << bits) - 1)
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+    words = hashes.where(F.col(name).isNotNull()).groupBy(word.alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask")
+    )
+    # In blocks, so that no list of all words is searched for one of them.
+    blocks = words.groupBy(F.shiftright("word", 8).alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(255), "mask"))).alias("of")
+    )
+    filled = blocks.select(
+        "block",
+        F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("of", i.cast("long")), F.lit(0).cast("long"))).alias("masks"),
+    )
+    packed = filled.agg(F.map_from_entries(F.collect_list(F.struct("block", "masks"))).alias("of"))
+    none = F.array_repeat(F.lit(0).cast("long"), 256)
+    return packed.select(
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.lit((1 << (bits - 14)) - 1)), lambda i: F.coalesce(F.try_element_at("of", i.cast("long")), none)
+            )
+        ).alias("filter")
+    )
+
+
+def may_be_among(value: Column, table: Column, bits: int = FILTER_BITS) -> Column:
+    """False only for hashes that are not among those of the ``hash_filter`` in ``table``."""
+    slot = value.bitwiseAND((1 << bits) - 1)
+    mask = F.get(table, F.shiftright(slot, 6).cast("int"))
+    return mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))) != 0
+
+
+def long_hashes(*columns: Column) -> tuple[Column, Column]:
+    """128 bits of the values as two longs; NULL differs from every value."""
+    marked = [x for c in columns for x in (c, c.isNull())]
+    return F.xxhash64(*marked), F.xxhash64(F.lit(1), *marked)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..store import discard, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
 
-    now = written(linked(edges.select("a", "b")), "edges")
+    first = now = written(linked(edges.select("a", "b")), "edges")
     nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     before = None
     for _ in range(rounds):
@@ -36,7 +36,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             large.join(small_least, "a")
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         )
-        now = written(linked(small), "edges")
+        last, now = now, written(linked(small), "edges")
+        # The first edges name the nodes; of the rounds only the last is read again.
+        if last is not first:
+            discard(last)
         state = now.agg(
             F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))
         ).first()

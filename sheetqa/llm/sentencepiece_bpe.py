@@ -15,6 +15,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column
@@ -248,24 +249,26 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-def round_trip(text: Column, path: str) -> Column:
-    """``struct<n_tokens, ids_sha256, decoded_sha256>``: encodes, then decodes these ids.
+def round_trip(text: Column, path: str, with_ids: bool = False) -> Column:
+    """``struct<n_tokens, ids_sha256, decoded_sha256>``: encodes, then decodes these ids; NULL counts as empty.
 
-    The ids themselves stay in the task: only digests of each text leave it.
+    The ids themselves stay in the task, unless ``with_ids`` asks for them as a fourth field: then a
+    text is encoded once for both. Equal texts have equal results; an empty one has no ids.
     """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
         own, rows = table(path), []
         for text in texts:
             ids = own.encode(text)
-            rows.append(
-                (
-                    len(ids),
-                    hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(),
-                    hashlib.sha256(own.decode(ids).encode("utf-8")).hexdigest(),
-                )
+            row = (
+                len(ids),
+                hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(),
+                hashlib.sha256(own.decode(ids).encode("utf-8")).hexdigest(),
             )
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
+        return pd.DataFrame(rows, columns=names)
 
     return run(text)

@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..store import discard, written
+from .common import hash_filter, long_hashes, may_be_among
 from .components import connected_components
 
 WORDS = 4
@@ -33,6 +34,8 @@ CHUNK = 20_000
 MEMORY = 1_000_000
 #: Buckets by which shingles count as common.
 BUCKET_BITS = 20
+#: Least number of buckets of parities; a power of two.
+PARITIES = 256
 #: Against rounding in products with the similarity.
 SLACK = 1e-9
 SEED = 42
@@ -84,6 +87,24 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return _majority(hashes), _majority(again ^ (again >> np.uint64(29)))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of at least as many buckets as hashes whether an odd number of them falls there, as longs.
+
+    Two sets have at least as many members that only one of them has as their parities differ in.
+    The number of buckets is a power of two, so that half as many are the halves laid over each other.
+    """
+    buckets = max(PARITIES, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    counts = np.bincount((hashes & np.uint64(buckets - 1)).view(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """Parities in fewer buckets: ``size`` longs."""
+    while len(parity) > size:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
+
+
 def fingerprints(text: Column, words: int = WORDS) -> Column:
     """``fingerprint`` as a Column of long."""
 
@@ -110,13 +131,14 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def set_figures(text: Column, words: int, similarity: float, common: dict[str, np.ndarray]) -> Column:
-    """``struct<d0, d1, n, p0, p1, prefix>`` of a text's distinct shingles.
+    """``struct<d0, d1, n, p0, p1, parity, prefix>`` of a text's distinct shingles.
 
-    128 bits that name the set, its size, its fingerprint, and its first shingles in the order
-    of ``common``: shingles in buckets not listed there, then the others by their count.
+    128 bits that name the set, its size, its fingerprint, the parities of its shingles in
+    buckets, and its first shingles in the order of ``common``: shingles in buckets not
+    listed there, then the others by their count.
     """
 
-    @F.pandas_udf("d0 long, d1 long, n int, p0 long, p1 long, prefix array<long>")
+    @F.pandas_udf("d0 long, d1 long, n int, p0 long, p1 long, parity array<long>, prefix array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
@@ -128,8 +150,8 @@ def set_figures(text: Column, words: int, similarity: float, common: dict[str, n
                 place = np.minimum(np.searchsorted(common["bucket"], at), len(common["bucket"]) - 1)
                 weight = np.where(common["bucket"][place] == at, common["n"][place], 0)
             first = np.lexsort((hashes, weight))[: prefix_length(len(hashes), similarity)]
-            rows.append((*name.tolist(), len(hashes), *wide_fingerprint(hashes), hashes[first].view(np.int64)))
-        return pd.DataFrame(rows, columns=["d0", "d1", "n", "p0", "p1", "prefix"])
+            rows.append((*name.tolist(), len(hashes), *wide_fingerprint(hashes), parities(hashes), hashes[first].view(np.int64)))
+        return pd.DataFrame(rows, columns=["d0", "d1", "n", "p0", "p1", "parity", "prefix"])
 
     return run(text)
 
@@ -250,13 +272,11 @@ def _connecting():
     return connecting
 
 
-def _linked(keyed: DataFrame, lanes: int, radius: int, chunk: int, count: int) -> DataFrame:
-    """``a, b``: ids of linked members ``(key, id, p0, …)`` that share a key.
+def _groups(keyed: DataFrame, columns: list[str], chunk: int) -> DataFrame:
+    """Members that share a key: lists ``first``, and ``rest`` where a pair of chunks meets.
 
-    A key with over ``chunk`` members is cut into chunks, each pair of which becomes a task's
-    work of its own: memory stays bounded and no pair is lost.
+    A key with over ``chunk`` members is cut into chunks, each pair of which is a group of its own.
     """
-    columns = ["id", *(f"p{i}" for i in range(lanes))]
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = groups.where(F.col("n") > chunk).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     # Keys over ``chunk`` are at most rows / chunk, and few of them exist at all.
@@ -280,6 +300,17 @@ def _linked(keyed: DataFrame, lanes: int, radius: int, chunk: int, count: int) -
     whole = keyed.join(large, "key", "left_anti").repartition("key")
     whole = whole.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("first"))
     whole = whole.where(F.size("first") > 1).withColumn("rest", F.filter("first", lambda _: F.lit(False)))
+    return whole.select("first", "rest").union(cut.select("first", "rest"))
+
+
+def _linked(keyed: DataFrame, lanes: int, radius: int, chunk: int, count: int) -> DataFrame:
+    """``a, b``: ids of linked members ``(key, id, p0, …)`` that share a key.
+
+    A key with over ``chunk`` members is cut into chunks, each pair of which becomes a task's
+    work of its own: memory stays bounded and no pair is lost.
+    """
+    columns = ["id", *(f"p{i}" for i in range(lanes))]
+    both = _groups(keyed, columns, chunk)
     flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("first", "rest") for c in columns]
 
     def run(batches):
@@ -316,8 +347,7 @@ def _linked(keyed: DataFrame, lanes: int, radius: int, chunk: int, count: int) -
             pairs = np.array([*connects(zip(batch["a"].tolist(), batch["b"].tolist()))], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    both = whole.select("first", "rest").union(cut.select("first", "rest")).select(*flat)
-    found = both.mapInPandas(run, "a long, b long").distinct()
+    found = both.select(*flat).mapInPandas(run, "a long, b long").distinct()
     # A cluster's links come from many keys in many tasks; in fewer shares most turn out to repeat.
     shares = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     return found.repartition(shares).mapInPandas(fewer, "a long, b long")
@@ -366,12 +396,100 @@ def sampled_masks(bits: int, tables: int) -> list[tuple[int, int]]:
     return masks
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose ``sets(id, shingles)`` have that Jaccard coefficient; written."""
+def _least_common(n: Column, m: Column, similarity: float) -> Column:
+    """Members that sets of these sizes must share to be as similar."""
+    return similarity / (1 + similarity) * (n + m) - SLACK
+
+
+def _possible(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(a, b)`` less those that sizes and parities alone (``facts(id, n, parity)``) rule out."""
+    both = pairs.join(facts.select(F.col("id").alias("a"), F.col("n").alias("x"), F.col("parity").alias("px")), "a")
+    both = both.join(facts.select(F.col("id").alias("b"), F.col("n").alias("y"), F.col("parity").alias("py")), "b")
+    # Sizes that are close enough have equally many buckets, or one of them twice as many.
+    def halved(p: Column, other: Column) -> Column:
+        half = F.size(other)
+        laid = F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(p) > half, laid).otherwise(p)
+
+    px, py = F.col("px"), F.col("py")
+    differing = F.zip_with(halved(px, py), halved(py, px), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    odd = F.aggregate(differing, F.lit(0), lambda acc, c: acc + c)
+    x, y = F.col("x"), F.col("y")
+    sizes = F.least(x, y) >= similarity * F.greatest(x, y) - SLACK
+    return both.where(sizes).where(((x + y - odd) / 2 >= _least_common(x, y, similarity))).select("a", "b")
+
+
+def _alike(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets have that Jaccard coefficient; written.
+
+    Sizes and parities discard pairs before any set is made. The sets are made again from the
+    texts: of ``docs`` only rows that a filter of the texts' hashes lets through are moved, each
+    text once a task. A pair that is left moves one set.
+    """
+    pairs = written(_possible(pairs, facts, similarity), "possible-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = written(wanted.join(facts.select("id", "s0", "s1"), "id"), "wanted-texts")
+    s0, s1 = long_hashes(F.coalesce("text", F.lit("")))
+    named = docs.select(F.coalesce("text", F.lit("")).alias("text"), s0.alias("s0"), s1.alias("s1"))
+    named = named.where(may_be_among(F.col("s0"), hash_filter(wanted.select("s0")).scalar()))
+    texts = named.groupBy("s0", "s1").agg(F.any_value("text").alias("text")).join(wanted, ["s0", "s1"])
+    sets = written(texts.select("id", shingle_sets(F.col("text"), words).alias("shingles")), "candidate-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
-    return written(common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - SLACK).select("a", "b"), "alike")
+    found = written(common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - SLACK).select("a", "b"), "alike")
+    discard(pairs, wanted, sets)
+    return found
+
+
+def _differing(p: np.ndarray, q: np.ndarray) -> int:
+    size = min(len(p), len(q))
+    # Unsigned: of negative numbers, the bits of their absolute value would be counted.
+    return int(np.bitwise_count((folded(p, size) ^ folded(q, size)).view(np.uint64)).sum())
+
+
+def _open_pairs(members: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """``a, b``: pairs of ``members(key, id, root, n, at, parity)`` of one key and different roots that may be as similar.
+
+    Keys with over ``chunk`` members are cut; inside a task each member is held against the others
+    by sizes, positions and parities, these first in as few buckets as any member has and then in
+    their own, and only pairs that all of this leaves over are put out.
+    """
+    columns = ["id", "root", "n", "at", "parity"]
+    flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("first", "rest") for c in columns]
+
+    def run(batches):
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for row in batch.itertuples(index=False):
+                sides = []
+                for side in ("first", "rest"):
+                    ids = np.asarray(getattr(row, f"{side}_id"), np.int64)
+                    numbers = [np.asarray(getattr(row, f"{side}_{c}"), np.int64) for c in columns[1:4]]
+                    lists = getattr(row, f"{side}_parity")
+                    sides.append([ids, *numbers, [*lists]])
+                width = min(len(p) for *_, lists in sides for p in lists)
+                for side in sides:
+                    side.append(np.stack([folded(p, width) for p in side[4]]).view(np.uint64) if side[4] else None)
+                (ids, roots, n, at, whole, odd), rest = sides[0], sides[1] if len(sides[1][0]) else None
+                for i in range(len(ids)):
+                    others = [c[i + 1 :] for c in sides[0]] if rest is None else rest
+                    if not len(others[0]):
+                        continue
+                    reach = np.minimum(n[i] - at[i], others[2] - others[3])
+                    least = similarity / (1 + similarity) * (n[i] + others[2]) - SLACK
+                    smaller, larger = np.minimum(n[i], others[2]), np.maximum(n[i], others[2])
+                    near = np.flatnonzero((others[1] != roots[i]) & (reach >= least) & (smaller >= similarity * larger - SLACK))
+                    apart = np.bitwise_count(others[5][near] ^ odd[i]).sum(axis=1, dtype=np.int64) if len(near) else near
+                    near = near[(n[i] + others[2][near] - apart) / 2 >= least[near]]
+                    near = near[[(n[i] + others[2][j] - _differing(whole[i], others[4][j])) / 2 >= least[j] for j in near]] if len(near) else near
+                    if len(near):
+                        pair = np.stack([np.full(len(near), ids[i]), others[0][near]], 1)
+                        found.append(np.sort(pair, axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return _groups(members, columns, chunk).select(*flat).mapInPandas(run, "a long, b long").distinct()
 
 
 def _within_reach(x: str, y: str, similarity: float) -> Column:
@@ -380,7 +498,7 @@ def _within_reach(x: str, y: str, similarity: float) -> Column:
     Each side is a struct ``n, at``; from there on both can share what is left of the shorter.
     """
     n, m, left, right = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
-    least = similarity / (1 + similarity) * (n + m) - SLACK
+    least = _least_common(n, m, similarity)
     return (F.least(n - left, m - right) >= least) & (F.least(n, m) >= similarity * F.greatest(n, m) - SLACK)
 
 
@@ -389,7 +507,7 @@ def similar_documents(
     words: int = 5,
     similarity: float = 0.8,
     bits: int = 20,
-    tables: int = 80,
+    tables: int = 24,
     carry: tuple[str | Column, ...] = (),
 ) -> DataFrame:
     """``doc_id, component_id, root`` and ``carry``: classes of texts alike in ``words``-word shingles.
@@ -408,15 +526,17 @@ def similar_documents(
     share = float(np.arccos(cosine) / np.pi)
     radius = int(128 * share + 1.5 * (128 * share * (1 - share)) ** 0.5)
     common = common_buckets(docs, words)
-    source = F.xxhash64(F.coalesce("text", F.lit("")))
+    s0, s1 = long_hashes(F.coalesce("text", F.lit("")))
     printed = docs.select(
-        "doc_id", source.alias("source"), set_figures(F.col("text"), words, similarity, common).alias("set"), *carry
+        "doc_id", s0.alias("s0"), s1.alias("s1"), set_figures(F.col("text"), words, similarity, common).alias("set"), *carry
     )
-    names = [c for c in printed.columns if c not in ("doc_id", "source", "set")]
-    printed = written(printed.select("doc_id", "source", "set.*", *names), "shingle-sets")
-    firsts = (F.min(c).alias(c) for c in ("source", "n", "p0", "p1"))
-    distinct = printed.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), *firsts, F.any_value("prefix").alias("prefix"))
-    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
+    names = [c for c in printed.columns if c not in ("doc_id", "s0", "s1", "set")]
+    numbered = printed.select(F.monotonically_increasing_id().alias("id"), "doc_id", "s0", "s1", "set.*", *names)
+    printed = written(numbered, "shingle-sets")
+    # One row per set. All but the ids and the text's hashes follow from the set; these are of one row.
+    one = (F.any_value(c).alias(c) for c in ("id", "s0", "s1", "n", "p0", "p1", "parity"))
+    distinct = written(printed.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), *one), "distinct-sets")
+    facts = distinct.select("id", "n", "parity", "s0", "s1")
     keys = F.array(
         *(
             F.xxhash64(F.col("p0").bitwiseAND(F.lit(m0)), F.col("p1").bitwiseAND(F.lit(m1)))
@@ -426,45 +546,38 @@ def similar_documents(
     keyed = distinct.where("n > 0").select("id", "p0", "p1", F.posexplode(keys).alias("which", "bits"))
     keyed = keyed.select(F.xxhash64("which", "bits").alias("key"), "id", "p0", "p1")
     near = written(_linked(keyed, 2, radius, CHUNK, PIVOTS), "near-prints")
-
-    # Shingles that stand first in several sets; most stand in one only.
-    shared = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = shared.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1")
-    shared = written(shared.select("key", "id", F.struct("n", "at").alias("of")), "shared-shingles")
-    wanted = shared.select("id").union(near.select(F.explode(F.array("a", "b")))).distinct()
-    wanted = written(distinct.join(wanted, "id", "left_semi").select("id", "source"), "candidates")
-    texts = docs.select("text", source.alias("source")).join(wanted, "source").dropDuplicates(["id"])
-    sets = written(texts.select("id", shingle_sets(F.col("text"), words).alias("shingles")), "candidate-sets")
-
-    edges = _alike(near, sets, similarity)
+    edges = _alike(near, facts, docs, words, similarity)
+    discard(near)
     component = connected_components(edges)
 
-    def opened() -> tuple[DataFrame, DataFrame]:
-        """Members of shared shingles with their roots so far, and the shingles that several roots share."""
-        rooted = shared.join(component, shared["id"] == component["node"], "left")
-        rooted = rooted.select("key", F.struct("id", F.coalesce("root", "id").alias("root"), "of.n", "of.at").alias("m"))
-        first = rooted.groupBy("key").agg(
-            F.min("m.root").alias("lo"), F.max("m.root").alias("hi"), F.min_by("m", F.xxhash64("m.id")).alias("pivot")
-        )
-        return rooted, first.where("lo < hi").select("key", "pivot")
-
-    def pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
-        close = joined.where((F.col(f"{x}.root") != F.col(f"{y}.root")) & _within_reach(x, y, similarity))
-        ids = F.col(f"{x}.id"), F.col(f"{y}.id")
-        return close.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
+    # First shingles of one row per set, with the class so far.
+    rooted = distinct.select("id").join(component.withColumnRenamed("node", "id"), "id", "left")
+    rooted = rooted.select("id", F.coalesce("root", "id").alias("root"))
+    firsts = printed.select("id", "n", "prefix").join(rooted, "id")
+    firsts = firsts.select("id", "root", "n", F.posexplode("prefix").alias("at", "key"))
+    # Shingles that stand first in sets of several classes; a task has one row for each of its keys.
+    spans = firsts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = written(spans.where("lo < hi").select("key"), "shared-keys")
+    met = firsts.where(may_be_among(F.col("key"), hash_filter(shared.select("key")).scalar())).join(shared, "key")
+    met = written(met.select("key", F.struct("id", "root", "n", "at").alias("m")), "shared-shingles")
+
+    # One member of each shingle against all: what joins a class mostly does so here.
+    pivot = met.groupBy("key").agg(F.min_by("m", F.xxhash64("m.id")).alias("pivot"))
+    close = met.join(pivot, "key").where((F.col("m.root") != F.col("pivot.root")) & _within_reach("m", "pivot", similarity))
+    ids = F.col("m.id"), F.col("pivot.id")
+    star = close.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
+    more = _alike(star, facts, docs, words, similarity)
+    edges = written(edges.union(more), "links")
+    component = connected_components(edges)
 
-    # One member of each shingle against all: what joins a class mostly does so here. Then all pairs.
-    rooted, open_keys = opened()
-    star = written(pairs(rooted.join(open_keys, "key"), "m", "pivot"), "star-pairs")
-    more = _alike(star, sets, similarity)
-    if not more.isEmpty():
-        edges = edges.union(more)
-        component = connected_components(edges)
-    rooted, open_keys = opened()
-    rest = written(rooted.join(open_keys, "key", "left_semi"), "open-shingles")
-    every = rest.withColumnRenamed("m", "x").join(rest.withColumnRenamed("m", "y"), "key").where("x.id < y.id")
-    every = pairs(every, "x", "y").join(star, ["a", "b"], "left_anti")
-    more = _alike(every, sets, similarity)
+    # Then all others, where several classes are left.
+    again = met.join(component, F.col("m.id") == component["node"], "left")
+    again = again.select("key", "m.id", F.coalesce("root", "m.root").alias("root"), "m.n", "m.at")
+    left = again.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    members = again.join(left, "key").join(facts.select("id", "parity"), "id")
+    every = _open_pairs(members.select("key", "id", "root", "n", "at", "parity"), similarity, CHUNK)
+    more = _alike(every, facts, docs, words, similarity)
+    discard(met, shared)
     if not more.isEmpty():
         component = connected_components(edges.union(more))
 
