@@ -8,16 +8,21 @@ logarithm of the ratio of both. Every text is held against the same threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..store import written
-from .common import SPACE_CHARS, word_list
+from ..store import discard, written
+from .common import SPACE_CHARS, hash_filter, may_be_among, word_list
 
 BUCKETS = 16_384
 #: Share of trusted texts that may lie below the threshold.
 TAIL = 0.001
+#: Ratios are held against the threshold as whole multiples of 2 ** -_FINE.
+_FINE = 40
+_DIGIT = 16
 SYMBOLS = "#*$%&|<>"
 _TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
@@ -39,16 +44,23 @@ def ngrams(text: Column, buckets: int = BUCKETS) -> Column:
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``ratio``: for each bucket the logarithm of trusted to raw probability.
 
-    Counts cover all rows of ``docs``; all those whose id is in ``trusted`` (one column
-    ``doc_id``, any number of ids) also count as trusted. Bucket counts start at 1. Grams are
-    added up per task before the shuffle, so that moves ``buckets`` rows per task.
+    Counts cover all rows of ``docs(doc_id, text)``, or ``docs(doc_id, grams)`` where ``ngrams`` are known
+    already; all those whose id is in ``trusted`` (one column ``doc_id``, any number of ids) also
+    count as trusted. Bucket counts start at 1. Grams are added up per task before the
+    shuffle, so that moves ``buckets`` rows per task. Only grams of rows that a filter of the
+    trusted ids lets through meet these ids; the others never move.
     """
-    # By id, in whatever way Spark chooses from the sizes: of the labels only a flag is joined.
-    ids = trusted.where("doc_id is not null").select("doc_id", F.lit(1).alias("_trusted")).distinct()
-    marked = docs.join(ids, "doc_id", "left")
-    grams = marked.select(F.explode(ngrams(F.col("text"), buckets)).alias("bucket"), "_trusted")
-    counts = grams.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("good")
+    grams = F.col("grams") if "grams" in docs.columns else ngrams(F.col("text"), buckets)
+    narrow = docs.select("doc_id", grams.alias("grams"))
+    ids = trusted.where("doc_id is not null").distinct()
+    table = hash_filter(ids.select(F.xxhash64("doc_id").alias("h"))).scalar()
+    known = narrow.where(F.col("doc_id").isNotNull() & may_be_among(F.xxhash64("doc_id"), table)).join(ids, "doc_id", "left_semi")
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+    counts = counted(narrow, "raw").join(counted(known, "good"), "bucket", "left").select(
+        F.col("bucket").cast("int").alias("bucket"), "raw", F.coalesce("good", F.lit(0)).alias("good")
     )
     # One row of at most ``buckets`` entries, put in order of the bucket.
     packed = counts.agg(
@@ -73,12 +85,31 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataF
 
 def score(text: Column, table: Column, buckets: int = BUCKETS) -> Column:
     """Mean ratio over a text's n-grams; 0 for a text without any."""
+    return let(ngrams(text, buckets), lambda grams: mean_ratio(grams, table))
+
 
-    def mean(grams: Column) -> Column:
-        total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+def mean_ratio(grams: Column, table: Column) -> Column:
+    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
+    return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
 
-    return let(ngrams(text, buckets), mean)
+
+def kth_smallest(values: DataFrame, k: int) -> int:
+    """The ``k``-th smallest (from 1) of whole numbers below ``2 ** 48``, in one column; exact.
+
+    A histogram per 16 bits, the highest first, each inside the bucket that the one before it
+    found. The driver sees at most 65,536 counts at a time.
+    """
+    (name,) = values.columns
+    found = 0
+    for shift in (2 * _DIGIT, _DIGIT, 0):
+        inside = values.where(F.shiftright(name, shift + _DIGIT) == found)
+        digit = F.shiftright(name, shift).bitwiseAND((1 << _DIGIT) - 1)
+        for row in sorted(inside.groupBy(digit.alias("digit")).count().collect()):
+            if k <= row["count"]:
+                break
+            k -= row["count"]
+        found = found << _DIGIT | row["digit"]
+    return found
 
 
 def repeated_words(words: Column) -> Column:
@@ -152,19 +183,25 @@ def judge(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio``.
     Trusted texts are all those labelled of good quality. The threshold is the ``tail`` quantile
-    of the ratios of all that pass the rules, so it follows from the data alone. A row is kept if
-    the rules pass and its ratio reaches the threshold. Without trusted texts, the ratio decides
-    nothing. NULL texts count as empty and fail the rules; rows with NULL or repeated ids are
-    judged each for itself.
+    of the ratios of all that pass the rules: the exact value of that rank, whatever the order in which tasks
+    end. A row is kept if the rules pass and its ratio reaches the threshold. Without trusted texts, the
+    ratio decides nothing. NULL texts count as empty and fail the rules; rows with NULL or repeated
+    ids are judged each for itself. Texts are read once, and what is kept of them are their n-grams.
     """
-    good = labels.where("quality = 1").select("doc_id")
-    narrow = docs.select("doc_id", "text")
-    table = ratios(narrow, good)
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id")
+    grams = ngrams(F.col("text")).cast("array<smallint>" if BUCKETS <= 1 << 15 else "array<int>")
+    figured = rule_figures(docs.select("doc_id", "text")).withColumn("grams", grams).drop("text")
+    stored = written(figured, "figures")
+    table = ratios(stored, good)
     # The table is one row: a scalar subquery, which Spark runs once and hands to the tasks.
-    scored = rule_figures(narrow.withColumn("_table", table.scalar()))
-    scored = scored.withColumn("ratio", score(F.col("text"), F.col("_table"))).drop("text", "_table")
+    scored = stored.withColumn("_table", table.scalar())
+    scored = scored.withColumn("ratio", mean_ratio(F.col("grams"), F.col("_table"))).drop("grams", "_table")
     scored = written(scored, "scored")
-    passing = scored.where(~F.col("base_failed")).select("doc_id", "ratio").join(good, "doc_id", "left_semi")
-    least = passing.agg(F.percentile_approx("ratio", tail, 100_000)).first()[0]
-    reached = F.col("ratio") >= F.lit(float("-inf") if least is None else least)
-    return scored.withColumn("kept", ~F.col("base_failed") & reached)
+    discard(stored)
+    # Ratios are logarithms of quotients of counts, so far below 2 ** 7.
+    place = F.floor(F.col("ratio") * F.lit(2.0**_FINE)).cast("long") + F.lit(1 << 47)
+    passing = scored.where(~F.col("base_failed")).select("doc_id", place.alias("place"))
+    passing = written(passing.join(good, "doc_id", "left_semi").select("place"), "trusted-ratios")
+    n = passing.count()
+    least = kth_smallest(passing, max(1, math.ceil(tail * n))) if n else 0
+    return scored.withColumn("kept", ~F.col("base_failed") & (place >= F.lit(least)))
