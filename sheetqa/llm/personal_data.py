@@ -40,6 +40,7 @@ PROMISE = 0.5
 #: Least length, digits and bits per character of a token that is taken for random.
 RANDOM_LENGTH, RANDOM_DIGITS, RANDOM_BITS = 16, 3, 2.75
 PATTERN_BITS = 20
+_DIGITS = frozenset("0123456789")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -197,35 +198,36 @@ def seeds_of(docs: DataFrame) -> DataFrame:
     )
 
 
-class _Known:
-    """Which patterns may be among given ones, by a bitmap of fixed size, and which words can come before one."""
+class _Known(dict):
+    """Which patterns may be among given ones, by a bitmap of fixed size; and what a word means for slots.
+
+    ``known[word]`` is 1 if it may stand before a slot, plus 2 if it may be a slot for what it is itself.
+    """
 
     def __init__(self, patterns: np.ndarray, lefts: np.ndarray) -> None:
+        super().__init__()
         self.patterns, self.lefts = patterns, lefts
-        self.memo: dict[str, bool] = {}
 
     def pattern(self, pattern: str) -> int | None:
         number = _number(pattern)
         return number if self.patterns[number & (len(self.patterns) - 1)] else None
 
-    def left(self, word: str) -> bool:
-        hit = self.memo.get(word)
-        if hit is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            hit = self.memo[word] = bool(self.lefts[_number(word.lower()) & (len(self.lefts) - 1)])
-        return hit
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        before = bool(self.lefts[_number(word.lower()) & (len(self.lefts) - 1)])
+        own = "=" in word or ":" in word or len(word) >= 8 and not _DIGITS.isdisjoint(word)
+        self[word] = found = before + 2 * own
+        return found
 
 
 def slots_in(text: str, known: _Known) -> Iterator[tuple[int, int, list[int]]]:
     """``(start, end, patterns)`` of all that stands in a slot of a known pattern: a token, or a run of numbered ones."""
-    words = text.split()
-    left = known.left
-    digits = set("0123456789").intersection
-    wanted = {i + 1 for i, w in enumerate(words) if left(w)}
-    wanted.update(i for i, w in enumerate(words) if len(w) >= 8 and digits(w) or "=" in w or ":" in w)
-    if not wanted:
+    meant = [*map(known.__getitem__, text.split())]
+    if not any(meant):
         return
+    digits = _DIGITS.intersection
+    wanted = {i + (m == 1) for i, m in enumerate(meant) if m} | {i + 1 for i, m in enumerate(meant) if m == 3}
     places = [m.span() for m in _TOKEN.finditer(text)]
     done = -1
     for i in sorted(wanted):
