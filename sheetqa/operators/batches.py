@@ -132,7 +132,8 @@ def validate_responses(
         F.col("n_records").cast("int"),
     )
     kept = ["n_records", *(c for c in keep if c in requests.columns)]
-    joined = requests.select(*by, *kept).join(responses, list(by), "left")
+    # Parsed records are many times the size of their files: not to be sent to the driver.
+    joined = requests.select(*by, *kept).join(responses.hint("merge"), list(by), "left")
     error = (
         F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error"))
         .when(F.col("records").isNull() | (got != F.col("n_records")), counts)

@@ -82,8 +82,10 @@ def _with_answers(cells: DataFrame, answers: DataFrame) -> DataFrame:
     """Left-join ``answers(keys, answer)``; a missing answer is NULL.
 
     A key that is answered twice counts once, by its newest answer, so no cell is multiplied.
+    Answers are unpacked from small files, whose size says nothing about their rows: the join is
+    never one that sends them to the driver. So it is with the other joins of answers here.
     """
-    return cells.join(_once(answers, cell_keys(cells)), cell_keys(cells), "left")
+    return cells.join(_once(answers, cell_keys(cells)).hint("merge"), cell_keys(cells), "left")
 
 
 def _once(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,7 +134,7 @@ def row_status(
     if outcome is None:
         rows = rows.withColumn("ok", F.lit(True))
     else:
-        rows = rows.join(outcome.select(*keys, "ok"), keys, "left")
+        rows = rows.join(outcome.select(*keys, "ok").hint("merge"), keys, "left")
     unsent = ~F.col("_needs") if mode == "selective" else F.lit(False)
     done = F.when(F.col("ok"), ~F.col("missing")).when(~F.col("ok"), False).otherwise(unsent)
     failed = F.coalesce(~F.col("ok"), F.lit(False))
@@ -147,7 +149,7 @@ def retry_source(cells: DataFrame) -> Column:
 def retry_payload(cells: DataFrame, keys: DataFrame) -> DataFrame:
     """Cells to send again for ``keys``, with the masked text as ``sanitized``."""
     on = cell_keys(cells)
-    picked = cells.join(keys.select(*on).distinct(), on, "left_semi")
+    picked = cells.join(keys.select(*on).distinct().hint("merge"), on, "left_semi")
     value = retry_source(picked)
     lock = F.coalesce(text_of(picked, "original"), value)
     send = has_text(value) & ~is_locked(F.col("col_key"), lock) & ~is_neutral(value)
@@ -168,7 +170,7 @@ def merge_retries(
     the result gives the new flags.
     """
     on = cell_keys(cells)
-    wanted = answers.join(keys.select(*on).distinct(), on, "left_semi")
+    wanted = answers.join(keys.select(*on).distinct().hint("merge"), on, "left_semi")
     joined = _with_answers(cells, wanted)
     source = retry_source(joined)
     lock = F.coalesce(text_of(joined, "original"), source, F.lit(""))
@@ -189,7 +191,7 @@ def retry_cells(
 ) -> DataFrame:
     """Answers to ``keys`` sent from the *original* text (placeholder leaks)."""
     on = cell_keys(cells)
-    wanted = answers.join(keys.select(*on).distinct(), on, "left_semi")
+    wanted = answers.join(keys.select(*on).distinct().hint("merge"), on, "left_semi")
     joined = _with_answers(cells, wanted)
     original = text_of(joined, "original")
     use = F.col("answer").isNotNull() & pending_cells(joined, lang, mode)
@@ -212,8 +214,8 @@ def retried_status(
     retried = retried_rows.select(*keys).distinct().withColumn("_retried", F.lit(True))
     return (
         status.select(*keys, "done", "write_failed")
-        .join(missing, keys, "left")
-        .join(retried, keys, "left")
+        .join(missing.hint("merge"), keys, "left")
+        .join(retried.hint("merge"), keys, "left")
         .select(
             *keys,
             (F.col("done") | F.coalesce(F.col("_retried"), F.lit(False))).alias("done"),
@@ -242,7 +244,7 @@ def merge_units(
 
     Of several answers the newest counts, so units keep their number.
     """
-    joined = units.join(_once(answers, [key]), key, "left")
+    joined = units.join(_once(answers, [key]).hint("merge"), key, "left")
     source = _text_or_empty(F.col("value"))
     restored = restore(
         F.coalesce(F.col("answer"), F.col("value")), mask_inline(F.col("value"))["pairs"]
@@ -268,7 +270,7 @@ def merge_string_lines(
     answers to a line the newest counts, so lines keep their number.
     """
     keys = [key] if isinstance(key, str) else key
-    joined = entries.join(_once(answers, keys), keys, "left")
+    joined = entries.join(_once(answers, keys).hint("merge"), keys, "left")
     content = F.col("content")
     text = restore_tolerant(
         F.coalesce(F.col("answer"), content), mask_string(content)["pairs"], compat

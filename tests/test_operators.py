@@ -13,7 +13,7 @@ from sheetqa.operators import quality as Q
 from sheetqa.operators import rules as R
 from sheetqa.operators import sheet_update as U
 from sheetqa.plans.rule_check import check_rules
-from sheetqa.plans.translation import prepare
+from sheetqa.plans.translation import finish, prepare
 from sheetqa.ranking import ranked
 from sheetqa.sources import history as H
 from sheetqa.sources import progress as PR
@@ -411,3 +411,22 @@ def test_history_text_file(spark, tmp_path):
     lines = text.split("\n")
     assert [x for x in lines if x.startswith("Record ")] == ["Record 1", "Record 2"]
     assert lines.count("=" * 80) == 1 and lines.index("first") < lines.index("second")
+
+
+def test_answers_are_never_sent_to_the_driver(spark):
+    """Their files are small, their rows many: no plan may broadcast them, whatever the files' size."""
+    cells = spark.createDataFrame([(i, "k", f"白细胞 {i}") for i in range(20)], "row_idx long, col_key string, original string")
+    batches = prepare(cells, "English")
+    answers = batches.select("batch_id", F.col("payload").alias("text"))
+    done = finish(cells, batches, answers, "English")
+    checked = B.validate_responses(batches, RP.parse_responses(answers))
+    for df in (
+        MG.merge_translations(cells, B.answer_cells(checked), "English"),
+        MG.merge_units(cells.withColumnRenamed("original", "value"), B.answer_cells(checked), "row_idx"),
+        checked,
+        done.status,
+        MG.retried_status(done.cells, cells, done.status, "English"),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert done.status.count() == 20
