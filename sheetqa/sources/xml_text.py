@@ -198,6 +198,16 @@ def escape(c: Column) -> Column:
     return c
 
 
+def _held(node: Column) -> Column:
+    """What lies between the tags of an element; an empty element holds nothing."""
+    return F.when(node["open"] == node["close"], F.lit("")).otherwise(_between(node["open"], node["close"]))
+
+
+def _meant(raw: Column) -> Column:
+    """The text of what an element holds, its sections still as marks."""
+    return unescape(_mark_references(F.regexp_replace(raw, _MARKUP, "")))
+
+
 def xml_text_nodes(
     df: DataFrame, col: str, tags: str | list[str] = ("w:t", "t"), by: list[str] | None = None
 ) -> DataFrame:
@@ -211,14 +221,12 @@ def xml_text_nodes(
     tags = [tags] if isinstance(tags, str) else list(tags)
     by = [c for c in df.columns if c != col] if by is None else by
     marked = df.select(*by, _marked(F.col(col)).alias("_marked"), _specials(F.col(col)).alias("_specials"))
-    raw = F.when(F.col("_node.open") == F.col("_node.close"), F.lit("")).otherwise(
-        _between(F.col("_node.open"), F.col("_node.close"))
-    )
+    raw = _held(F.col("_node"))
     return (
         _elements(marked, "_marked", tags)
         .select(*by, "_specials", "_gaps", "_tags", F.posexplode("_nodes").alias("node_idx", "_node"))
         .select(*by, "node_idx", "_specials", raw.alias("_raw"))
-        .select(*by, "node_idx", "_specials", unescape(_mark_references(F.regexp_replace("_raw", _MARKUP, ""))).alias("_text"))
+        .select(*by, "node_idx", "_specials", _meant(F.col("_raw")).alias("_text"))
         .select(*by, "node_idx", _unmarked(F.col("_text"), F.col("_specials"), True).alias("value"))
     )
 
@@ -236,7 +244,8 @@ def write_xml_text(
     ``tags`` and the numbers are those of ``xml_text_nodes``: a tag's nodes are numbered after
     those of the tags before it. A node's new text replaces all it held, other nodes too; new texts
     of these are then without effect. A document's nodes are collected next to its own text,
-    which already is one value. Nodes without a new text stay.
+    which already is one value. Nodes without a new text stay, and so does one whose text is the new
+    one already, unless it holds tags: the same text may be written in many ways (``&quot;``, ``&#65;``).
     """
     tags = [tags] if isinstance(tags, str) else list(tags)
     new = F.array_sort(F.collect_list(F.struct("node_idx", F.col(value).alias("text"))))
@@ -256,7 +265,10 @@ def write_xml_text(
         last = F.coalesce(F.get(chosen, F.size(chosen) - 1)["close"], F.lit(-1))
         return F.concat(F.array_join(F.transform(chosen, piece), ""), _between(last, F.size("_tags")))
 
-    # Numbers that name no element are passed over.
+    def same(raw: Column, text: Column) -> Column:
+        return ~raw.contains("<") & F.coalesce(_unmarked(_meant(raw), F.col("_specials"), True) == text, F.lit(False))
+
+    # Numbers that name no element are passed over, and texts that are there already.
     placed = F.filter(
         F.transform(
             "_texts",
@@ -266,7 +278,7 @@ def write_xml_text(
                 x["text"].alias("text"),
             ),
         ),
-        lambda x: x["open"].isNotNull(),
+        lambda x: x["open"].isNotNull() & ~let(_held(x), lambda raw: same(raw, x["text"])),
     )
     out = _elements(joined, "_marked", tags).withColumn(
         # New texts inside an element that gets one itself are left out.

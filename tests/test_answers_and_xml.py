@@ -198,3 +198,16 @@ def test_entry_without_training_data_operators(tmp_path, absent):
     code = "from __spark_entry__ import queries, oracle_sql; q = queries(); print(len(q), len(oracle_sql()), sum(n.startswith('op') for n in q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120)
     assert re.fullmatch(r"(\d+) \1 0", out.stdout.strip()), (out.stdout, out.stderr)
+
+
+def test_texts_written_back_as_read_change_nothing(spark):
+    documents = [
+        '<t>a &quot;b&quot; &amp;amp; &#65;&apos;</t><t>ver&amp</t>', "<t/><t></t><t >x</t >", "<t><![CDATA[<b>]]>c<!-- d --></t>", "<t>﷐1﷑ &gt; ></t>", "<u>none</u>", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(documents)), "id int, xml string")
+    nodes = XT.xml_text_nodes(df, "xml", "t", ["id"])
+    assert [r.xml for r in XT.write_xml_text(df, "xml", "t", nodes, ["id"]).orderBy("id").collect()] == documents
+    # A neighbour that changes is escaped, tags that a node holds go as before.
+    mixed = spark.createDataFrame([(0, "<t>&quot;</t><t>&quot;</t><t>a<u>b</u></t>")], "id int, xml string")
+    new = spark.createDataFrame([(0, 0, '"'), (0, 1, '"<'), (0, 2, "ab")], "id int, node_idx int, value string")
+    assert XT.write_xml_text(mixed, "xml", "t", new, ["id"]).first().xml == '<t>&quot;</t><t>"&lt;</t><t>ab</t>'
