@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.glossary import GLOSSARY, GlossaryEntry, rewrite_terms
 from ..functions.library import TEMPLATES, Template
 from ..functions.text import B_END, B_START
+from ..store import written
 from .rules import active, rule_keys, rule_text
 
 #: First characters of a term by which it meets a text.
@@ -25,14 +26,15 @@ def contained_terms(texts: DataFrame, by: Sequence[str], text: str, terms: DataF
     """``by…`` and all columns of ``terms``: each row of ``terms`` whose ``term`` stands in the row's ``text``.
 
     Case counts. NULL and empty terms are contained in nothing here, NULL texts contain nothing.
-    Every ``by`` names one row of ``texts``. A text meets a head once, however often it has it.
+    Every ``by`` names one row of ``texts``. A text meets a head once, however often it has it. Terms are
+    shuffled like texts, never sent to the driver: their number is not known from their files' size.
     """
     by = list(by)
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.lit([*range(1, HEAD + 1)]), lambda n: F.substring(text, i, n))))
     heads = texts.where(F.col(text).isNotNull()).select(*by, F.col(text).alias("_text"), F.explode(F.array_distinct(runs)).alias("_head"))
     keyed = terms.where(F.length(term) > 0).withColumn("_head", F.substring(term, 1, HEAD))
-    return heads.join(keyed, "_head").where(F.col("_text").contains(F.col(term))).drop("_head", "_text")
+    return heads.join(keyed.hint("merge"), "_head").where(F.col("_text").contains(F.col(term))).drop("_head", "_text")
 
 
 # --- glossary ---
@@ -80,8 +82,8 @@ def enforce_glossary_table(
     keywords = entries.select("entry_no", F.explode("keywords").alias("term"))
     fired = contained_terms(df.select(*by, original), by, original, keywords).select(*by, "entry_no").distinct()
     entry = F.struct("entry_no", "preferred", "variants")
-    per_row = fired.join(entries.drop("keywords"), "entry_no").groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_fired"))
-    joined = df.join(per_row, by, "left")
+    per_row = fired.join(entries.drop("keywords").hint("merge"), "entry_no").groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_fired"))
+    joined = df.join(per_row.hint("merge"), by, "left")
     changed = rewrite_terms(F.col(translated), F.col("_fired"))
     enforced = F.when(F.col("_fired").isNull() | F.col(translated).isNull(), F.col(translated)).otherwise(changed)
     return joined.withColumn(translated, enforced).drop("_fired")
@@ -106,14 +108,29 @@ def template_matches_table(rules: DataFrame, aliases: DataFrame, keywords: DataF
     Relational division: a rule covers a template if it has an alias of every indicator that
     ``aliases`` lists for it, counted as distinct ``item``; and one of its keywords, if it has any. Equal to
     ``template_matches`` for a library as ``template_tables`` gives it. Indicators need an alias.
+
+    A common alias may be in many templates and in many rules. Texts and terms are therefore matched
+    as distinct texts and distinct terms first; only templates of which every item is met somewhere
+    in the rules, and only these templates' terms, meet the texts again.
     """
     keys = rule_keys(rules)
     texts = rules.select(*keys, rule_text().alias("_rule")).distinct()
     terms = aliases.select("template_id", "item", F.lower("alias").alias("term")).unionByName(
         keywords.select("template_id", F.lit(-1).alias("item"), F.lower("word").alias("term"))
     )
+    words = terms.select("term").distinct()
     # One index for aliases and keywords; a keyword is an item of its own, met by any of them.
-    met = contained_terms(texts, keys, "_rule", terms.distinct()).select(*keys, "template_id", "item").distinct()
-    found = met.groupBy(*keys, "template_id").agg(F.count(F.lit(1)).alias("n"))
-    needed = terms.select("template_id", "item").distinct().groupBy("template_id").agg(F.count(F.lit(1)).alias("needed"))
-    return found.join(needed, "template_id").where("n = needed").select(*keys, "template_id")
+    met = written(contained_terms(texts.select("_rule").distinct(), ["_rule"], "_rule", words), "met-terms")
+    items = terms.select("template_id", "item").distinct()
+    needed = items.groupBy("template_id").agg(F.count(F.lit(1)).alias("needed"))
+    live = terms.join(met.select("term").distinct().hint("merge"), "term", "left_semi").distinct()
+    possible = (
+        live.select("template_id", "item").distinct().groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))
+        .join(needed.hint("merge"), "template_id").where("n = needed").select("template_id", "needed")
+    )
+    known = live.join(possible.hint("merge"), "template_id")
+    found = (
+        met.join(known.hint("merge"), "term").select("_rule", "template_id", "item", "needed").distinct()
+        .groupBy("_rule", "template_id", "needed").agg(F.count(F.lit(1)).alias("n")).where("n = needed")
+    )
+    return texts.join(found.hint("merge"), "_rule").select(*keys, "template_id")

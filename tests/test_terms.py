@@ -63,3 +63,31 @@ def test_a_large_library_equals_the_compiled_one(spark):
     got = sorted((r.rule_id, r.row_idx, r.template_id) for r in out.collect())
     want = sorted((r.rule_id, r.row_idx, r.template_id) for r in R.template_matches(rules).collect())
     assert got == want and want
+
+
+def test_terms_are_never_sent_to_the_driver(spark):
+    """A table of terms may be of any size, whatever its files' size."""
+    texts = spark.createDataFrame([(1, "白细胞升高", "white blood cell"), (2, "x", "y")], "id int, original string, translated string")
+    table = TM.glossary_table(spark)
+    plans = [
+        TM.enforce_glossary_table(texts, ["id"], "original", "translated", table),
+        TM.contained_terms(texts, ["id"], "original", table.select(F.explode("keywords").alias("term"))),
+    ]
+    rules = texts.select(F.col("id").alias("row_idx"), F.lit("r").alias("rule_id"), F.col("original").alias("description"), F.lit("").alias("explanation"))
+    plans.append(TM.template_matches_table(rules, *TM.template_tables(spark)))
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_common_alias_meets_only_templates_that_can_match(spark):
+    """An alias of all rules in thousands of templates, each with an item that no rule has."""
+    rules = spark.range(2000).select(
+        F.col("id").alias("row_idx"), F.concat(F.lit("r"), "id").alias("rule_id"), F.concat(F.lit("wbc high "), "id").alias("description"), F.lit("").alias("explanation")
+    )
+    never = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("template_id"), F.posexplode(F.array(F.lit("WBC"), F.concat(F.lit("none "), "id"))).alias("item", "alias"))
+    one = spark.createDataFrame([("real", 0, "WBC"), ("real", 1, "high 7")], "template_id string, item int, alias string")
+    words = spark.createDataFrame([("real", "HIGH")], "template_id string, word string")
+    out = TM.template_matches_table(rules, never.unionByName(one), words)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert sorted(r.row_idx for r in rows) == [i for i in range(2000) if str(i).startswith("7")] and {r.template_id for r in rows} == {"real"}
