@@ -22,6 +22,11 @@ def _with_path(df: DataFrame) -> DataFrame:
     return df.withColumn("batch_id", F.col("batch_id").cast("string"))
 
 
+def _level() -> Column:
+    """The number of steps in a batch's path."""
+    return F.size(F.split("batch_id", r"\.", -1))
+
+
 def halves(batches: DataFrame) -> DataFrame:
     """Each batch of more than one record as two, cut at ``ceil(n / 2)``.
 
@@ -60,15 +65,22 @@ def split_rounds(batches: DataFrame, responses: DataFrame, by: Sequence[str] = (
     batches that failed recoverably are split and their halves' answers looked up, until none is
     left: ``ceil(log2(records))`` rounds at most. A batch is split only while no answer to it is
     valid. Adds ``root``, ``awaits`` (nothing has been answered) and what ``validate_responses`` adds.
+
+    A path is one step longer each round, so a round reads the answers of its own level only, and parses
+    those that something still waits for.
     """
     by = list(by)
     keep = [c for c in batches.columns if c in (*by, "n_records", "rows", "payload", "first_row")]
-    answers = written(parse_responses(_with_path(responses)), "split-answers")
-    now = _with_path(batches.select(*keep)).withColumn("root", F.col("batch_id"))
+    answers = written(_with_path(responses).withColumn("_level", _level()), "split-answers", by="_level")
+    now = written(_with_path(batches.select(*keep)).withColumn("root", F.col("batch_id")), "split-batches")
+    first, last = now.agg(F.min(_level()), F.max(_level())).first()
     leaves = None
+    step = 0
     while True:
         kept = [c for c in now.columns if c not in (*by, "n_records")]
-        checked = validate_responses(now, answers.withColumn("_met", F.lit(True)), by, kept)
+        here = answers.where(F.col("_level").between(F.lit(first) + step, F.lit(last) + step)).drop("_level")
+        asked = here.join(now.select(*by).hint("merge"), by, "left_semi")
+        checked = validate_responses(now, parse_responses(asked).withColumn("_met", F.lit(True)), by, kept)
         checked = checked.withColumn("awaits", F.col("_met").isNull()).drop("_met")
         checked = written(checked, "split-round")
         again = ~F.col("ok") & (F.col("n_records") > 1) & is_recoverable(F.col("error"))
@@ -77,6 +89,7 @@ def split_rounds(batches: DataFrame, responses: DataFrame, by: Sequence[str] = (
         now = halves(checked.where(again).select(*now.columns))
         if now.isEmpty():
             return leaves
+        step += 1
 
 
 def pending_splits(leaves: DataFrame) -> DataFrame:

@@ -39,11 +39,16 @@ def remove_written(spark: SparkSession) -> None:
         _delete(spark, sorted(_WRITTEN))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: fixed rows, short lineage."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: fixed rows, short lineage.
+
+    Rows of each value of ``by`` get a folder of their own, so a filter on it reads only these.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    # A table of folders that has no rows has no files to tell its columns.
+    reader = df.sparkSession.read.schema(df.schema) if by else df.sparkSession.read
+    table = reader.parquet(path)
     table.written_at = path
     return table
 

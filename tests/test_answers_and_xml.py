@@ -211,3 +211,28 @@ def test_texts_written_back_as_read_change_nothing(spark):
     mixed = spark.createDataFrame([(0, "<t>&quot;</t><t>&quot;</t><t>a<u>b</u></t>")], "id int, xml string")
     new = spark.createDataFrame([(0, 0, '"'), (0, 1, '"<'), (0, 2, "ab")], "id int, node_idx int, value string")
     assert XT.write_xml_text(mixed, "xml", "t", new, ["id"]).first().xml == '<t>&quot;</t><t>"&lt;</t><t>ab</t>'
+
+
+def test_a_round_of_splits_reads_its_own_level_only(spark, monkeypatch):
+    """Of answers of all levels each is parsed at most once, and only where something waits for it."""
+    rows = spark.createDataFrame([(i, i // 4, f'{{"content":"{i}"}}') for i in range(12)], "row_idx long, batch_id long, record string")
+    batches = B._payloads(rows).withColumn("batch_id", F.concat(F.lit("a.x"), "batch_id"))
+    level, sent = batches, None
+    for depth in range(3):
+        good = (F.lit(depth) >= F.substring("batch_id", 4, 1).cast("int")) & ~F.col("batch_id").startswith("a.x9")
+        some = level.select("batch_id", F.when(good, F.col("payload")).otherwise("[{").alias("text"))
+        sent, level = some if sent is None else sent.unionByName(some), SP.halves(level)
+    parsed, parse = [], SP.parse_responses
+
+    def counting(df, *args):
+        parsed.extend(r.batch_id for r in df.select("batch_id").collect())
+        return parse(df, *args)
+
+    monkeypatch.setattr(SP, "parse_responses", counting)
+    got = SP.resolve_splits(batches, sent).orderBy("batch_id").collect()
+    assert [(r.ok, r.n_leaves, [x["content"] for x in r.records]) for r in got] == [
+        (True, n, [str(i) for i in range(4 * k, 4 * k + 4)]) for k, n in enumerate((1, 2, 4))
+    ]
+    assert sorted(parsed) == ["a.x0", "a.x1", "a.x1.0", "a.x1.1", "a.x2", "a.x2.0", "a.x2.0.0", "a.x2.0.1", "a.x2.1", "a.x2.1.0", "a.x2.1.1"]
+    none = SP.resolve_splits(batches, sent.limit(0)).collect()
+    assert len(none) == 3 and not any(r.ok for r in none)

@@ -624,7 +624,7 @@ def split_batch_cells(spark, sf):
 
     checked = SP.resolve_splits(*_split_answers(spark, sf))
     answers = B.answer_cells(checked).select("row_idx", "answer")
-    return B.row_outcome(checked).join(answers, "row_idx", "left").fillna("", ["answer"]).select("row_idx", "ok", "answer")
+    return B.row_outcome(checked).join(answers.hint("merge"), "row_idx", "left").fillna("", ["answer"]).select("row_idx", "ok", "answer")
 
 
 # --- stores of many files, of a stream, and of results ---
