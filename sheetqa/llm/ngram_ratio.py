@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..store import discard, written
-from .common import SPACE_CHARS, hash_filter, may_be_among, word_list
+from .common import SPACE_CHARS, word_list
 
 BUCKETS = 16_384
 #: Share of trusted texts that may lie below the threshold.
@@ -41,27 +41,54 @@ def ngrams(text: Column, buckets: int = BUCKETS) -> Column:
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0)), both)
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with ``ratio``: for each bucket the logarithm of trusted to raw probability.
+#: Rows whose flags go into one row of the table of trusted rows, as a power of two; and those of one number.
+_BLOCK, _WORD = 15, 6
 
-    Counts cover all rows of ``docs(doc_id, text)``, or ``docs(doc_id, grams)`` where ``ngrams`` are known
-    already; all those whose id is in ``trusted`` (one column ``doc_id``, any number of ids) also
-    count as trusted. Bucket counts start at 1. Grams are added up per task before the
-    shuffle, so that moves ``buckets`` rows per task. Only grams of rows that a filter of the
-    trusted ids lets through meet these ids; the others never move.
-    """
-    grams = F.col("grams") if "grams" in docs.columns else ngrams(F.col("text"), buckets)
-    narrow = docs.select("doc_id", grams.alias("grams"))
-    ids = trusted.where("doc_id is not null").distinct()
-    table = hash_filter(ids.select(F.xxhash64("doc_id").alias("h"))).scalar()
-    known = narrow.where(F.col("doc_id").isNotNull() & may_be_among(F.xxhash64("doc_id"), table)).join(ids, "doc_id", "left_semi")
 
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+def marked(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``rows(doc_id, row, …)`` with ``good``: whether the id is in ``trusted`` (one column ``doc_id``, any number of ids).
 
-    counts = counted(narrow, "raw").join(counted(known, "good"), "bucket", "left").select(
-        F.col("bucket").cast("int").alias("bucket"), "raw", F.coalesce("good", F.lit(0)).alias("good")
+    Only ids and row numbers (distinct, non-negative) meet the trusted ids. What comes back to the rows is one
+    bit for each: a table of a thousandth of their size, so Spark takes it to where the rows are.
+    """
+    ids = trusted.select("doc_id").where("doc_id is not null")
+    found = rows.select("doc_id", "row").where("doc_id is not null").join(ids, "doc_id", "left_semi")
+    bit = F.col("row").bitwiseAND((1 << _WORD) - 1).cast("int")
+    words = found.groupBy(F.shiftright("row", _WORD).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask")
     )
+    last = (1 << (_BLOCK - _WORD)) - 1
+    blocks = words.groupBy(F.shiftright("word", _BLOCK - _WORD).alias("_block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(last).cast("int"), "mask"))).alias("of")
+    )
+    masks = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0).cast("long")))
+    # Written first, so that its size is known when the join is planned.
+    bits = written(blocks.select("_block", masks.alias("_masks")), "trusted-rows")
+    mask = F.get("_masks", F.shiftright("row", _WORD).bitwiseAND(last).cast("int"))
+    good = mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
+    return (
+        rows.withColumn("_block", F.shiftright("row", _BLOCK))
+        .join(bits, "_block", "left")
+        .select(*rows.columns, F.coalesce(good, F.lit(False)).alias("good"))
+    )
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``bucket_ratios`` of all rows of ``docs(doc_id, text)``; those whose id is in ``trusted`` also count as trusted."""
+    rows = docs.select("doc_id", ngrams(F.col("text"), buckets).alias("grams"), F.monotonically_increasing_id().alias("row"))
+    return bucket_ratios(marked(written(rows, "grams"), trusted), buckets)
+
+
+def bucket_ratios(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row with ``ratio``: for each bucket the logarithm of trusted to raw probability.
+
+    Counts cover all of ``rows(grams, good)``; those that are ``good`` also count as trusted. Bucket
+    counts start at 1. Grams are added up per task before the shuffle, so that moves ``buckets``
+    rows per task; the lists of grams never move.
+    """
+    counts = rows.select(F.explode("grams").alias("bucket"), "good").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")
+    ).select(F.col("bucket").cast("int").alias("bucket"), "raw", "good")
     # One row of at most ``buckets`` entries, put in order of the bucket.
     packed = counts.agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("raw", "good")))).alias("of"),
@@ -187,21 +214,22 @@ def judge(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     end. A row is kept if the rules pass and its ratio reaches the threshold. Without trusted texts, the
     ratio decides nothing. NULL texts count as empty and fail the rules; rows with NULL or repeated
     ids are judged each for itself. Texts are read once, and what is kept of them are their n-grams.
+    These lie where they were found until they are scored.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id")
     grams = ngrams(F.col("text")).cast("array<smallint>" if BUCKETS <= 1 << 15 else "array<int>")
     figured = rule_figures(docs.select("doc_id", "text")).withColumn("grams", grams).drop("text")
-    stored = written(figured, "figures")
-    table = ratios(stored, good)
+    stored = written(figured.withColumn("row", F.monotonically_increasing_id()), "figures")
+    known = marked(stored, good)
+    table = bucket_ratios(known)
     # The table is one row: a scalar subquery, which Spark runs once and hands to the tasks.
-    scored = stored.withColumn("_table", table.scalar())
-    scored = scored.withColumn("ratio", mean_ratio(F.col("grams"), F.col("_table"))).drop("grams", "_table")
+    scored = known.withColumn("_table", table.scalar())
+    scored = scored.withColumn("ratio", mean_ratio(F.col("grams"), F.col("_table"))).drop("grams", "_table", "row")
     scored = written(scored, "scored")
     discard(stored)
     # Ratios are logarithms of quotients of counts, so far below 2 ** 7.
     place = F.floor(F.col("ratio") * F.lit(2.0**_FINE)).cast("long") + F.lit(1 << 47)
-    passing = scored.where(~F.col("base_failed")).select("doc_id", place.alias("place"))
-    passing = written(passing.join(good, "doc_id", "left_semi").select("place"), "trusted-ratios")
+    passing = scored.where(~F.col("base_failed") & F.col("good")).select(place.alias("place"))
     n = passing.count()
     least = kth_smallest(passing, max(1, math.ceil(tail * n))) if n else 0
-    return scored.withColumn("kept", ~F.col("base_failed") & (place >= F.lit(least)))
+    return scored.drop("good").withColumn("kept", ~F.col("base_failed") & (place >= F.lit(least)))

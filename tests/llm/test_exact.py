@@ -380,6 +380,19 @@ def test_kept_against_brute_force(spark):
         assert Counter((r.doc_id, round(r.ratio, 9)) for r in out) == expected
 
 
+def test_lists_of_ngrams_are_not_shuffled(spark):
+    """More trusted ids than are broadcast: flags come to the rows, no list of n-grams moves."""
+    docs = spark.range(70_000).selectExpr("if(id % 7 = 0, null, id % 60000) as doc_id", "concat('w', id, ' of ', id % 100) as text")
+    good = spark.range(0, 6_000_000, 3).toDF("doc_id")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
+    table = ngram_ratio.ratios(docs, good)
+    assert len(table.first().ratio) == ngram_ratio.BUCKETS
+    plan = table._jdf.queryExecution().explainString(table._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"Exchange\nInput \[\d+\]: (.*)", plan)
+    assert moved and not any("grams" in columns for columns in moved)
+    assert all(r.good == (r.doc_id is not None and r.doc_id % 3 == 0) for r in ngram_ratio.marked(rows, good).collect())
+
+
 def test_kth_smallest(spark):
     rng = random.Random(1)
     values = [rng.choice([0, 1, 65_535, 65_536, 2**48 - 1, rng.randrange(2**48)]) for _ in range(300)]
