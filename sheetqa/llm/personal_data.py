@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -198,39 +199,68 @@ def seeds_of(docs: DataFrame) -> DataFrame:
     )
 
 
-class _Known(dict):
-    """Which patterns may be among given ones, by a bitmap of fixed size; and what a word means for slots.
+class _Known:
+    """Which patterns may be among given ones, and which words may stand in their slots; by bitmaps of fixed size.
 
-    ``known[word]`` is 1 if it may stand before a slot, plus 2 if it may be a slot for what it is itself.
+    ``lefts`` and ``shapes`` know the words right before the slots of ``left`` and ``shape`` patterns, by their CRC-32.
     """
 
-    def __init__(self, patterns: np.ndarray, lefts: np.ndarray) -> None:
-        super().__init__()
-        self.patterns, self.lefts = patterns, lefts
+    def __init__(self, patterns: np.ndarray, lefts: np.ndarray, shapes: np.ndarray | None = None) -> None:
+        self.patterns, self.lefts, self.shapes = patterns, lefts, lefts if shapes is None else shapes
 
     def pattern(self, pattern: str) -> int | None:
         number = _number(pattern)
         return number if self.patterns[number & (len(self.patterns) - 1)] else None
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        before = bool(self.lefts[_number(word.lower()) & (len(self.lefts) - 1)])
-        own = "=" in word or ":" in word or len(word) >= 8 and not _DIGITS.isdisjoint(word)
-        self[word] = found = before + 2 * own
-        return found
+    def own(self, word: str) -> bool:
+        """Whether the word's label, or its first characters, may make it a slot."""
+        split = "=" in word or ":" in word
+        if not split and (len(word) < 8 or _DIGITS.isdisjoint(word)):
+            return False
+        token = word.strip(_EDGE)
+        cut = max(token.find("="), token.find(":"))
+        if 0 < cut < len(token) - 1:
+            if self.pattern(f"label {token[: cut + 1].lower()}") is not None:
+                return True
+            token = token[cut + 1 :].lstrip(_EDGE)
+        return token[:4].isalpha() and not _DIGITS.isdisjoint(token)
+
+    def wanted(self, words: list[str]) -> list[int]:
+        """Places of the words that may stand in a slot of a known pattern, in order."""
+        lines = "\n".join(words)
+        numbers = np.fromiter(map(crc32, lines.lower().encode("utf-8", "surrogatepass").split(b"\n")), np.int64, len(words))
+        places = {
+            i + 1
+            for i in np.flatnonzero(self.lefts[numbers & (len(self.lefts) - 1)]).tolist()
+            if i and self.pattern(f"left {words[i - 1].lower()} {words[i].lower()}") is not None
+        }
+        for i, word in enumerate(words):
+            if word.isalpha():
+                continue
+            before = i and self.shapes[numbers[i - 1] & (len(self.shapes) - 1)]
+            if before and any(map(str.isdigit, word)) or self.own(word):
+                places.add(i)
+        return sorted(places)
+
+
+def _places(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """Where the words of a text begin and end."""
+    ends = [*accumulate(len(w) + 1 for w in words)]
+    if ends[-1] == len(text) + 1:  # one sign of white space between any two, and none around
+        return [(end - 1 - len(w), end - 1) for end, w in zip(ends, words)]
+    return [m.span() for m in _TOKEN.finditer(text)]
 
 
 def slots_in(text: str, known: _Known) -> Iterator[tuple[int, int, list[int]]]:
     """``(start, end, patterns)`` of all that stands in a slot of a known pattern: a token, or a run of numbered ones."""
-    meant = [*map(known.__getitem__, text.split())]
-    if not any(meant):
+    words = text.split()
+    wanted = known.wanted(words) if words else []
+    if not wanted:
         return
     digits = _DIGITS.intersection
-    wanted = {i + (m == 1) for i, m in enumerate(meant) if m} | {i + 1 for i, m in enumerate(meant) if m == 3}
-    places = [m.span() for m in _TOKEN.finditer(text)]
+    places = _places(text, words)
     done = -1
-    for i in sorted(wanted):
+    for i in wanted:
         if i >= len(places):
             break
         start, end = places[i]
@@ -279,7 +309,7 @@ def discover(
     """``h0, h1, start, end`` of instances that trusted patterns find and no seed covers.
 
     Sums per pattern and per token are combined in the tasks before they are shuffled, so a
-    frequent pattern is one row of each task. What tasks get to know of the patterns is two
+    frequent pattern is one row of each task. What tasks get to know of the patterns is three
     bitmaps of fixed size; joins then settle which ones were meant.
     """
     seeds = found.select(F.explode("seeds").alias("s")).select(
@@ -291,14 +321,13 @@ def discover(
     candidates = per_pattern.where(F.col("seeds") >= support).withColumn("number", F.xxhash64("pattern"))
     candidates = written(candidates, "candidate-patterns")
 
-    def lefts(patterns: DataFrame) -> DataFrame:
-        """Hashes of the words that stand right before the slots of ``left`` and ``shape`` patterns."""
+    def before(patterns: DataFrame, kind: str, at: int) -> DataFrame:
+        """Hashes of the words that stand right before the slots of patterns of a kind."""
         parts = F.split("pattern", " ")
-        word = F.when(parts[0] == "left", F.get(parts, 2)).when(parts[0] == "shape", F.get(parts, 1))
-        return patterns.select(F.xxhash64(word).alias("h")).where(word.isNotNull())
+        return patterns.where(parts[0] == kind).select(F.crc32(F.get(parts, at).cast("binary")).alias("h"))
 
     def scan(patterns: DataFrame, each, schema: str) -> DataFrame:
-        known = _bitmap(patterns.select("number")), _bitmap(lefts(patterns))
+        known = [_bitmap(x) for x in (patterns.select("number"), before(patterns, "left", 2), before(patterns, "shape", 1))]
         h0, h1 = long_hashes(F.col("doc_id"), F.col("text"))
 
         def run(batches):

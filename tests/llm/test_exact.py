@@ -514,6 +514,23 @@ def test_long_runs_take_linear_time():
         list(personal_data.slots_in(f"password={text} the {text}", personal_data._Known(*[np.ones(16, bool)] * 2)))
 
 
+def test_slots_are_looked_into_only_where_a_pattern_may_fit(monkeypatch):
+    """A frequent word before a pattern costs nothing where no number, or not its other word, stands by it."""
+
+    def bits(*values, number=lambda word: zlib.crc32(word.encode())):
+        out = np.zeros(1 << 16, bool)
+        out[[number(v) & 0xFFFF for v in values]] = True
+        return out
+
+    seen = []
+    at = personal_data.patterns_at
+    monkeypatch.setattr(personal_data, "patterns_at", lambda *slot: seen.append(slot) or at(*slot))
+    patterns = bits("shape the 9x16", "left token of", "label key=", "head user Aa912", number=personal_data._number)
+    text = "the word of it a: b=c 12345678 " * 300 + "the 4111111111111111, token of abc key=xyz\n\n(userABCD1234)"
+    found = [text[a:b] for a, b, _ in personal_data.slots_in(text, personal_data._Known(patterns, bits("of"), bits("the")))]
+    assert found == ["4111111111111111", "abc", "xyz", "userABCD1234"] and len(seen) < 10
+
+
 def test_patterns_discover_identifiers(spark, docs, none, rows):
     rng = random.Random(2)
     texts = [f"word{chr(97 + i)} client card 4111111111111111 x{i} end" for i in range(26)]
