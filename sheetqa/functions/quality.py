@@ -25,7 +25,7 @@ def spacing_issue(c: Column) -> Column:
     return (
         c.contains(SPACE_RUN)
         | c.rlike(SPACE_BEFORE_PUNCT)
-        | c.rlike(BROKEN_EG)
+        | (c.contains(".") & c.rlike(BROKEN_EG))
         | (c.rlike("[0-9]") & c.rlike(SPLIT_CODE))
     )
 

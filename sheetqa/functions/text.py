@@ -7,7 +7,8 @@ the byte-order mark as white space and counts string length in UTF-16 units. Spa
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words that tells them apart letter by letter, longer ones first."""
+    words = sorted(set(words))
+    by_first: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            by_first.setdefault(word[0], []).append(word[1:])
+    branches = [re.escape(first) + (any_of(rest) if any(rest) else "") for first, rest in by_first.items()]
+    return f"(?:{'|'.join(branches)}){'?' if '' in words else ''}"
+
+
 def empty_pairs() -> Column:
     return F.expr(f"cast(array() as {PAIRS_TYPE})")
 

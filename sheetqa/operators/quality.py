@@ -112,12 +112,21 @@ def quality_totals(orig: DataFrame, trans: DataFrame | None = None) -> DataFrame
 
 
 def quality_by_lang(lines: DataFrame, lang: str = "lang", content: str = "content") -> DataFrame:
-    """Per target language: untranslated, placeholder and spacing counts of line contents."""
+    """Per target language: untranslated, placeholder and spacing counts of line contents.
+
+    Lines of resource files repeat: each different content of a language is judged once and
+    counts as often as it is there. Tasks combine what repeats before the shuffle.
+    """
     text = F.col(content)
-    return lines.groupBy(lang).agg(
-        F.count_if(is_untranslated(F.lit("content"), text, F.col(lang))).alias("untranslated"),
-        F.count_if(placeholder_leak(text)).alias("placeholders"),
-        F.count_if(spacing_issue(text)).alias("spacing"),
+    different = lines.groupBy(lang, content).agg(F.count(F.lit(1)).alias("_lines"))
+
+    def lines_where(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("_lines")).otherwise(0))
+
+    return different.groupBy(lang).agg(
+        lines_where(is_untranslated(F.lit("content"), text, F.col(lang))).alias("untranslated"),
+        lines_where(placeholder_leak(text)).alias("placeholders"),
+        lines_where(spacing_issue(text)).alias("spacing"),
     )
 
 

@@ -9,7 +9,7 @@ from ..functions.script import has_cjk
 from ..functions.text import B_END, WS
 
 # The shape of a resource line and the languages it is translated to.
-RESOURCE_LINE = rf"(?s)^([{WS}]*<string{B_END}[^>]*>)(.*?)(</string>[{WS}]*)\z"
+RESOURCE_LINE = rf"(?s)^([{WS}]*<string{B_END}[^>]*>)(.*)(</string>[{WS}]*)\z"
 STRING_LANGS = [
     "English",
     "Spanish",
@@ -29,11 +29,11 @@ def split_string_lines(texts: DataFrame, text: str = "text", by: list[str] | Non
     """A file's text to ``(by…, line_no, line, line_break)``, lines numbered from 0."""
     by = by or []
     line_break = F.when(F.col(text).contains("\r\n"), "\r\n").otherwise("\n")
-    return texts.select(
-        *by,
-        line_break.alias("line_break"),
-        F.posexplode(F.split(F.col(text), "\r?\n", -1)).alias("line_no", "line"),
+    # Found once per text: beside the explode it would search the whole text for every line.
+    split = texts.select(
+        *by, line_break.alias("line_break"), F.split(F.col(text), "\r?\n", -1).alias("_lines")
     )
+    return split.select(*by, "line_break", F.posexplode("_lines").alias("line_no", "line"))
 
 
 def parse_string_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -42,15 +42,15 @@ def parse_string_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     Only ``<string …>body</string>`` has a prefix and a suffix; any other line is content.
     """
     c = F.col(line)
-    is_entry = c.rlike(RESOURCE_LINE)
 
-    def part(i: int, other: Column) -> Column:
-        return F.when(is_entry, F.regexp_extract(c, RESOURCE_LINE, i)).otherwise(other)
+    def mark(i: int) -> Column:
+        return F.coalesce(F.regexp_extract(c, RESOURCE_LINE, i), F.lit(""))
 
     return (
-        lines.withColumn("prefix", part(1, F.lit("")))
-        .withColumn("content", part(2, c))
-        .withColumn("suffix", part(3, F.lit("")))
+        lines.withColumn("prefix", mark(1))
+        # The pattern spans the whole line: one search both tests the line and cuts it.
+        .withColumn("content", F.regexp_replace(c, RESOURCE_LINE, "$2"))
+        .withColumn("suffix", mark(3))
         .withColumn("needs_translation", has_cjk(F.col("content")))
     )
 
@@ -74,17 +74,18 @@ def join_string_lines(
         .agg(
             F.array_sort(F.collect_list(F.struct("line_no", F.col(line).alias("text")))).alias("_lines"),
             F.first("line_break").alias("_break"),
+            F.max(F.struct("line_no", "line")).alias("_last"),
         )
     )
-    # A file's last line decides on the closing break: a maximum, combined before the shuffle.
-    # Keyed by part it meets one part each, however many parts one file has.
-    last = lines.groupBy(*by).agg(F.max(F.struct("line_no", "line")).alias("_last"))
-    ends = last.select("*", "_last.*").select(
-        *by, part.alias("block_no"), (F.col("line") == "").alias("_ends_empty")
-    )
+    # A file's last line decides on the closing break: a maximum, combined before the shuffle, of
+    # numbers alone, which need no sort. Keyed by part it meets one part each, however many parts
+    # one file has.
+    last = lines.groupBy(*by).agg(F.max("line_no").alias("line_no"))
+    ends = last.select(*by, part.alias("block_no"), F.lit(True).alias("_is_last"))
+    ends_empty = F.when(F.col("_is_last"), F.col("_last.line") == "")
     texts = F.transform("_lines", lambda x: x["text"])
     body = F.call_function("array_join", texts, F.col("_break"))
-    tail = F.when(F.coalesce("_ends_empty", F.lit(True)), F.col("_break")).otherwise("")
+    tail = F.when(F.coalesce(ends_empty, F.lit(True)), F.col("_break")).otherwise("")
     return parts.join(ends, [*by, "block_no"], "left").select(
         *by, "block_no", F.concat(body, tail).alias("text")
     )

@@ -1,6 +1,7 @@
 """Column functions: hand-worked values, then random texts against plain Python."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -272,3 +273,21 @@ def test_sheet_text(values):
     assert values(ST.cleanup_english, ["anti metabolic, e . g . , e . g .x", "中granulocytes (ALY#)"]) == [
         "antimetabolite, e.g., e.g.x", "中granulocytes (ALY#)",
     ]
+
+
+def test_hint_words_are_whole_words_of_the_folded_text(values):
+    rng = random.Random(5)
+    words = [w for ws in L.LANGUAGE_HINTS.values() for w in ws] + ["thee", "lala", "x", "É", "más", "ß"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "-", "", "7", "。"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+
+    def expected(text, folded):
+        tokens = re.split("[^a-z]+", folded)
+        points = []
+        for i, (lang, hints) in enumerate(L.LANGUAGE_HINTS.items()):
+            mark = re.search(L._mark_class(lang), text) is not None
+            points.append((-(sum(t in hints for t in tokens) + 2 * mark), i, lang))
+        return [(lang, -p) for p, _, lang in sorted(points)]
+
+    folded = values(L.fold_latin, texts)
+    got = [[tuple(x) for x in r] for r in values(L.language_scores, texts)]
+    assert got == [expected(t, f) for t, f in zip(texts, folded)]

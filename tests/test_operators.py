@@ -430,3 +430,44 @@ def test_answers_are_never_sent_to_the_driver(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert done.status.count() == 20
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_line_break_is_found_once_per_text(spark):
+    """Above the explode, every line would search its whole text."""
+    texts = spark.createDataFrame([(1, "a\r\nb\r\n"), (2, "a\nb"), (3, None)], "doc_id int, text string")
+    got = SR.split_string_lines(texts, "text", ["doc_id"])
+    plan = _optimized(got)
+    assert plan.index("Generate") < plan.index("Contains(text")
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "\r\n", 0, "a"), (1, "\r\n", 1, "b"), (1, "\r\n", 2, ""), (2, "\n", 0, "a"), (2, "\n", 1, "b"),
+    ]
+
+
+def test_repeated_lines_are_judged_once_and_counted_each(spark):
+    texts = ["T 4 is bad", "el aumento de la glucosa con leve", "__FMT_0__ x", None, ""]
+    lines = spark.createDataFrame(
+        [(lang, t) for lang in ("English", "Spanish") for i, t in enumerate(texts) for _ in range(i + 1)],
+        "lang string, content string",
+    )
+    got = Q.quality_by_lang(lines)
+    assert _optimized(got).count("Aggregate [") == 2
+    assert sorted(map(tuple, got.collect())) == [("English", 2, 3, 1), ("Spanish", 4, 3, 1)]
+    one = Q.quality_by_lang(lines.filter("content is null and lang = 'English'"))
+    assert [tuple(r) for r in one.collect()] == [("English", 0, 0, 0)]
+
+
+def test_parts_of_odd_resource_lines(spark):
+    cases = {
+        '<string name="k">a</string></string> ': ('<string name="k">', "a</string>", "</string> "),
+        "<string>$1\\n\n x</string>": ("<string>", "$1\\n\n x", "</string>"),
+        "<string>open": ("", "<string>open", ""),
+        "<strings>a</string>": ("", "<strings>a</string>", ""),
+        "": ("", "", ""),
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "line string")
+    got = SR.parse_string_lines(df).select("line", "prefix", "content", "suffix").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == cases
