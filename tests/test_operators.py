@@ -471,3 +471,27 @@ def test_parts_of_odd_resource_lines(spark):
     df = spark.createDataFrame([(c,) for c in cases], "line string")
     got = SR.parse_string_lines(df).select("line", "prefix", "content", "suffix").collect()
     assert {r[0]: tuple(r[1:]) for r in got} == cases
+
+
+def test_what_a_task_holds_of_a_sheet_does_not_grow(spark, monkeypatch):
+    """Strips of rows over more tasks than the session's, against a plain grid."""
+    rng = random.Random(3)
+    rows_of = {"a": [7, 8, *rng.sample(range(9, 400), 60)], "b": [0, 200], "c": [5]}
+    cells = {
+        (d, r, c): (rng.choice(["", "x", "WBC"]), "string")
+        for d, rs in rows_of.items() for r in rs for c in rng.sample(range(2, 6), 3)
+    }
+    raw = spark.createDataFrame([(*k, *v) for k, v in cells.items()], "doc_id string, sheet_row bigint, col_idx int, value string, value_type string")
+    before = rows(SH.parse_sheet(raw))
+    monkeypatch.setattr(SH, "TASK_CELLS", 100)
+    got = SH.parse_sheet(raw)
+    assert got.rdd.getNumPartitions() > 10
+    assert rows(got) == before
+    expected = {}
+    for d, rs in rows_of.items():
+        used = [c for (e, _, c) in cells if e == d]
+        for r in range(min(rs) + 1, max(rs) + 1):
+            for c in range(min(used), max(used) + 1):
+                expected[(d, r - min(rs) - 1, c)] = cells.get((d, r, c), ("",))[0]
+    assert {(r.doc_id, r.row_idx, r.col_idx): r.value for r in got.collect()} == expected
+    assert got.count() == len(expected)

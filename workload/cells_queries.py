@@ -48,11 +48,19 @@ _RAW = f"""select l_returnflag as doc_id, l_orderkey as sheet_row, l_linenumber
 def parse_sheet(spark, sf):
     """Order lines as sparse cells: a sheet per return flag, a row per order."""
     lines = table(spark, sf, "lineitem")
-    raw = lines.groupBy(
-        F.col("l_returnflag").alias("doc_id"),
-        F.col("l_orderkey").alias("sheet_row"),
-        (F.col("l_linenumber") - 1).alias("col_idx"),
-    ).agg(F.expr(_RAW_VALUE).alias("value"))
+    place = ["l_returnflag", "l_orderkey", "l_linenumber"]
+    # A minimum of strings sorts what a task holds, so the tasks grow with the lines.
+    raw = (
+        lines.repartition(SH.tasks_for(spark, lines.count()), *place)
+        .groupBy(*place)
+        .agg(F.expr(_RAW_VALUE).alias("value"))
+        .select(
+            F.col("l_returnflag").alias("doc_id"),
+            F.col("l_orderkey").alias("sheet_row"),
+            (F.col("l_linenumber") - 1).alias("col_idx"),
+            "value",
+        )
+    )
     # Stored once, as a reader leaves it.
     return SH.parse_sheet(written(raw, "raw-cells")).drop("value_type")
 
