@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,11 +37,29 @@ def spacing_steps(space: str) -> list[tuple[str, str]]:
     ]
 
 
+def _spacing_signs(space: str) -> dict[int, Callable[[Column], Column]]:
+    """Tests without which a spacing rewrite, by its place, changes nothing.
+
+    They look for what is rare (a mark, an upper-case letter, a digit) where the rewrite itself
+    has to try every letter or space.
+    """
+    return {
+        0: lambda t: t.contains(".") & t.rlike(rf"\.{space}*g{space}*\."),
+        1: lambda t: t.rlike(rf"[,.;:!?](?<={space}[,.;:!?])"),
+        3: lambda t: t.contains(":"),
+        5: lambda t: t.rlike("[A-Z](?<=[a-z][A-Z])[a-z]"),
+        7: lambda t: t.rlike("[0-9](?<=[A-Za-z][0-9])"),
+        8: lambda t: t.contains("  "),
+    }
+
+
 LONG_FORM_LENGTH = 60
 
 
 def _word(pattern: str, flags: str = "(?i)") -> str:
-    return f"{flags}{B_START}{pattern}{B_END}"
+    # The first letters come first: they spare most positions the look back.
+    first = "sm" if pattern.startswith("(slight|mild)") else pattern[0]
+    return f"{flags}(?=[{first}]){B_START}{pattern}{B_END}"
 
 
 _GAP = f"[{WS}]+"
@@ -65,9 +83,19 @@ STATUS_STEPS = [
 ]
 
 
-def _chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
-    for pattern, replacement in steps:
-        c = F.regexp_replace(c, pattern, replacement)
+def _chain(
+    c: Column, steps: Sequence[tuple[str, str]], signs: dict[int, Callable[[Column], Column]]
+) -> Column:
+    """The rewrites in order; one with a sign only where its text shows it."""
+
+    def step(i: int, pattern: str, replacement: str) -> Callable[[Column], Column]:
+        def rewritten(t: Column) -> Column:
+            return F.when(signs[i](t), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+        return rewritten
+
+    for i, (pattern, replacement) in enumerate(steps):
+        c = let(c, step(i, pattern, replacement)) if i in signs else F.regexp_replace(c, pattern, replacement)
     return c
 
 
@@ -80,9 +108,9 @@ def fix_spacing(c: Column) -> Column:
     rare = F.when(is_ascii(c), c.contains("\r")).otherwise(c.rlike(RARE_SPACE))
     return (
         F.when(~c.rlike("[A-Za-z]"), c)
-        .when(rare, _chain(c, spacing_steps(_ANY_SPACE)))
+        .when(rare, _chain(c, spacing_steps(_ANY_SPACE), _spacing_signs(_ANY_SPACE)))
         # With ASCII spaces only, the patterns need just a few characters to test.
-        .otherwise(_chain(c, spacing_steps(_ASCII_SPACE)))
+        .otherwise(_chain(c, spacing_steps(_ASCII_SPACE), _spacing_signs(_ASCII_SPACE)))
     )
 
 
@@ -93,7 +121,7 @@ def long_form_status(c: Column) -> Column:
     is_long = is_long | ((F.length(c) > LONG_FORM_LENGTH // 2) & (utf16_length(c) > LONG_FORM_LENGTH))
     # Every rewrite needs one of the two status words.
     relevant = c.rlike("(?i)elevated|decreased")
-    return F.when(relevant & is_long, _chain(c, STATUS_STEPS)).otherwise(c)
+    return F.when(relevant & is_long, _chain(c, STATUS_STEPS, {})).otherwise(c)
 
 
 def polish(

@@ -291,3 +291,22 @@ def test_hint_words_are_whole_words_of_the_folded_text(values):
     folded = values(L.fold_latin, texts)
     got = [[tuple(x) for x in r] for r in values(L.language_scores, texts)]
     assert got == [expected(t, f) for t, f in zip(texts, folded)]
+
+
+def test_rewrites_are_skipped_only_where_they_change_nothing(values):
+    rng = random.Random(11)
+    bits = ["e.g.", "E. g .", "aBcDe", "T4", "4T", "a", " ", "  ", "\n", "\r\n", "\r", "　", "。", ".", ":", "://", ",", ")", "eG",
+            "An Elevated", "slight  Decreased", "Elevated in", "decreased in", "Elevated fever", "reElevated in", "Elevated total ghost cells is"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+
+    def plain(c, steps):
+        for pattern, replacement in steps:
+            c = F.regexp_replace(c, pattern, replacement)
+        return c
+
+    for space in (P._ANY_SPACE, P._ASCII_SPACE):
+        steps = P.spacing_steps(space)
+        assert values(lambda c: P._chain(c, steps, P._spacing_signs(space)), texts) == values(lambda c: plain(c, steps), texts)
+    back = [(p.replace("(?=[sm])", "").replace(f"(?=[{p[p.index('[') + 1]}])", ""), r) for p, r in P.STATUS_STEPS]
+    assert all("(?=[" not in p and p.count("(?<!") == 1 for p, _ in back)
+    assert values(lambda c: plain(c, P.STATUS_STEPS), texts) == values(lambda c: plain(c, back), texts)
